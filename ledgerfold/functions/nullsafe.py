@@ -140,7 +140,7 @@ def _nullsafe_sum(cols: Sequence[Column]) -> Column:
 def rowwise_mean(cols: Sequence[Column | str]) -> Column:
     xs = [_c(x) for x in cols]
     n = _nonnull_count(xs)
-    return F.when(n > 0, _nullsafe_sum(xs) / n)
+    return F.when(n > 0, F.try_divide(_nullsafe_sum(xs), n))
 
 
 def rowwise_min(cols: Sequence[Column | str]) -> Column:
@@ -155,10 +155,10 @@ def rowwise_std(cols: Sequence[Column | str]) -> Column:
     """Sample standard deviation across columns; null for < 2 values."""
     xs = [_c(x) for x in cols]
     n = _nonnull_count(xs)
-    mean = _nullsafe_sum(xs) / n
+    mean = F.try_divide(_nullsafe_sum(xs), n)
     ss = sum((F.coalesce((x.cast("double") - mean) * (x.cast("double") - mean),
                          F.lit(0.0)) for x in xs), F.lit(0.0))
-    return F.when(n > 1, F.sqrt(ss / (n - 1)))
+    return F.when(n > 1, F.sqrt(F.try_divide(ss, n - 1)))
 
 
 def rowwise_product(cols: Sequence[Column | str]) -> Column:

@@ -32,7 +32,7 @@ def day_offset(col: str):
 
 
 def day_offset_sql(col: str) -> str:
-    return f"datediff('day', {EPOCH_SQL}, CAST({col} AS DATE))"
+    return f"CAST(datediff('day', {EPOCH_SQL}, CAST({col} AS DATE)) AS INTEGER)"
 
 
 def credits(spark: SparkSession, sf: str) -> DataFrame:
