@@ -237,18 +237,18 @@ def count_above_cap_q(spark, sf):
 
 def _cust_sparse(spark, sf):
     """customer with a mostly-missing column (4 of 5 segments null) and a
-    rarely-missing one."""
+    rarely-missing one (nations above 20)."""
     c = table(spark, sf, "customer")
     return c.select(
         "c_custkey", "c_mktsegment",
         F.when(F.col("c_mktsegment") != "MACHINERY", F.lit(None)).otherwise(F.col("c_acctbal")).alias("sparse_bal"),
-        F.when(F.col("c_mktsegment") == "MACHINERY", F.lit(None)).otherwise(F.col("c_nationkey")).alias("nation"))
+        F.when(F.col("c_nationkey") > 20, F.lit(None)).otherwise(F.col("c_nationkey")).alias("nation"))
 
 
 _CUST_SPARSE_SQL = """
 SELECT c_custkey, c_mktsegment,
   CASE WHEN c_mktsegment <> 'MACHINERY' THEN NULL ELSE c_acctbal END AS sparse_bal,
-  CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE c_nationkey END AS nation
+  CASE WHEN c_nationkey > 20 THEN NULL ELSE c_nationkey END AS nation
 FROM customer"""
 
 
@@ -358,20 +358,20 @@ def rowwise_flag_count_q(spark, sf):
 
 
 @register("iqr_outliers", """
-WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders)
-SELECT o_orderkey, o_totalprice FROM orders, q
-WHERE o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)""")
+WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+SELECT event_id, value FROM events, q
+WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""")
 def iqr_outliers_q(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return clean.iqr_outliers(o, "o_totalprice")
+    e = table(spark, sf, "events").select("event_id", "value")
+    return clean.iqr_outliers(e, "value")
 
 
 @register("quantile_trim", """
-WITH q AS (SELECT quantile_cont(o_totalprice, 0.99) AS q99 FROM orders)
-SELECT o_orderkey, o_totalprice FROM orders, q WHERE o_totalprice < q99""")
+WITH q AS (SELECT quantile_cont(value, 0.99) AS q99 FROM events)
+SELECT event_id, value FROM events, q WHERE value < q99""")
 def quantile_trim_q(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return clean.quantile_trim(o, "o_totalprice", 0.99)
+    e = table(spark, sf, "events").select("event_id", "value")
+    return clean.quantile_trim(e, "value", 0.99)
 
 
 @register("filter_project", """

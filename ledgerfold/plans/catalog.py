@@ -29,4 +29,5 @@ def load_all() -> None:
     from ledgerfold.plans import (  # noqa: F401
         bind_cleaning,
         bind_features,
+        bind_profile,
     )
