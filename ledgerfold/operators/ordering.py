@@ -19,8 +19,8 @@ def top_k(df: DataFrame, by: str, k: int, tie: Sequence[str] = (),
 
 
 def top_n_per_entity(df: DataFrame, entity: str, value: str, name: str,
-                     n: int = 20) -> DataFrame:
-    """Per entity, the n rows of largest |value| (ties by name).
+                     n: int = 20, tie: Sequence[str] = ()) -> DataFrame:
+    """Per entity, the n rows of largest |value| (ties by name, then ``tie``).
 
     Rows are first reduced per (entity, hash bucket) to their own top n, so
     a hot entity is ranked in parallel pieces before the final ranking
@@ -29,7 +29,7 @@ def top_n_per_entity(df: DataFrame, entity: str, value: str, name: str,
     if not 1 <= n <= 50:
         raise ValueError("n must be within 1..50")
     a = F.abs(F.col(value))
-    order = [a.desc(), F.col(name).asc()]
+    order = [a.desc(), F.col(name).asc(), *[F.col(t).asc() for t in tie]]
     b = df.withColumn("_b", F.pmod(F.xxhash64(F.col(name)), F.lit(16)))
     w1 = Window.partitionBy(entity, "_b").orderBy(*order)
     pre = b.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= n)

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.names import clean_name
 from ledgerfold.functions.nullsafe import cents
 from ledgerfold.sources.tables import table
 
@@ -65,3 +66,39 @@ SCORED_SQL = """
 SELECT l.doc_id, d.lang, d.n_chars, l.quality, l.toxic AS label,
        ((d.n_chars * 37) % 1000) / 1000.0::DOUBLE AS score
 FROM labels l JOIN documents d USING (doc_id)"""
+
+
+# -- SQL text of the exact aggregate forms (oracle side) -----------------------
+
+def _share_sql(col, values, prefix, nan=True):
+    items = [(f"{col}_{v}", f"{col} IS NOT DISTINCT FROM '{v}'") for v in values]
+    if nan:
+        items.append((f"{col}_nan", f"{col} IS NULL"))
+    return ",\n".join(
+        f"avg(CASE WHEN {p} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS {clean_name(prefix + n + '_MEAN')}"
+        for n, p in items)
+
+
+def _exact_mean_sql(x):
+    return f"CAST(sum({x}) AS DOUBLE) / CAST(count({x}) AS DOUBLE)"
+
+
+def _exact_var_sql(x):
+    return (f"CASE WHEN count({x}) > 1 THEN CAST(count({x}) * sum(CAST({x} AS HUGEINT) * {x}) "
+            f"- sum(CAST({x} AS HUGEINT)) * sum(CAST({x} AS HUGEINT)) AS DOUBLE) "
+            f"/ CAST(count({x}) * (count({x}) - 1) AS DOUBLE) END")
+
+
+def _sub(fn, x, cond):
+    """SQL of a subset aggregate (null when no row meets cond)."""
+    xc = f"CASE WHEN {cond} THEN {x} END"
+    has = f"count_if({cond}) > 0"
+    if fn == "sum":
+        return f"CASE WHEN {has} THEN coalesce(sum({xc}), 0)::BIGINT END"
+    if fn == "mean":
+        return _exact_mean_sql(xc)
+    if fn == "var":
+        return _exact_var_sql(xc)
+    if fn == "size":
+        return f"CASE WHEN {has} THEN count_if({cond}) END"
+    return f"{fn}({xc})"

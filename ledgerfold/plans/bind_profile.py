@@ -9,8 +9,9 @@ from ledgerfold.functions.nullsafe import cents
 from ledgerfold.operators import profile as P
 from ledgerfold.operators.aggregate import grouped_agg
 from ledgerfold.operators.encode import category_share, vocabulary
-from ledgerfold.plans.bind_common import CREDITS_SQL, SCORED_SQL, credits, scored_labels
-from ledgerfold.plans.bind_features import _exact_mean_sql, _exact_var_sql, _share_sql, _sub
+from ledgerfold.plans.bind_common import (
+    CREDITS_SQL, SCORED_SQL, _exact_mean_sql, _exact_var_sql, _share_sql, _sub, credits,
+    scored_labels)
 from ledgerfold.plans.catalog import register
 from ledgerfold.sources.tables import table
 

@@ -28,6 +28,7 @@ def load_all() -> None:
     """Import every binding module so that it registers its keys."""
     from ledgerfold.plans import (  # noqa: F401
         bind_cleaning,
+        bind_eval,
         bind_features,
         bind_profile,
     )
