@@ -102,3 +102,26 @@ def _sub(fn, x, cond):
     if fn == "size":
         return f"CASE WHEN {has} THEN count_if({cond}) END"
     return f"{fn}({xc})"
+
+
+def _spec_sql(spec, prefix):
+    out = []
+    for col, fns in spec.items():
+        for fn in fns:
+            name = f"{prefix}{col}_{fn.upper()}"
+            if fn in ("min", "max"):
+                e = f"{fn}({col})"
+            elif fn == "mean":
+                e = _exact_mean_sql(col)
+            elif fn == "var":
+                e = _exact_var_sql(col)
+            elif fn == "sum":
+                e = f"coalesce(sum({col}), 0)::BIGINT"
+            elif fn == "nunique":
+                e = f"count(DISTINCT {col})"
+            elif fn == "size":
+                e = "count(*)"
+            else:
+                e = f"count({col})"
+            out.append(f"{e} AS {name}")
+    return ",\n  ".join(out)

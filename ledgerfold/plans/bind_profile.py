@@ -10,8 +10,8 @@ from ledgerfold.operators import profile as P
 from ledgerfold.operators.aggregate import grouped_agg
 from ledgerfold.operators.encode import category_share, vocabulary
 from ledgerfold.plans.bind_common import (
-    CREDITS_SQL, SCORED_SQL, _exact_mean_sql, _exact_var_sql, _share_sql, _sub, credits,
-    scored_labels)
+    CREDITS_SQL, SCORED_SQL, _exact_mean_sql, _exact_var_sql, _share_sql, _spec_sql, _sub,
+    credits, scored_labels)
 from ledgerfold.plans.catalog import register
 from ledgerfold.sources.tables import table
 
@@ -23,29 +23,6 @@ _SPEC = {"amt": ["min", "max", "mean", "sum", "var"],
          "o_orderkey": ["nunique", "size"]}
 
 
-def _spec_sql(spec, prefix):
-    out = []
-    for col, fns in spec.items():
-        for fn in fns:
-            name = f"{prefix}{col}_{fn.upper()}"
-            if fn in ("min", "max"):
-                e = f"{fn}({col})"
-            elif fn == "mean":
-                e = _exact_mean_sql(col)
-            elif fn == "var":
-                e = _exact_var_sql(col)
-            elif fn == "sum":
-                e = f"coalesce(sum({col}), 0)::BIGINT"
-            elif fn == "nunique":
-                e = f"count(DISTINCT {col})"
-            elif fn == "size":
-                e = "count(*)"
-            else:
-                e = f"count({col})"
-            out.append(f"{e} AS {name}")
-    return ",\n  ".join(out)
-
-
 @register("grouped_agg_spec", f"""
 WITH o AS ({CREDITS_SQL})
 SELECT o_custkey, {_spec_sql(_SPEC, 'PREV_')} FROM o GROUP BY o_custkey""")
