@@ -120,3 +120,13 @@ def latest_per_key(df: DataFrame, key: str, order_cols: Sequence[str],
                        *[F.col(c).alias(f"_p_{c}") for c in rename]))
     a = df.groupBy(key).agg(s.alias("_m"))
     return a.select(key, *[F.col(f"_m._p_{c}").alias(n) for c, n in rename.items()])
+
+
+def model_facts(spark, model, feature_names: Sequence[str], threshold: float) -> DataFrame:
+    """One row: model class, feature count, threshold, first 10 names, loaded."""
+    stage = model.stages[-1] if hasattr(model, "stages") else model
+    row = (type(stage).__name__, len(feature_names), float(threshold),
+           list(feature_names)[:10], True)
+    return spark.createDataFrame(
+        [row], "model_type string, n_features int, optimal_threshold double, "
+               "feature_names array<string>, model_loaded boolean")

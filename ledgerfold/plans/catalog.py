@@ -30,5 +30,7 @@ def load_all() -> None:
         bind_cleaning,
         bind_eval,
         bind_features,
+        bind_models,
         bind_profile,
+        bind_sources,
     )
