@@ -30,6 +30,61 @@ def vocabulary(df: DataFrame, col: str,
     return sorted(r[0] for r in rows)
 
 
+def vocabularies(df: DataFrame, cols: Sequence[str],
+                 max_categories: int = DEFAULT_MAX_CATEGORIES) -> dict[str, list]:
+    """Vocabularies of several columns in ONE job: ``(column, value)`` pairs
+    are stacked, de-duplicated and collected under a limit of
+    ``len(cols) × max_categories`` rows (the bound is checked per column)."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
+                                for c in cols])).alias("p")
+    bound = len(cols) * max_categories + 1
+    rows = (df.select(pairs).select("p.c", "p.v").where(F.col("v").isNotNull()).distinct()
+            .limit(bound).collect())
+    out: dict[str, list] = {c: [] for c in cols}
+    for r in rows:
+        out[r["c"]].append(r["v"])
+    for c, vals in out.items():
+        if len(vals) > max_categories or len(rows) >= bound:
+            raise ValueError(f"column {c!r} has more than {max_categories} categories")
+        vals.sort()
+    return out
+
+
+def first_seen_codes(df: DataFrame, cols: Sequence[str], order_key: str,
+                     max_categories: int = DEFAULT_MAX_CATEGORIES) -> dict[str, dict]:
+    """Per column, ``{value: code}`` with codes by first appearance (smallest
+    ``order_key``, then value) -- one bounded aggregation job for all columns."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
+                                for c in cols])).alias("p")
+    bound = len(cols) * max_categories + 1
+    rows = (df.select(pairs, F.col(order_key).alias("_k")).select("p.c", "p.v", "_k")
+            .where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.min("_k").alias("first"))
+            .limit(bound).collect())
+    if len(rows) >= bound:
+        raise ValueError(f"more than {max_categories} categories in one of {cols}")
+    out: dict[str, dict] = {}
+    for c in cols:
+        seen = sorted(((r["first"], r["v"]) for r in rows if r["c"] == c))
+        if len(seen) > max_categories:
+            raise ValueError(f"column {c!r} has more than {max_categories} categories")
+        out[c] = {v: i for i, (_, v) in enumerate(seen)}
+    return out
+
+
+def apply_codes(col: str, codes: dict) -> Column:
+    """Literal map lookup (no join); unseen values and nulls give -1."""
+    if not codes:
+        return F.lit(-1)
+    m = F.create_map(*[x for v, i in codes.items() for x in (F.lit(v), F.lit(i))])
+    return F.coalesce(F.try_element_at(m, F.col(col).cast("string")), F.lit(-1)).cast("int")
+
+
 def string_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     skip = set(exclude)
     return [f.name for f in df.schema.fields
@@ -65,14 +120,13 @@ def one_hot(df: DataFrame, cols: Sequence[str] | None = None,
     the end like ``get_dummies``) and the new column names.
     """
     cols = list(cols) if cols is not None else string_columns(df)
-    vocabularies = dict(vocabularies or {})
-    for c in cols:
-        if c not in vocabularies:
-            vocabularies[c] = vocabulary(df, c, max_categories)
+    given = dict(vocabularies or {})
+    missing = [c for c in cols if c not in given]
+    given.update(globals()["vocabularies"](df, missing, max_categories))
     keep = [F.col(c) for c in df.columns if c not in set(cols)]
     new_cols: list[tuple[str, Column]] = []
     for c in cols:
-        new_cols += one_hot_columns(c, vocabularies[c], nan_as_category)
+        new_cols += one_hot_columns(c, given[c], nan_as_category)
     out = df.select(*keep, *[e.alias(n) for n, e in new_cols])
     return out, [n for n, _ in new_cols]
 
@@ -99,6 +153,20 @@ def category_share(col: str, values: Sequence, nan_as_category: bool = True,
     return out
 
 
+def factorize_many(df: DataFrame, cols: Sequence[str], order_key: str,
+                   codes: dict[str, dict] | None = None,
+                   max_categories: int = DEFAULT_MAX_CATEGORIES) -> tuple[DataFrame, dict]:
+    """Factorize several columns in place (codes by first appearance, null ->
+    -1) with one code-table job; returns the frame and the codes used."""
+    cols = [c for c in cols if c in df.columns]
+    codes = dict(codes or {})
+    todo = [c for c in cols if c not in codes]
+    codes.update(first_seen_codes(df, todo, order_key, max_categories))
+    out = df.select(*[apply_codes(c, codes[c]).alias(c) if c in cols else F.col(c)
+                      for c in df.columns])
+    return out, codes
+
+
 def factorize(df: DataFrame, col: str, order_key: str,
               out_col: str | None = None,
               max_categories: int = DEFAULT_MAX_CATEGORIES) -> DataFrame:

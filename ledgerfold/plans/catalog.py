@@ -33,4 +33,5 @@ def load_all() -> None:
         bind_models,
         bind_profile,
         bind_sources,
+        bind_streaming,
     )

@@ -24,7 +24,7 @@ from ledgerfold.functions.names import clean_names
 from ledgerfold.functions.nullsafe import clip_lower, not_equal_keep_null, safe_divide, sentinel_to_null
 from ledgerfold.operators.aggregate import grouped_agg
 from ledgerfold.operators.encode import (
-    category_share, factorize, one_hot, string_columns, vocabulary)
+    category_share, factorize_many, one_hot, string_columns, vocabularies as collect_vocabularies)
 
 KEY = "SK_ID_CURR"
 
@@ -91,8 +91,11 @@ def restrict_spec(spec: Spec, columns: Sequence[str]) -> dict:
 
 
 def _vocabs(df: DataFrame, cols: Sequence[str], given: Mapping[str, Sequence] | None) -> dict:
+    """Given vocabularies (e.g. from a training manifest) or one job for the rest."""
     given = dict(given or {})
-    return {c: list(given[c]) if c in given else vocabulary(df, c) for c in cols}
+    out = {c: list(given[c]) for c in cols if c in given}
+    out.update(collect_vocabularies(df, [c for c in cols if c not in given]))
+    return out
 
 
 def _shares(df: DataFrame, cols: Sequence[str], vocabs: Mapping[str, Sequence],
@@ -112,9 +115,7 @@ def application_features(app: DataFrame, nan_as_category: bool = False,
     appearance, one-hot the other strings, null the day sentinel, add the
     five ratio features."""
     df = app.where(not_equal_keep_null("CODE_GENDER", "XNA")) if "CODE_GENDER" in app.columns else app
-    for c in BINARY_COLUMNS:
-        if c in df.columns:
-            df = factorize(df, c, order_key)
+    df, _ = factorize_many(df, BINARY_COLUMNS, order_key)
     cats = string_columns(df)
     vocabs = _vocabs(df, cats, vocabularies)
     df, _ = one_hot(df, cats, nan_as_category=nan_as_category, vocabularies=vocabs)
@@ -154,7 +155,7 @@ def bureau_features(bureau: DataFrame, bureau_balance: DataFrame,
     bb_cats = string_columns(bureau_balance, exclude=["SK_ID_BUREAU"])
     bu_cats = string_columns(bureau, exclude=[KEY, "SK_ID_BUREAU"])
     vocabs = _vocabs(bureau_balance, bb_cats, vocabularies)
-    vocabs.update(_vocabs(bureau, bu_cats, vocabularies))
+    vocabs.update(_vocabs(bureau, bu_cats, vocabularies))  # one job per table
     bb = grouped_agg(bureau_balance, "SK_ID_BUREAU", restrict_spec(bb_spec, bureau_balance.columns),
                      extra=_shares(bureau_balance, bb_cats, vocabs, nan_as_category, ""))
     b = bureau.join(bb, "SK_ID_BUREAU", "left").drop("SK_ID_BUREAU")

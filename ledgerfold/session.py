@@ -26,6 +26,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the folded feature aggregates carry ~150 buffer fields; keep them
+        # inside whole-stage codegen (recommended on clusters too)
+        .config("spark.sql.codegen.maxFields", "2000")
         .config("spark.driver.memory", "16g")
     )
     spark = builder.getOrCreate()
