@@ -67,7 +67,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(arr).alias("kv")).select("kv.a", "kv.b", "kv.corr")
 
 
-def average_rank(df: DataFrame, col: str, out: str, n_buckets: int = 32) -> DataFrame:
+def average_rank(df: DataFrame, col: str, out: str, n_buckets: int | None = None) -> DataFrame:
     """Average rank (1-based, ties share the mean of their positions), like
     ``rank(method='average')`` -- distinct values with counts, then a
     bucketed running count (no global window over all rows)."""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerfold.operators.scan import running
+from ledgerfold.operators.scan import bucket_count, running
 
 
 def top_k(df: DataFrame, by: str, k: int, tie: Sequence[str] = (),
@@ -19,18 +19,21 @@ def top_k(df: DataFrame, by: str, k: int, tie: Sequence[str] = (),
 
 
 def top_n_per_entity(df: DataFrame, entity: str, value: str, name: str,
-                     n: int = 20, tie: Sequence[str] = ()) -> DataFrame:
+                     n: int = 20, tie: Sequence[str] = (),
+                     n_buckets: int | None = None) -> DataFrame:
     """Per entity, the n rows of largest |value| (ties by name, then ``tie``).
 
     Rows are first reduced per (entity, hash bucket) to their own top n, so
     a hot entity is ranked in parallel pieces before the final ranking
-    sees at most n × buckets rows of it.
+    sees at most n × buckets rows of it (buckets sized from the optimizer's
+    estimate of the input).
     """
     if not 1 <= n <= 50:
         raise ValueError("n must be within 1..50")
     a = F.abs(F.col(value))
     order = [a.desc(), F.col(name).asc(), *[F.col(t).asc() for t in tie]]
-    b = df.withColumn("_b", F.pmod(F.xxhash64(F.col(name)), F.lit(16)))
+    nb = n_buckets or bucket_count(df, lo=16)
+    b = df.withColumn("_b", F.pmod(F.xxhash64(F.col(name), *[F.col(t) for t in tie]), F.lit(nb)))
     w1 = Window.partitionBy(entity, "_b").orderBy(*order)
     pre = b.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= n)
     w2 = Window.partitionBy(entity).orderBy(*order)

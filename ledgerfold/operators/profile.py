@@ -40,7 +40,7 @@ def std_expr(x: Column, integral: bool) -> Column:
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float],
               groups: Sequence[str] = (), names: Sequence[str] | None = None,
-              method: str = "exact", n_buckets: int = 32) -> DataFrame:
+              method: str = "exact", n_buckets: int | None = None) -> DataFrame:
     """One row per group with one column per probability (nulls ignored)."""
     groups = list(groups)
     names = list(names) if names else [_pname(p) for p in probs]

@@ -2,11 +2,16 @@
 
 ``Window.orderBy(x)`` with no partition moves every row into one task, and
 ``Window.partitionBy(k)`` moves a hot key's rows into one task.  Instead the
-ordering column is cut into ``n_buckets`` ranges (approximate quantiles, a
-bounded list), running values are computed inside each ``(partition, bucket)``
-and the totals of all earlier buckets -- a table of at most
-``#partitions × n_buckets`` rows -- are added back.  Exact, and no task
-holds more than one bucket of one group.
+rows are range-partitioned by ``(partition columns, order column)`` -- Spark's
+range partitioner samples the bounds and places rows by binary search, so a
+key holding a third of all rows is spread over many ranges.  Running values
+are computed inside each ``(partition columns, range)`` piece, which never
+exceeds one shuffle partition, and the totals of all earlier ranges -- a table
+of at most ``#groups + #ranges`` rows -- are added back.  Exact.
+
+The range id is the post-exchange partition id.  Range bounds are fixed in
+the shuffle dependency (a retried task places rows identically), and AQE may
+only merge *adjacent* ranges, which keeps them contiguous and ordered.
 """
 
 from __future__ import annotations
@@ -18,56 +23,56 @@ from pyspark.sql import functions as F
 
 _OPS = {"sum": F.sum, "max": F.max, "min": F.min}
 
+TARGET_BUCKET_BYTES = 128 * 1024 * 1024
 
-def cut_points(df: DataFrame, order_col: str, n_buckets: int,
-               rel_err: float = 0.001) -> list:
-    """Approximate quantile cut points of ``order_col`` (bounded list)."""
-    if n_buckets <= 1:
-        return []
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.approxQuantile(order_col, probs, rel_err)
-    return sorted(set(c for c in cuts if c is not None))
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (no job is run)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimates are advisory
+        return 0
 
-def bucket_of(x: Column, cuts: Sequence) -> Column:
-    """Index of the range holding ``x``: number of cut points below it."""
-    if not cuts:
-        return F.lit(0)
-    return sum((F.when(x > F.lit(c), F.lit(1)).otherwise(F.lit(0))
-                for c in cuts), F.lit(0))
+
+def bucket_count(df: DataFrame, lo: int = 64, hi: int = 1 << 20,
+                 target_bytes: int = TARGET_BUCKET_BYTES) -> int:
+    """A power of two near ``size / target_bytes`` within [lo, hi]."""
+    n = max(lo, min(hi, estimated_bytes(df) // max(1, target_bytes)))
+    p = 1
+    while p < n:
+        p <<= 1
+    return p
 
 
 def running(df: DataFrame, order_col: str, value_cols: Sequence[str],
             partition_cols: Sequence[str] = (), op: str = "sum",
-            inclusive: bool = True, n_buckets: int = 32,
-            prefix: str = "cum_", tie_cols: Sequence[str] = ()) -> DataFrame:
+            inclusive: bool = True, n_ranges: int | None = None,
+            prefix: str = "cum_", tie_cols: Sequence[str] = (),
+            n_buckets: int | None = None) -> DataFrame:
     """Add ``<prefix><v>``: running ``op`` of each value column ordered by
     ``order_col`` (then ``tie_cols``) within ``partition_cols``.
 
-    ``inclusive=False`` gives the aggregate of strictly earlier rows (null
-    when there is none for max/min, 0 for sum).
+    ``inclusive=False`` gives the aggregate of strictly earlier rows (0 for
+    sum, null for max/min when there is none).  ``n_ranges`` defaults to the
+    session's shuffle partition count (``n_buckets`` is an alias).
     """
     if op not in _OPS:
         raise ValueError(f"op must be one of {sorted(_OPS)}")
     parts = list(partition_cols)
     agg = _OPS[op]
-    cuts = cut_points(df, order_col, n_buckets)
-    b = df.withColumn("_bkt", bucket_of(F.col(order_col), cuts))
-    order = [F.col(order_col)] + [F.col(c) for c in tie_cols]
-    w = (Window.partitionBy(*parts, "_bkt").orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding,
-                      Window.currentRow if inclusive else -1))
-    local = b.select("*", *[agg(F.col(v)).over(w).alias(f"_loc_{v}")
-                            for v in value_cols])
-    totals = b.groupBy(*parts, "_bkt").agg(
-        *[agg(F.col(v)).alias(f"_tot_{v}") for v in value_cols])
-    wb = (Window.partitionBy(*parts).orderBy("_bkt")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*parts, "_bkt", *[
-        agg(F.col(f"_tot_{v}")).over(wb).alias(f"_off_{v}")
-        for v in value_cols])
+    n = n_ranges or n_buckets
+    order = [F.col(c) for c in (*parts, order_col, *tie_cols)]
+    ranged = df.repartitionByRange(n, *order) if n else df.repartitionByRange(*order)
+    b = ranged.withColumn("_bkt", F.spark_partition_id())
+    w = (Window.partitionBy(*parts, "_bkt").orderBy(order_col, *tie_cols)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
+    local = b.select("*", *[agg(F.col(v)).over(w).alias(f"_loc_{v}") for v in value_cols])
+    totals = b.groupBy(*parts, "_bkt").agg(*[agg(F.col(v)).alias(f"_tot_{v}") for v in value_cols])
+    wb = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*parts, "_bkt", *[agg(F.col(f"_tot_{v}")).over(wb).alias(f"_off_{v}")
+                                              for v in value_cols])
     if not parts:
-        # at most n_buckets rows: a proven bound, so broadcast
+        # one row per range: bounded by the partition count, so broadcast
         offsets = F.broadcast(offsets)
     joined = local.join(offsets, [*parts, "_bkt"], "left")
     outs = []
@@ -76,8 +81,13 @@ def running(df: DataFrame, order_col: str, value_cols: Sequence[str],
         if op == "sum":
             val = F.coalesce(loc, F.lit(0)) + F.coalesce(off, F.lit(0))
         else:
-            both = (F.greatest if op == "max" else F.least)(loc, off)
-            val = both  # greatest/least skip nulls
+            val = (F.greatest if op == "max" else F.least)(loc, off)  # skip nulls
         outs.append(val.alias(f"{prefix}{v}"))
-    keep = [F.col(c) for c in df.columns]
-    return joined.select(*keep, *outs)
+    return joined.select(*[F.col(c) for c in df.columns], *outs)
+
+
+def bucket_of(x: Column, cuts: Sequence) -> Column:
+    """Index of the range holding ``x`` for a short list of cut points."""
+    if not cuts:
+        return F.lit(0)
+    return sum((F.when(x > F.lit(c), F.lit(1)).otherwise(F.lit(0)) for c in cuts), F.lit(0))

@@ -130,3 +130,24 @@ def model_facts(spark, model, feature_names: Sequence[str], threshold: float) ->
     return spark.createDataFrame(
         [row], "model_type string, n_features int, optimal_threshold double, "
                "feature_names array<string>, model_loaded boolean")
+
+
+def prepare_features(df: DataFrame, feature_names: Sequence[str] | None, key: str,
+                     exclude: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """Validate and order the scoring columns.
+
+    With a feature list: every name must exist (the error lists at most 10
+    missing names) and the frame is reordered to it.  Without one: all
+    columns except the key and ``exclude``.
+    """
+    if feature_names is None:
+        skip = {key, *exclude}
+        names = [c for c in df.columns if c not in skip]
+    else:
+        names = list(feature_names)
+        missing = [n for n in names if n not in set(df.columns)]
+        if missing:
+            shown = ", ".join(missing[:10])
+            more = f" (+{len(missing) - 10} more)" if len(missing) > 10 else ""
+            raise ValueError(f"{len(missing)} features missing: {shown}{more}")
+    return df.select(key, *names), names

@@ -21,7 +21,7 @@ from ledgerfold.operators import train as TR
 from ledgerfold.operators.encode import one_hot_columns, vocabulary
 from ledgerfold.operators.ordering import top_n_per_entity
 from ledgerfold.plans.catalog import register
-from ledgerfold.session import checkpoint_dir
+from ledgerfold.session import checkpoint_dir, cut_lineage
 from ledgerfold.sources.tables import table
 
 KEY = "doc_id"
@@ -54,8 +54,10 @@ def document_features(spark, sf) -> tuple[DataFrame, list[str]]:
 
 
 def _splits(spark, sf):
+    """Feature rows with their split, materialised once in the shared
+    checkpoint folder (every fit and score below reuses it)."""
     df, feats = document_features(spark, sf)
-    return S.stratified_split(df, [KEY], LABEL, (0.6, 0.2, 0.2), seed=42), feats
+    return cut_lineage(S.stratified_split(df, [KEY], LABEL, (0.6, 0.2, 0.2), seed=42)), feats
 
 
 def _train_test(spark, sf):
@@ -144,3 +146,25 @@ def model_info(spark, sf):
     from ledgerfold.operators.scoring import THRESHOLD
     from ledgerfold.operators.scoring import model_facts
     return model_facts(spark, m, feats, THRESHOLD)
+
+
+@register("holdout_metrics")
+def holdout_metrics(spark, sf):
+    """Fit on train, choose the cost-optimal threshold on validation, report
+    metrics on test at that threshold (and at the production threshold)."""
+    from ledgerfold.operators import evaluate as V
+    s, feats = _splits(spark, sf)
+    m = TR.fit(s.where(F.col("split") == "train"), feats, "gbt", LABEL, **GBT_PARAMS)
+    val = TR.score(m, s.where(F.col("split") == "val"), [KEY, LABEL])
+    t = V.optimal_threshold(val, LABEL, "score").first()["optimal_threshold"]
+    test = TR.score(m, s.where(F.col("split") == "test"), [KEY, LABEL])
+    from ledgerfold.operators.scoring import THRESHOLD
+    return V.metrics_at_thresholds(test, [("val_optimal", t), ("production", THRESHOLD)], LABEL, "score")
+
+
+@register("baseline_stratified")
+def baseline_stratified(spark, sf):
+    """Dummy 'stratified' baseline: a seeded hash draw with the positive rate."""
+    from ledgerfold.operators.scoring import baseline_metrics
+    from ledgerfold.plans.bind_common import scored_labels
+    return baseline_metrics(scored_labels(spark, sf), "stratified")

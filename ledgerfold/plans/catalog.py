@@ -30,6 +30,7 @@ def load_all() -> None:
         bind_cleaning,
         bind_eval,
         bind_features,
+        bind_joins,
         bind_models,
         bind_profile,
         bind_sources,

@@ -72,3 +72,14 @@ def test_entity_ids(spark):
     df = spark.createDataFrame([(3,), (1,), (3,), (None,)], "k long")
     r = FS.entity_ids(df, "k").collect()
     assert [x.client_id for x in r] == [1, 3] and r[0].total == 2
+
+
+def test_prepare_features_validation(spark):
+    from ledgerfold.operators.scoring import prepare_features
+    df = spark.createDataFrame([(1, 1.0, 2.0, 3.0)], "id long, a double, b double, TARGET double")
+    out, names = prepare_features(df, ["b", "a"], "id")
+    assert out.columns == ["id", "b", "a"]
+    with pytest.raises(ValueError, match="12 features missing"):
+        prepare_features(df, [f"m{i}" for i in range(12)], "id")
+    _, names = prepare_features(df, None, "id", exclude=["TARGET"])
+    assert names == ["a", "b"]
