@@ -37,18 +37,14 @@ def _var(x: Column, integral: bool) -> Column:
 
 
 def agg_expr(func: str, x: Column, integral: bool,
-             cond: Column | None = None) -> Column:
+             cond: Column | None = None, n_rows: Column | None = None) -> Column:
     """One aggregate; with ``cond`` it only sees rows where cond is true
-    and is null when no row qualifies."""
+    and is null when no row qualifies.  ``cond`` must already be null-safe
+    (``coalesce(cond, false)``) and ``n_rows`` its ``count_if``; callers
+    build both once per subset."""
     if func not in FUNCS:
         raise ValueError(f"unknown aggregate {func!r}; expected one of {FUNCS}")
-    if cond is not None:
-        cond = F.coalesce(cond, F.lit(False))
-        xv = F.when(cond, x)
-        n_rows = F.count_if(cond)
-    else:
-        xv = x
-        n_rows = None
+    xv = x if cond is None else F.when(cond, x)
     if func == "min":
         return F.min(xv)
     if func == "max":
@@ -58,8 +54,7 @@ def agg_expr(func: str, x: Column, integral: bool,
     if func == "var":
         return _var(xv, integral)
     if func == "nunique":
-        return F.count_distinct(xv) if cond is None else \
-            F.when(n_rows > 0, F.count_distinct(xv))
+        return F.count_distinct(xv) if cond is None else F.when(n_rows > 0, F.count_distinct(xv))
     if func == "count":
         return F.count(xv) if cond is None else F.when(n_rows > 0, F.count(xv))
     if func == "size":
@@ -72,14 +67,18 @@ def agg_expr(func: str, x: Column, integral: bool,
 def spec_columns(df: DataFrame, spec: Spec, prefix: str = "",
                  cond: Column | None = None) -> list[Column]:
     types = {f.name: f.dataType for f in df.schema.fields}
+    n_rows = None
+    if cond is not None:
+        cond = F.coalesce(cond, F.lit(False))
+        n_rows = F.count_if(cond)
     out = []
     for col, funcs in spec.items():
         if col not in types:
             raise ValueError(f"spec column {col!r} not in frame")
         integral = is_integral(types[col])
+        x = F.col(col)
         for fn in funcs:
-            out.append(agg_expr(fn, F.col(col), integral, cond)
-                       .alias(f"{prefix}{col}_{fn.upper()}"))
+            out.append(agg_expr(fn, x, integral, cond, n_rows).alias(f"{prefix}{col}_{fn.upper()}"))
     return out
 
 

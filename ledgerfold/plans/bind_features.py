@@ -365,12 +365,17 @@ def fe_installments(spark, sf):
 
 # Everything folded onto the application rows
 def full_view(spark, sf):
-    app = FE.application_features(app_view(spark, sf), nan_as_category=False)
-    kids = [FE.bureau_features(bureau_view(spark, sf), balance_view(spark, sf)),
-            FE.previous_features(previous_view(spark, sf), spec=_PREV_SPEC),
-            FE.pos_features(pos_view(spark, sf)),
-            FE.installments_features(installments_view(spark, sf), spec=_INS_SPEC),
-            FE.credit_card_features(card_view(spark, sf))]
+    views = {"app": app_view(spark, sf), "bureau": bureau_view(spark, sf), "bb": balance_view(spark, sf),
+             "prev": previous_view(spark, sf), "pos": pos_view(spark, sf),
+             "ins": installments_view(spark, sf), "cc": card_view(spark, sf)}
+    # NAME_CONTRACT_* columns differ per table: vocabularies are per table
+    voc = dict(zip(views, FE.plan_vocabularies(list(views.values()))))
+    app = FE.application_features(views["app"], nan_as_category=False, vocabularies=voc["app"])
+    kids = [FE.bureau_features(views["bureau"], views["bb"], vocabularies={**voc["bureau"], **voc["bb"]}),
+            FE.previous_features(views["prev"], spec=_PREV_SPEC, vocabularies=voc["prev"]),
+            FE.pos_features(views["pos"], vocabularies=voc["pos"]),
+            FE.installments_features(views["ins"], spec=_INS_SPEC, vocabularies=voc["ins"]),
+            FE.credit_card_features(views["cc"], vocabularies=voc["cc"])]
     return FE.assemble(app, kids)
 
 

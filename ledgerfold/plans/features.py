@@ -272,29 +272,48 @@ def assemble(application: DataFrame, children: Sequence[DataFrame]) -> DataFrame
     return clean_names(out)
 
 
+def plan_vocabularies(frames: Sequence[DataFrame],
+                      exclude: Sequence[str] = (KEY, "SK_ID_BUREAU", "SK_ID_PREV"),
+                      parallelism: int = 8) -> list[dict]:
+    """Vocabularies of every string column, one dict (and one job) per
+    table, the jobs submitted concurrently from driver threads.  Tables are
+    kept apart: the same column name can hold other values elsewhere."""
+    from concurrent.futures import ThreadPoolExecutor
+    jobs = [(f, string_columns(f, exclude=exclude)) for f in frames]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(lambda fc: collect_vocabularies(fc[0], fc[1]), jobs))
+
+
 def full_features(tables: Mapping[str, DataFrame], nan_as_category: bool = True,
-                  vocabularies: Mapping[str, Sequence] | None = None) -> DataFrame:
+                  vocabularies: Mapping[str, Mapping[str, Sequence]] | None = None) -> DataFrame:
     """All seven tables -> one feature row per application.
 
     ``tables`` holds ``application, bureau, bureau_balance,
     previous_application, POS_CASH_balance, installments_payments,
-    credit_card_balance``; missing children are skipped.
+    credit_card_balance``; missing children are skipped.  ``vocabularies``
+    maps a table name to its column vocabularies (e.g. from training);
+    otherwise they are collected, one concurrent job per table.
     """
-    app = application_features(tables["application"], False, vocabularies)
+    names = list(tables)
+    if vocabularies is None:
+        vocabularies = dict(zip(names, plan_vocabularies([tables[n] for n in names])))
+    voc = {n: dict(vocabularies.get(n, {})) for n in names}
+    app = application_features(tables["application"], False, voc["application"])
     kids = []
     if "bureau" in tables and "bureau_balance" in tables:
-        kids.append(bureau_features(tables["bureau"], tables["bureau_balance"],
-                                    nan_as_category, vocabularies))
+        kids.append(bureau_features(tables["bureau"], tables["bureau_balance"], nan_as_category,
+                                    {**voc["bureau"], **voc["bureau_balance"]}))
     if "previous_application" in tables:
-        kids.append(previous_features(tables["previous_application"], nan_as_category, vocabularies))
+        kids.append(previous_features(tables["previous_application"], nan_as_category,
+                                      voc["previous_application"]))
     if "POS_CASH_balance" in tables:
-        kids.append(pos_features(tables["POS_CASH_balance"], nan_as_category, vocabularies))
+        kids.append(pos_features(tables["POS_CASH_balance"], nan_as_category, voc["POS_CASH_balance"]))
     if "installments_payments" in tables:
         kids.append(installments_features(tables["installments_payments"], nan_as_category,
-                                          vocabularies))
+                                          voc["installments_payments"]))
     if "credit_card_balance" in tables:
         kids.append(credit_card_features(tables["credit_card_balance"], nan_as_category,
-                                         vocabularies))
+                                         voc["credit_card_balance"]))
     return assemble(app, kids)
 
 
