@@ -90,6 +90,13 @@ def _pick(j: DataFrame, value: str, probs, names, groups) -> DataFrame:
 
 # -- counts -----------------------------------------------------------------
 
+def with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row (the one-row
+    side is broadcast: its size is fixed)."""
+    return (df.withColumn("_one", F.lit(1))
+            .join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+
+
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Rows per value (null is its own value), most frequent first."""
     return (df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
@@ -169,16 +176,22 @@ def null_rates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
             .orderBy(F.desc("n_null"), "column"))
 
 
-def column_profile(df: DataFrame, method: str = "exact") -> DataFrame:
+def column_profile(df: DataFrame, method: str = "exact", distinct: str = "exact") -> DataFrame:
     """Per column: type, rows, non-null, null rate, distinct count/rate and,
-    for numeric columns, mean/std/min/quartiles/max."""
+    for numeric columns, mean/std/min/quartiles/max.
+
+    Exact distinct counts of k columns make Spark expand every row k times
+    before de-duplicating; on very wide, very large tables ``distinct="approx"``
+    uses HyperLogLog++ (algebraic, no expansion, ~1% error)."""
     cols = df.columns
     dtypes = dict(df.dtypes)
     n = F.count(F.lit(1))
+    nd = (F.count_distinct if distinct == "exact"
+          else (lambda c: F.approx_count_distinct(c, 0.01)))
     wide = df.agg(n.alias("_n"), *[
         x for i, c in enumerate(cols) for x in (
             F.count(F.col(c)).alias(f"_nn_{i}"),
-            F.count_distinct(F.col(c)).alias(f"_nd_{i}"))])
+            nd(F.col(c)).alias(f"_nd_{i}"))])
     pairs = F.array(*[F.struct(
         F.lit(c).alias("column"), F.lit(dtypes[c]).alias("dtype"),
         F.col(f"_nn_{i}").alias("non_null"), F.col(f"_nd_{i}").alias("n_distinct"))
@@ -239,11 +252,9 @@ def target_rate_by_category(df: DataFrame, cat: str, label: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label)).cast("bigint").alias("n_pos"),
         F.try_divide(F.sum(F.col(label)).cast("double"),
                      F.count(F.col(label)).cast("double")).alias("rate"))
-    # one row per category: the window sees a bounded (vocabulary-size) table
-    from pyspark.sql import Window
-    total = F.sum("n").over(Window.partitionBy())
-    return g.select("*", (F.col("n") * 100.0 / total).alias("pct_rows")) \
-        .orderBy(F.desc("rate"), F.asc_nulls_last(cat))
+    tot = df.agg(F.count(F.lit(1)).alias("_tot"))  # one row
+    return (with_one_row(g, tot).select(*g.columns, (F.col("n") * 100.0 / F.col("_tot")).alias("pct_rows"))
+            .orderBy(F.desc("rate"), F.asc_nulls_last(cat)))
 
 
 def target_rate_by_bin(df: DataFrame, value: str, edges: Sequence[float],
@@ -260,10 +271,9 @@ def target_rate_by_bin(df: DataFrame, value: str, edges: Sequence[float],
 
 
 def category_class_counts(df: DataFrame, cat: str, label: str) -> DataFrame:
-    from pyspark.sql import Window
     g = df.groupBy(cat, label).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())  # bounded: categories × classes
-    return g.select("*", (F.col("n") * 100.0 / total).alias("pct_rows"))
+    tot = df.agg(F.count(F.lit(1)).alias("_tot"))  # one row
+    return with_one_row(g, tot).select(*g.columns, (F.col("n") * 100.0 / F.col("_tot")).alias("pct_rows"))
 
 
 # -- shapes -----------------------------------------------------------------

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.operators import evaluate as V
@@ -78,12 +78,12 @@ def baseline_metrics(df: DataFrame, strategy: str, label: str = "label",
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights ``n / (2·n_c)`` and ``scale_pos_weight = neg/pos``."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy()  # one row per class: a bounded table
-    tot = F.sum("n").over(w)
-    neg = F.sum(F.when(F.col(label) == 0, F.col("n"))).over(w)
-    pos = F.sum(F.when(F.col(label) == 1, F.col("n"))).over(w)
-    return c.select(label, "n", (tot.cast("double") / (F.col("n") * 2.0)).alias("weight"),
-                    F.try_divide(neg.cast("double"), pos.cast("double")).alias("scale_pos_weight"))
+    y = F.col(label)
+    t = df.agg(F.count(F.lit(1)).alias("_tot"), F.count_if(y == 0).alias("_neg"),
+               F.count_if(y == 1).alias("_pos"))  # one row
+    return _with_one_row(c, t).select(
+        label, "n", (F.col("_tot").cast("double") / (F.col("n") * 2.0)).alias("weight"),
+        F.try_divide(F.col("_neg").cast("double"), F.col("_pos").cast("double")).alias("scale_pos_weight"))
 
 
 def best_by(df: DataFrame, groups: Sequence[str], value: str, id_col: str,
