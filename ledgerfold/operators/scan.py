@@ -9,9 +9,15 @@ are computed inside each ``(partition columns, range)`` piece, which never
 exceeds one shuffle partition, and the totals of all earlier ranges -- a table
 of at most ``#groups + #ranges`` rows -- are added back.  Exact.
 
-The range id is the post-exchange partition id.  Range bounds are fixed in
-the shuffle dependency (a retried task places rows identically), and AQE may
-only merge *adjacent* ranges, which keeps them contiguous and ordered.
+The range id is the post-exchange partition id, and it must be the *same*
+in the two places that use it (running values and range totals).  Two plan
+branches would each get their own range exchange -- sampled with a seed
+derived from the RDD id and coalesced independently by AQE -- so the
+bucketed rows are materialised once with a reliable checkpoint (in
+``spark.checkpoint.dir``) and both branches read that.  Within the one
+exchange, bounds are fixed in the shuffle dependency (a retried task places
+rows identically) and AQE only merges *adjacent* ranges, which keeps them
+contiguous and ordered.
 """
 
 from __future__ import annotations
@@ -21,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerfold.session import cut_lineage
+
 _OPS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 TARGET_BUCKET_BYTES = 128 * 1024 * 1024
@@ -63,7 +71,7 @@ def running(df: DataFrame, order_col: str, value_cols: Sequence[str],
     n = n_ranges or n_buckets
     order = [F.col(c) for c in (*parts, order_col, *tie_cols)]
     ranged = df.repartitionByRange(n, *order) if n else df.repartitionByRange(*order)
-    b = ranged.withColumn("_bkt", F.spark_partition_id())
+    b = cut_lineage(ranged.withColumn("_bkt", F.spark_partition_id()))
     w = (Window.partitionBy(*parts, "_bkt").orderBy(order_col, *tie_cols)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
     local = b.select("*", *[agg(F.col(v)).over(w).alias(f"_loc_{v}") for v in value_cols])
