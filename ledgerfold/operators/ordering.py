@@ -43,11 +43,12 @@ def top_n_per_entity(df: DataFrame, entity: str, value: str, name: str,
 
 def running_best(df: DataFrame, order_col: str, value: str,
                  partition_cols: Sequence[str] = (), maximize: bool = True,
-                 out: str = "best_so_far", tie_cols: Sequence[str] = ()) -> DataFrame:
+                 out: str = "best_so_far", tie_cols: Sequence[str] = (),
+                 n_ranges: int | None = None) -> DataFrame:
     """Best value so far (inclusive) in ``order_col`` order per partition."""
     r = running(df, order_col, [value], partition_cols,
                 op="max" if maximize else "min", inclusive=True,
-                prefix="_best_", tie_cols=tie_cols)
+                prefix="_best_", tie_cols=tie_cols, n_ranges=n_ranges)
     return r.withColumnRenamed(f"_best_{value}", out)
 
 
