@@ -42,6 +42,14 @@ class Tree:
         return float(self.value[j])
 
 
+def collect_ensemble(nodes: DataFrame, kind: str, weights: Sequence[float]) -> list[tuple[float, Tree]]:
+    """Bring a node table to the driver after proving its size bound."""
+    n = nodes.limit(MAX_NODES + 1).count()
+    if n > MAX_NODES:
+        raise ValueError(f"ensemble has more than {MAX_NODES} nodes; not broadcast")
+    return trees_from_nodes(nodes.toPandas(), kind, weights)
+
+
 def trees_from_nodes(nodes: pd.DataFrame, kind: str, weights: Sequence[float]) -> list[tuple[float, Tree]]:
     """Node table (pandas, one tree per treeID) -> [(scale, Tree)]."""
     if len(nodes) > MAX_NODES:

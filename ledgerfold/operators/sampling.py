@@ -104,10 +104,11 @@ def stratified_sample(df: DataFrame, key_cols: Sequence[str], label: str | None,
 
 def split_summary(split_df: DataFrame, label: str, n_features: int) -> DataFrame:
     """Size, share of rows and positive rate per split, plus feature count."""
-    tot = split_df.count()
-    return split_df.groupBy("split").agg(
+    per = split_df.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"),
-        (F.count(F.lit(1)) / F.lit(float(tot))).alias("ratio"),
         F.try_divide(F.sum(label).cast("double"), F.count(label).cast("double"))
-        .alias("positive_rate"),
-        F.lit(n_features).alias("n_features"))
+        .alias("positive_rate"))
+    tot = split_df.agg(F.count(F.lit(1)).alias("_tot"))  # one row, broadcast
+    j = per.withColumn("_k", F.lit(1)).join(F.broadcast(tot.withColumn("_k", F.lit(1))), "_k")
+    return j.select("split", "n", (F.col("n") / F.col("_tot").cast("double")).alias("ratio"),
+                    "positive_rate", F.lit(n_features).alias("n_features"))

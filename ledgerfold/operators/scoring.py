@@ -23,8 +23,12 @@ GRANT_TEXT = "grant: default risk below threshold"
 
 def decide(requests: DataFrame, scored: DataFrame, key: str, prob: str,
            threshold: float = THRESHOLD) -> DataFrame:
-    """Requested ids with a score -> probability, 0/1 decision, text."""
-    j = requests.select(key).distinct().join(scored, key, "inner")
+    """Requested ids with a score -> probability, 0/1 decision, text.
+
+    A request list is usually small: it is broadcast when its size is proven
+    below the bound, otherwise both sides are shuffled by the key."""
+    from ledgerfold.operators.joins import bounded_broadcast
+    j = bounded_broadcast(requests.select(key).distinct()).join(scored, key, "inner")
     p = F.col(prob)
     return j.select(
         F.col(key), p.alias("probability"), (p >= F.lit(threshold)).cast("int").alias("prediction"),

@@ -108,9 +108,10 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame
 def with_balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """``n / (2·n_c)`` per row (class counts: a two-row table)."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = df.count()
-    w = c.select(label, (F.lit(float(tot)) / (F.col("_nc") * 2.0)).alias(out))
-    return df.join(F.broadcast(w), label, "left")
+    tot = df.agg(F.count(F.lit(1)).alias("_tot"))  # one row
+    w = (c.withColumn("_k", F.lit(1)).join(F.broadcast(tot.withColumn("_k", F.lit(1))), "_k")
+         .select(label, (F.col("_tot").cast("double") / (F.col("_nc") * 2.0)).alias(out)))
+    return df.join(F.broadcast(w), label, "left")  # one row per class
 
 
 # -- cross-validation ------------------------------------------------------------

@@ -29,7 +29,8 @@ def inner_join(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey",
                                              "l_quantity", "l_extendedprice")
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_retailprice")
-    j = li.join(p, "l_partkey", "inner")
+    # the dimension is broadcast only below a proven row bound, else shuffled
+    j = li.join(JN.bounded_broadcast(p, 5_000_000), "l_partkey", "inner")
     return j.select("l_orderkey", "l_linenumber", "l_partkey", "p_name", "p_retailprice",
                     F.try_divide(F.col("l_extendedprice"), F.col("l_quantity") * F.col("p_retailprice"))
                     .alias("price_ratio"))

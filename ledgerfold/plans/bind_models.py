@@ -131,8 +131,8 @@ def split_gain_importance(spark, sf):
 @register("shap_top_n")
 def shap_top_n(spark, sf):
     m, gbt, nodes, test, names = _gbt_with_nodes(spark, sf)
-    # bounded: trees × nodes of depth ≤ maxDepth (checked in trees_from_nodes)
-    ens = A.trees_from_nodes(nodes.toPandas(), "gbt", TR.tree_weights(gbt))
+    # bounded: trees × nodes of depth ≤ maxDepth, checked before collecting
+    ens = A.collect_ensemble(nodes, "gbt", TR.tree_weights(gbt))
     prepared = m.transform(test).select(KEY, "features")
     long = A.shap_long(prepared, KEY, "features", ens, names)
     attrs = long.where(F.col("feature") != "__base__")
