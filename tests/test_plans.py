@@ -38,3 +38,20 @@ def test_no_cartesian_no_python(spark, key):
     plan = _plan(E.queries()[key](spark, SF001))
     assert "CartesianProduct" not in plan
     assert not any(n in plan for n in PYTHON_NODES)
+
+
+def test_fe_full_one_exchange_per_child(spark):
+    """Survey §4: each child is shuffled once by the client key; the
+    assembly joins reuse that partitioning (no re-shuffle of children)."""
+    import re
+    from tests.conftest import SF01
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # force shuffle joins
+    try:
+        plan = _plan(E.queries()["fe_full"](spark, SF01))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    by_client = re.findall(r"Exchange hashpartitioning\(SK_ID_CURR#\d+L, \d+\)", plan)
+    # application side once + five folded children once each
+    assert len(by_client) == 6, plan
+    assert plan.count("SortMergeJoin") >= 5
