@@ -35,10 +35,18 @@ def _types(df):
     return {f.name: f.dataType for f in df.schema.fields}
 
 
-def corr_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
+def _exact(t, a, b, exact):
+    """Exact moments for integral pairs unless ``exact=False`` (fast double
+    path, e.g. on very large tables where last-bit reproducibility is not
+    needed)."""
+    return (exact is not False) and is_integral(t[a]) and is_integral(t[b])
+
+
+def corr_with_target(df: DataFrame, cols: Sequence[str], target: str,
+                     exact: bool | None = None) -> DataFrame:
     """``(feature, corr)`` for every column against the target, by corr desc."""
     t = _types(df)
-    ex = {c: is_integral(t[c]) and is_integral(t[target]) for c in cols}
+    ex = {c: _exact(t, c, target, exact) for c in cols}
     wide = df.agg(*[corr_expr(F.col(c), F.col(target), ex[c]).alias(f"_r{i}")
                     for i, c in enumerate(cols)])
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_r{i}").alias("corr"))
@@ -47,19 +55,20 @@ def corr_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFra
             .orderBy(F.desc_nulls_last("corr"), "feature"))
 
 
-def top_abs_corr(df: DataFrame, cols: Sequence[str], target: str, k: int = 10) -> DataFrame:
+def top_abs_corr(df: DataFrame, cols: Sequence[str], target: str, k: int = 10,
+                 exact: bool | None = None) -> DataFrame:
     """k strongest correlations by absolute value (a top-k report)."""
-    c = corr_with_target(df, cols, target)
+    c = corr_with_target(df, cols, target, exact)
     return (c.select("*", F.abs("corr").alias("abs_corr"))
             .orderBy(F.desc_nulls_last("abs_corr"), "feature").limit(k))
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def corr_matrix(df: DataFrame, cols: Sequence[str], exact: bool | None = None) -> DataFrame:
     """Upper triangle (incl. diagonal) of the pairwise-complete matrix as
     long rows ``(a, b, corr)`` -- one aggregation pass."""
     t = _types(df)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.agg(*[corr_expr(F.col(a), F.col(b), is_integral(t[a]) and is_integral(t[b]))
+    wide = df.agg(*[corr_expr(F.col(a), F.col(b), _exact(t, a, b, exact))
                     .alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
     arr = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
                              F.col(f"_r{i}").alias("corr"))

@@ -39,8 +39,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (tests on a laptop) a private temporary folder is created.
+    Reads ``spark.checkpoint.dir`` from the session.  Only in local mode
+    (tests, bench) and only when it is unset is a private temporary folder
+    created; on a cluster an unset folder is an error, because a
+    machine-local folder would not survive the loss of that machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +50,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the "
+                               "cluster file system) before running ledgerfold jobs")
         conf_dir = tempfile.mkdtemp(prefix="ledgerfold-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
