@@ -85,7 +85,10 @@ def average_rank(df: DataFrame, col: str, out: str, n_buckets: int | None = None
     r = running(dv, col, ["_c"], inclusive=False, n_buckets=n_buckets, prefix="_below")
     # average of positions below+1 .. below+c  ==  below + (c + 1) / 2
     ranks = r.select(col, (F.col("_below_c") * 2 + F.col("_c") + 1).alias(f"_{out}2"))
-    return df.join(ranks, col, "left")
+    # one row per distinct value: broadcast when provably small, so a hot
+    # value does not skew a shuffle join; otherwise AQE splits skewed keys
+    from ledgerfold.operators.joins import bounded_broadcast
+    return df.join(bounded_broadcast(ranks), col, "left")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

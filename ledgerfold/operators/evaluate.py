@@ -114,7 +114,8 @@ def _cumulated(df: DataFrame, label: str, score: str, groups: Sequence[str]):
     r = running(d, score, ["pos", "neg"], groups, inclusive=False, prefix="below_")
     wtot = d.groupBy(*groups).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if groups:
-        j = r.join(wtot, groups, "inner")
+        from ledgerfold.operators.joins import bounded_broadcast
+        j = r.join(bounded_broadcast(wtot), groups, "inner")  # one row per group
     else:  # one-row totals
         j = r.withColumn("_k", F.lit(1)).join(
             F.broadcast(wtot.withColumn("_k", F.lit(1))), "_k").drop("_k")

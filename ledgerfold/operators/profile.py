@@ -62,6 +62,11 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float],
     sizes = dv.groupBy(*groups).agg(F.sum("_c").alias("_n"))
     if synthetic:
         sizes = F.broadcast(sizes)  # exactly one row
+    else:
+        # one row per group: broadcast when provably small so that a hot
+        # group does not skew the join
+        from ledgerfold.operators.joins import bounded_broadcast
+        sizes = bounded_broadcast(sizes)
     out = _pick(ranked.join(sizes, groups, "inner"), value, probs, names, groups)
     return out.drop("_all") if synthetic else out
 
@@ -323,10 +328,13 @@ def box_stats(df: DataFrame, value: str, groups: Sequence[str] = (),
     q = q.select("*", (F.col("q1") - 1.5 * F.col("iqr")).alias("_lo"),
                  (F.col("q3") + 1.5 * F.col("iqr")).alias("_hi"))
     x = F.col(value).cast("double")
+    from ledgerfold.operators.joins import bounded_broadcast
     if groups:
-        j = df.join(q, groups, "inner")
+        # one row per group, broadcast when provably small (hot groups then
+        # cannot skew the join)
+        j = df.join(bounded_broadcast(q), groups, "inner")
     else:
-        j = df.join(F.broadcast(q), how="inner")  # one row
+        j = with_one_row(df, q)
     inside = (x >= F.col("_lo")) & (x <= F.col("_hi"))
     a = j.where(x.isNotNull()).groupBy(*groups, "q1", "median", "q3", "iqr").agg(
         F.min(F.when(inside, x)).alias("whisker_low"),

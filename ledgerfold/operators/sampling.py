@@ -64,7 +64,10 @@ def stratified_split(df: DataFrame, key_cols: Sequence[str], label: str,
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     n_test, n_val = split_quotas(F.col("_n"), te, va)
     sizes = sizes.select(label, "_n", n_test.alias("_nt"), n_val.alias("_nv"))
-    j = r.join(sizes, label, "inner")
+    # one row per class: joining it by label with a shuffle would send the
+    # whole majority class to one task, so it is broadcast (size checked)
+    from ledgerfold.operators.joins import bounded_broadcast
+    j = r.join(bounded_broadcast(sizes, 100_000), label, "inner")
     rank = F.col("_rank")
     split = (F.when(rank < F.col("_nt"), F.lit("test"))
              .when(rank < F.col("_nt") + F.col("_nv"), F.lit("val"))
