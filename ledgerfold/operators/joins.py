@@ -37,13 +37,17 @@ def left_join_fanout(parent: DataFrame, child: DataFrame, parent_key: str,
 
 
 def anti_join(df: DataFrame, other: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    return df.join(other, key, "left_anti")
+    """Rows of ``df`` without a match.  The other side is reduced to its
+    distinct keys first (map-side), so a key repeated there many times cannot
+    skew the join (AQE can split only the left side of an anti join)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.join(other.select(*keys).distinct(), keys, "left_anti")
 
 
 def key_intersection(a: DataFrame, a_key: str, b: DataFrame, b_key: str) -> DataFrame:
     """Distinct keys present in both frames."""
     ka = a.select(F.col(a_key).alias("key")).distinct()
-    kb = b.select(F.col(b_key).alias("key"))
+    kb = b.select(F.col(b_key).alias("key")).distinct()  # no hot key on the semi side
     return ka.join(kb, "key", "left_semi")
 
 
