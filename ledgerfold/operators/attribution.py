@@ -25,11 +25,22 @@ MAX_NODES = 2_000_000
 
 
 class Tree:
-    __slots__ = ("left", "right", "feature", "threshold", "value", "cover")
+
+    __slots__ = ("left", "right", "feature", "threshold", "value", "cover", "depth")
 
     def __init__(self, left, right, feature, threshold, value, cover):
         self.left, self.right, self.feature = left, right, feature
         self.threshold, self.value, self.cover = threshold, value, cover
+        self.depth = self._depth()
+
+    def _depth(self) -> int:
+        best, stack = 0, [(0, 0)]
+        while stack:
+            j, dep = stack.pop()
+            best = max(best, dep)
+            if self.left[j] >= 0:
+                stack += [(self.left[j], dep + 1), (self.right[j], dep + 1)]
+        return best
 
     def expected(self) -> float:
         leaves = self.left < 0
@@ -152,12 +163,101 @@ def tree_shap(tree: Tree, x, phi, scale: float) -> None:
     rec(0, d, z, o, w, 0, 1.0, 1.0, -1)
 
 
-def explain_rows(ensemble: list[tuple[float, Tree]], X: np.ndarray) -> tuple[np.ndarray, float]:
+# -- the same recursion, vectorised over the rows of a batch -------------------------
+#
+# Every row visits every node (hot and cold children are both followed), and
+# the sequence of split features on the path is the same for all rows; only
+# the zero/one fractions differ.  So the path state becomes ``rows × depth``
+# arrays, per-row branches become ``np.where``, and one pass over the tree
+# explains a whole Arrow batch.
+
+def _extend_v(d, z, o, w, depth, pz, po, pi):
+    d[depth] = pi
+    z[:, depth], o[:, depth] = pz, po
+    w[:, depth] = 1.0 if depth == 0 else 0.0
+    for i in range(depth - 1, -1, -1):
+        w[:, i + 1] += po * w[:, i] * (i + 1) / (depth + 1)
+        w[:, i] = pz * w[:, i] * (depth - i) / (depth + 1)
+
+
+def _unwind_v(d, z, o, w, depth, k):
+    one, zero = o[:, k].copy(), z[:, k].copy()
+    has_one = one != 0
+    safe_one = np.where(has_one, one, 1.0)
+    safe_zero = np.where(zero != 0, zero, 1.0)
+    nxt = w[:, depth].copy()
+    for i in range(depth - 1, -1, -1):
+        wa = nxt * (depth + 1) / ((i + 1) * safe_one)
+        nxt_a = w[:, i] - wa * zero * (depth - i) / (depth + 1)
+        wb = w[:, i] * (depth + 1) / (safe_zero * (depth - i))
+        w[:, i] = np.where(has_one, wa, wb)
+        nxt = np.where(has_one, nxt_a, nxt)
+    for i in range(k, depth):
+        d[i] = d[i + 1]
+        z[:, i], o[:, i] = z[:, i + 1], o[:, i + 1]
+
+
+def _unwound_sum_v(z, o, w, depth, k):
+    one, zero = o[:, k], z[:, k]
+    has_one = one != 0
+    safe_one = np.where(has_one, one, 1.0)
+    safe_zero = np.where(zero != 0, zero, 1.0)
+    nxt = w[:, depth].copy()
+    tot_a = np.zeros(len(one))
+    tot_b = np.zeros(len(one))
+    for i in range(depth - 1, -1, -1):
+        tmp = nxt / ((i + 1) * safe_one)
+        tot_a += tmp
+        nxt = w[:, i] - tmp * zero * (depth - i)
+        tot_b += w[:, i] / (safe_zero * (depth - i))
+    return np.where(has_one, tot_a, tot_b) * (depth + 1)
+
+
+def tree_shap_batch(tree: Tree, X: np.ndarray, phi: np.ndarray, scale: float) -> None:
+    """Add ``scale ×`` the Shapley values of one tree for every row of ``X``."""
+    n = X.shape[0]
+    max_d = tree.depth + 2  # path length never exceeds the tree depth + 1
+
+    def rec(j, d, z, o, w, depth, pz, po, pi):
+        d, z, o, w = d.copy(), z.copy(), o.copy(), w.copy()
+        _extend_v(d, z, o, w, depth, pz, po, pi)
+        if tree.left[j] < 0:
+            for i in range(1, depth + 1):
+                s = _unwound_sum_v(z, o, w, depth, i)
+                phi[:, d[i]] += scale * s * (o[:, i] - z[:, i]) * tree.value[j]
+            return
+        f = tree.feature[j]
+        goes_left = X[:, f] <= tree.threshold[j]
+        iz = np.ones(n)
+        io = np.ones(n)
+        k = next((i for i in range(1, depth + 1) if d[i] == f), None)
+        if k is not None:
+            iz, io = z[:, k].copy(), o[:, k].copy()
+            _unwind_v(d, z, o, w, depth, k)
+            depth -= 1
+        c = tree.cover[j]
+        left, right = tree.left[j], tree.right[j]
+        rec(left, d, z, o, w, depth + 1, iz * tree.cover[left] / c, np.where(goes_left, io, 0.0), f)
+        rec(right, d, z, o, w, depth + 1, iz * tree.cover[right] / c, np.where(goes_left, 0.0, io), f)
+
+    d = np.zeros(max_d, np.int64)
+    z = np.zeros((n, max_d))
+    o = np.zeros((n, max_d))
+    w = np.zeros((n, max_d))
+    rec(0, d, z, o, w, 0, np.ones(n), np.ones(n), -1)
+
+
+def explain_rows(ensemble: list[tuple[float, Tree]], X: np.ndarray,
+                 vectorised: bool = True) -> tuple[np.ndarray, float]:
     """(phi matrix rows × features, expected value) for a batch."""
     phi = np.zeros(X.shape)
-    for r in range(X.shape[0]):
+    if vectorised:
         for scale, tree in ensemble:
-            tree_shap(tree, X[r], phi[r], scale)
+            tree_shap_batch(tree, X, phi, scale)
+    else:
+        for r in range(X.shape[0]):
+            for scale, tree in ensemble:
+                tree_shap(tree, X[r], phi[r], scale)
     base = float(sum(scale * t.expected() for scale, t in ensemble))
     return phi, base
 

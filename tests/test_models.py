@@ -85,3 +85,15 @@ def test_shap_top_n_invariants(spark):
     for r in rows:
         per.setdefault(r.doc_id, []).append(r)
     assert all(len(v) <= 5 for v in per.values())
+
+
+def test_vectorised_tree_shap_equals_row_by_row(spark, data):
+    df, feats = data
+    m = TR.fit(df, feats, "gbt", "label", maxIter=6, maxDepth=4)
+    gbt = m.stages[-1]
+    nodes = TR.tree_nodes(gbt, spark, tempfile.mkdtemp(prefix="lf-vec-"))
+    ens = A.collect_ensemble(nodes, "gbt", TR.tree_weights(gbt))
+    X = np.vstack([v.toArray() for v in m.transform(df).select("features").limit(40).toPandas()["features"]])
+    fast, b1 = A.explain_rows(ens, X, vectorised=True)
+    slow, b2 = A.explain_rows(ens, X, vectorised=False)
+    assert b1 == b2 and np.allclose(fast, slow, atol=1e-12)
