@@ -155,3 +155,25 @@ def prepare_features(df: DataFrame, feature_names: Sequence[str] | None, key: st
             more = f" (+{len(missing) - 10} more)" if len(missing) > 10 else ""
             raise ValueError(f"{len(missing)} features missing: {shown}{more}")
     return df.select(key, *names), names
+
+
+def score_clients(model, features: DataFrame, feature_names: Sequence[str] | None,
+                  requests: DataFrame, key: str, threshold: float = THRESHOLD,
+                  exclude: Sequence[str] = ()) -> DataFrame:
+    """The serving path as one job: requested ids ⋈ feature rows, features
+    validated and ordered (B21), remaining nulls filled with 0 (B22), the
+    fitted pipeline applied, probability of class 1 decided at the threshold
+    (J4); requested ids without a feature row are reported (J5)."""
+    from pyspark.ml.functions import vector_to_array
+    feats, names = prepare_features(features, feature_names, key, exclude)
+    filled = feats.na.fill(0.0, subset=list(names))
+    scored = model.transform(filled).select(
+        F.col(key), vector_to_array("probability")[1].alias("probability"))
+    found = decide(requests, scored, key, "probability", threshold)
+    missing = request_status(requests.select(key).distinct(), feats, key).where(
+        F.col("status") == "not found")
+    return found.withColumn("status", F.lit("found")).unionByName(
+        missing.select(key, F.lit(None).cast("double").alias("probability"),
+                       F.lit(None).cast("int").alias("prediction"),
+                       F.lit(float(threshold)).alias("threshold"),
+                       F.lit(None).cast("string").alias("recommendation"), "status"))

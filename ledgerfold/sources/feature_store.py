@@ -36,9 +36,16 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
         raise FileNotFoundError(f"feature table not found: {path}") from e
 
 
-def manifest(df: DataFrame, exclude: Sequence[str] = DEFAULT_EXCLUDE) -> dict:
+def manifest(df: DataFrame, exclude: Sequence[str] = DEFAULT_EXCLUDE,
+             vocabularies: dict | None = None) -> dict:
+    """Ordered feature names (order is contractual for scoring) and,
+    optionally, the category vocabularies used to build them, so that
+    scoring data is encoded with exactly the training columns."""
     names = [c for c in df.columns if c not in set(exclude)]
-    return {"feature_names": names, "n_features": len(names), "exclude_cols": list(exclude)}
+    m = {"feature_names": names, "n_features": len(names), "exclude_cols": list(exclude)}
+    if vocabularies is not None:
+        m["vocabularies"] = vocabularies
+    return m
 
 
 def manifest_frame(df: DataFrame, exclude: Sequence[str] = DEFAULT_EXCLUDE) -> DataFrame:
@@ -48,8 +55,9 @@ def manifest_frame(df: DataFrame, exclude: Sequence[str] = DEFAULT_EXCLUDE) -> D
     return df.sparkSession.createDataFrame(rows, "ordinal int, name string, type string")
 
 
-def write_manifest(df: DataFrame, path: str, exclude: Sequence[str] = DEFAULT_EXCLUDE) -> dict:
-    m = manifest(df, exclude)
+def write_manifest(df: DataFrame, path: str, exclude: Sequence[str] = DEFAULT_EXCLUDE,
+                   vocabularies: dict | None = None) -> dict:
+    m = manifest(df, exclude, vocabularies)
     spark = df.sparkSession
     spark.createDataFrame([(json.dumps(m),)], "json string").coalesce(1) \
         .write.mode("overwrite").text(path)

@@ -97,3 +97,17 @@ def test_vectorised_tree_shap_equals_row_by_row(spark, data):
     fast, b1 = A.explain_rows(ens, X, vectorised=True)
     slow, b2 = A.explain_rows(ens, X, vectorised=False)
     assert b1 == b2 and np.allclose(fast, slow, atol=1e-12)
+
+
+def test_score_clients_end_to_end(spark, data):
+    from ledgerfold.operators.scoring import score_clients
+    df, feats = data
+    m = TR.fit(df, feats, "lr", "label", maxIter=10)
+    req = spark.createDataFrame([(int(r.doc_id),) for r in df.select("doc_id").limit(5).collect()]
+                                + [(999999999,), (-1,)], "doc_id long")
+    out = {r.doc_id: r for r in score_clients(m, df.drop("label"), feats, req, "doc_id").collect()}
+    assert out[999999999].status == "not found" and out[-1].status == "not found"
+    found = [r for r in out.values() if r.status == "found"]
+    assert len(found) == 5
+    assert all(0.0 <= r.probability <= 1.0 and r.prediction in (0, 1) and r.threshold == 0.475
+               and r.recommendation for r in found)
