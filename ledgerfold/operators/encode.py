@@ -30,8 +30,8 @@ def vocabulary(df: DataFrame, col: str,
     return sorted(r[0] for r in rows)
 
 
-def vocabularies(df: DataFrame, cols: Sequence[str],
-                 max_categories: int = DEFAULT_MAX_CATEGORIES) -> dict[str, list]:
+def collect_vocabularies(df: DataFrame, cols: Sequence[str],
+                         max_categories: int = DEFAULT_MAX_CATEGORIES) -> dict[str, list]:
     """Vocabularies of several columns in ONE job: ``(column, value)`` pairs
     are stacked, de-duplicated and collected under a limit of
     ``len(cols) × max_categories`` rows (the bound is checked per column)."""
@@ -122,7 +122,7 @@ def one_hot(df: DataFrame, cols: Sequence[str] | None = None,
     cols = list(cols) if cols is not None else string_columns(df)
     given = dict(vocabularies or {})
     missing = [c for c in cols if c not in given]
-    given.update(globals()["vocabularies"](df, missing, max_categories))
+    given.update(collect_vocabularies(df, missing, max_categories))
     keep = [F.col(c) for c in df.columns if c not in set(cols)]
     new_cols: list[tuple[str, Column]] = []
     for c in cols:

@@ -24,7 +24,7 @@ from ledgerfold.functions.names import clean_names
 from ledgerfold.functions.nullsafe import clip_lower, not_equal_keep_null, safe_divide, sentinel_to_null
 from ledgerfold.operators.aggregate import grouped_agg
 from ledgerfold.operators.encode import (
-    category_share, factorize_many, one_hot, string_columns, vocabularies as collect_vocabularies)
+    category_share, collect_vocabularies, factorize_many, one_hot, string_columns)
 
 KEY = "SK_ID_CURR"
 
