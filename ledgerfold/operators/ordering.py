@@ -25,8 +25,8 @@ def top_n_per_entity(df: DataFrame, entity: str, value: str, name: str,
 
     Rows are first reduced per (entity, hash bucket) to their own top n, so
     a hot entity is ranked in parallel pieces before the final ranking
-    sees at most n × buckets rows of it (buckets sized from the optimizer's
-    estimate of the input).
+    sees at most n × buckets rows of it (buckets sized from the session's
+    shuffle partition count).
     """
     if not 1 <= n <= 50:
         raise ValueError("n must be within 1..50")

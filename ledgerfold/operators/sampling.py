@@ -22,9 +22,9 @@ def hash_rank(df: DataFrame, key_cols: Sequence[str], strata: Sequence[str] = ()
               seed: int = 42, n_buckets: int | None = None, out: str = "_rank") -> DataFrame:
     """0-based rank of each row inside its stratum, in seeded hash order.
 
-    The order is ``(hash mod B, hash, key)``; B defaults to the optimizer's
-    size estimate / 128 MB (a power of two, at least 64), so one window
-    group holds about 128 MB however large the majority class is."""
+    The order is ``(hash mod B, hash, key)``; B defaults to four buckets per
+    shuffle partition (a power of two, at least 64), so a window group stays
+    a fraction of a partition however large the majority class is."""
     strata = list(strata)
     n_buckets = n_buckets or bucket_count(df)
     h = F.xxhash64(*[F.col(k) for k in key_cols], F.lit(seed))

@@ -31,21 +31,15 @@ from ledgerfold.session import cut_lineage
 
 _OPS = {"sum": F.sum, "max": F.max, "min": F.min}
 
-TARGET_BUCKET_BYTES = 128 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df`` (no job is run)."""
+def bucket_count(df: DataFrame, lo: int = 64, hi: int = 1 << 20, per_partition: int = 4) -> int:
+    """Hash buckets for ranking inside large groups: a power of two near
+    ``per_partition ×`` the session's shuffle partition count (which a
+    cluster sizes to its data, ~128 MB per partition), within [lo, hi]."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - estimates are advisory
-        return 0
-
-
-def bucket_count(df: DataFrame, lo: int = 64, hi: int = 1 << 20,
-                 target_bytes: int = TARGET_BUCKET_BYTES) -> int:
-    """A power of two near ``size / target_bytes`` within [lo, hi]."""
-    n = max(lo, min(hi, estimated_bytes(df) // max(1, target_bytes)))
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        parts = 200
+    n = max(lo, min(hi, parts * per_partition))
     p = 1
     while p < n:
         p <<= 1
