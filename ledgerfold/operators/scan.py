@@ -7,7 +7,9 @@ range partitioner samples the bounds and places rows by binary search, so a
 key holding a third of all rows is spread over many ranges.  Running values
 are computed inside each ``(partition columns, range)`` piece, which never
 exceeds one shuffle partition, and the totals of all earlier ranges -- a table
-of at most ``#groups + #ranges`` rows -- are added back.  Exact.
+of at most ``#groups + #ranges`` rows -- are added back (without partition
+columns that table has one row per range and is folded on the driver).
+Exact.
 
 The range id is the post-exchange partition id, and it must be the *same*
 in the two places that use it (running values and range totals).  Two plan
@@ -70,13 +72,27 @@ def running(df: DataFrame, order_col: str, value_cols: Sequence[str],
          .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
     local = b.select("*", *[agg(F.col(v)).over(w).alias(f"_loc_{v}") for v in value_cols])
     totals = b.groupBy(*parts, "_bkt").agg(*[agg(F.col(v)).alias(f"_tot_{v}") for v in value_cols])
-    wb = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*parts, "_bkt", *[agg(F.col(f"_tot_{v}")).over(wb).alias(f"_off_{v}")
-                                              for v in value_cols])
-    if not parts:
-        # one row per range: bounded by the partition count, so broadcast
-        offsets = F.broadcast(offsets)
-    joined = local.join(offsets, [*parts, "_bkt"], "left")
+    if parts:
+        wb = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*parts, "_bkt", *[agg(F.col(f"_tot_{v}")).over(wb).alias(f"_off_{v}")
+                                                  for v in value_cols])
+        joined = local.join(offsets, [*parts, "_bkt"], "left")
+    else:
+        # one total per range (≤ the partition count): fold them on the driver
+        # into per-range offsets and apply them as a literal map lookup
+        rows = sorted(totals.collect(), key=lambda r: r["_bkt"])
+        joined = local
+        for v in value_cols:
+            acc, offs = None, {}
+            for r in rows:
+                offs[r["_bkt"]] = acc
+                t = r[f"_tot_{v}"]
+                if t is not None:
+                    acc = t if acc is None else (acc + t if op == "sum" else
+                                                 max(acc, t) if op == "max" else min(acc, t))
+            pairs = [x for k, o in offs.items() if o is not None for x in (F.lit(k), F.lit(o))]
+            off = F.try_element_at(F.create_map(*pairs), F.col("_bkt")) if pairs else F.lit(None)
+            joined = joined.withColumn(f"_off_{v}", off)
     outs = []
     for v in value_cols:
         loc, off = F.col(f"_loc_{v}"), F.col(f"_off_{v}")
