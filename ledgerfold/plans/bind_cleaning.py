@@ -228,9 +228,9 @@ def cap_outliers_q(spark, sf):
 
 
 @register("count_above_cap", f"""
-SELECT 'o_totalprice' AS "column", 300000.0::DOUBLE AS cap, count_if(o_totalprice > 300000.0) AS n_above FROM orders
+SELECT 'o_totalprice' AS "column", 300000.0::DOUBLE AS cap, count(*) FILTER (WHERE o_totalprice > 300000.0) AS n_above FROM orders
 UNION ALL
-SELECT 'days', 0.0::DOUBLE, count_if({day_offset_sql('o_orderdate')} > 0) FROM orders""")
+SELECT 'days', 0.0::DOUBLE, count(*) FILTER (WHERE {day_offset_sql('o_orderdate')} > 0) FROM orders""")
 def count_above_cap_q(spark, sf):
     return clean.count_above_cap(_orders_days(spark, sf), _CAPS)
 

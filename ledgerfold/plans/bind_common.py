@@ -92,7 +92,7 @@ def _exact_var_sql(x):
 def _sub(fn, x, cond):
     """SQL of a subset aggregate (null when no row meets cond)."""
     xc = f"CASE WHEN {cond} THEN {x} END"
-    has = f"count_if({cond}) > 0"
+    has = f"count(*) FILTER (WHERE {cond}) > 0"
     if fn == "sum":
         return f"CASE WHEN {has} THEN coalesce(sum({xc}), 0)::BIGINT END"
     if fn == "mean":
@@ -100,7 +100,7 @@ def _sub(fn, x, cond):
     if fn == "var":
         return _exact_var_sql(xc)
     if fn == "size":
-        return f"CASE WHEN {has} THEN count_if({cond}) END"
+        return f"CASE WHEN {has} THEN count(*) FILTER (WHERE {cond}) END"
     return f"{fn}({xc})"
 
 

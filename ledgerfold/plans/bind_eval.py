@@ -179,8 +179,8 @@ def split_summary(spark, sf):
 
 @register("confusion_counts", f"""
 WITH s AS ({SCORED_SQL})
-SELECT count_if(label = 0 AND NOT score >= 0.5) AS tn, count_if(label = 0 AND score >= 0.5) AS fp,
-       count_if(label = 1 AND NOT score >= 0.5) AS fn, count_if(label = 1 AND score >= 0.5) AS tp FROM s""")
+SELECT count(*) FILTER (WHERE label = 0 AND NOT score >= 0.5) AS tn, count(*) FILTER (WHERE label = 0 AND score >= 0.5) AS fp,
+       count(*) FILTER (WHERE label = 1 AND NOT score >= 0.5) AS fn, count(*) FILTER (WHERE label = 1 AND score >= 0.5) AS tp FROM s""")
 def confusion_counts(spark, sf):
     return V.confusion_counts(scored_labels(spark, sf))
 
@@ -196,8 +196,8 @@ def _metrics_sql(c="c"):
 
 _CONF_SQL = f"""
 WITH s AS ({SCORED_SQL}),
-c AS (SELECT count_if(label = 0 AND NOT score >= {{t}}) AS tn, count_if(label = 0 AND score >= {{t}}) AS fp,
-             count_if(label = 1 AND NOT score >= {{t}}) AS fn, count_if(label = 1 AND score >= {{t}}) AS tp FROM s)"""
+c AS (SELECT count(*) FILTER (WHERE label = 0 AND NOT score >= {{t}}) AS tn, count(*) FILTER (WHERE label = 0 AND score >= {{t}}) AS fp,
+             count(*) FILTER (WHERE label = 1 AND NOT score >= {{t}}) AS fn, count(*) FILTER (WHERE label = 1 AND score >= {{t}}) AS tp FROM s)"""
 
 
 @register("classification_metrics", _CONF_SQL.format(t=0.5) + f"""
@@ -216,7 +216,7 @@ def business_cost(spark, sf):
 
 _CUM_SQL = f"""
 WITH s AS ({SCORED_SQL}),
-d AS (SELECT score, count_if(label = 1) AS pos, count_if(label = 0) AS neg FROM s GROUP BY score),
+d AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM s GROUP BY score),
 r AS (SELECT *, coalesce(sum(pos) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bpos,
                 coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bneg
       FROM d),
@@ -253,8 +253,8 @@ def pr_points(spark, sf):
 _CURVE_SQL = f"""
 WITH s AS ({SCORED_SQL}),
 g AS (SELECT CASE WHEN range = 99 THEN 1.0::DOUBLE ELSE range * (1.0::DOUBLE / 99) END AS threshold FROM range(100)),
-k AS (SELECT g.threshold, count_if(s.label = 1 AND s.score < g.threshold) AS fn,
-             count_if(s.label = 0 AND s.score >= g.threshold) AS fp
+k AS (SELECT g.threshold, count(*) FILTER (WHERE s.label = 1 AND s.score < g.threshold) AS fn,
+             count(*) FILTER (WHERE s.label = 0 AND s.score >= g.threshold) AS fp
       FROM g, s GROUP BY g.threshold),
 cc AS (SELECT threshold, fn, fp, CAST(fn AS DOUBLE) * 10.0 + CAST(fp AS DOUBLE) * 1.0 AS cost FROM k)"""
 
@@ -274,8 +274,8 @@ def optimal_threshold(spark, sf):
 o AS (SELECT threshold FROM cc ORDER BY cost, threshold LIMIT 1),
 th AS (SELECT 'default' AS name, 0.5::DOUBLE AS threshold UNION ALL SELECT 'optimal', threshold FROM o),
 c AS (SELECT th.name, th.threshold,
-        count_if(s.label = 0 AND NOT s.score >= th.threshold) AS tn, count_if(s.label = 0 AND s.score >= th.threshold) AS fp,
-        count_if(s.label = 1 AND NOT s.score >= th.threshold) AS fn, count_if(s.label = 1 AND s.score >= th.threshold) AS tp
+        count(*) FILTER (WHERE s.label = 0 AND NOT s.score >= th.threshold) AS tn, count(*) FILTER (WHERE s.label = 0 AND s.score >= th.threshold) AS fp,
+        count(*) FILTER (WHERE s.label = 1 AND NOT s.score >= th.threshold) AS fn, count(*) FILTER (WHERE s.label = 1 AND s.score >= th.threshold) AS tp
       FROM th, s GROUP BY th.name, th.threshold),
 m AS (SELECT name, threshold, tn, fp, fn, tp, {_metrics_sql()} FROM c)
 SELECT m.*, (b.business_cost - m.business_cost) * 100.0 / nullif(b.business_cost, 0) AS cost_reduction_pct
@@ -288,8 +288,8 @@ def threshold_comparison(spark, sf):
 
 @register("baseline_prior", f"""
 WITH s AS ({SCORED_SQL}), p AS (SELECT CAST(sum(label) AS DOUBLE) / count(*) AS prior FROM s),
-c AS (SELECT count_if(label = 0 AND NOT p.prior >= 0.5) AS tn, count_if(label = 0 AND p.prior >= 0.5) AS fp,
-             count_if(label = 1 AND NOT p.prior >= 0.5) AS fn, count_if(label = 1 AND p.prior >= 0.5) AS tp
+c AS (SELECT count(*) FILTER (WHERE label = 0 AND NOT p.prior >= 0.5) AS tn, count(*) FILTER (WHERE label = 0 AND p.prior >= 0.5) AS fp,
+             count(*) FILTER (WHERE label = 1 AND NOT p.prior >= 0.5) AS fn, count(*) FILTER (WHERE label = 1 AND p.prior >= 0.5) AS tp
       FROM s, p)
 SELECT p.prior AS constant_score, 0.5::DOUBLE AS roc_auc, tn, fp, fn, tp, {_metrics_sql()} FROM c, p""")
 def baseline_prior(spark, sf):
@@ -298,8 +298,8 @@ def baseline_prior(spark, sf):
 
 @register("baseline_most_frequent", f"""
 WITH s AS ({SCORED_SQL}), p AS (SELECT CASE WHEN 2 * sum(label) > count(*) THEN 1.0 ELSE 0.0 END::DOUBLE AS prior FROM s),
-c AS (SELECT count_if(label = 0 AND NOT p.prior >= 0.5) AS tn, count_if(label = 0 AND p.prior >= 0.5) AS fp,
-             count_if(label = 1 AND NOT p.prior >= 0.5) AS fn, count_if(label = 1 AND p.prior >= 0.5) AS tp
+c AS (SELECT count(*) FILTER (WHERE label = 0 AND NOT p.prior >= 0.5) AS tn, count(*) FILTER (WHERE label = 0 AND p.prior >= 0.5) AS fp,
+             count(*) FILTER (WHERE label = 1 AND NOT p.prior >= 0.5) AS fn, count(*) FILTER (WHERE label = 1 AND p.prior >= 0.5) AS tp
       FROM s, p)
 SELECT p.prior AS constant_score, 0.5::DOUBLE AS roc_auc, tn, fp, fn, tp, {_metrics_sql()} FROM c, p""")
 def baseline_most_frequent(spark, sf):

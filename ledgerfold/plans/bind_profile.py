@@ -124,9 +124,9 @@ def value_counts_q(spark, sf):
 
 
 @register("class_balance", """
-SELECT count(*) AS n, count_if(toxic = 1) AS n_pos, count_if(toxic = 0) AS n_neg,
-  CAST(count_if(toxic = 1) AS DOUBLE) / CAST(count(toxic) AS DOUBLE) AS positive_rate,
-  CAST(count_if(toxic = 0) AS DOUBLE) / nullif(CAST(count_if(toxic = 1) AS DOUBLE), 0) AS imbalance_ratio
+SELECT count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS n_pos, count(*) FILTER (WHERE toxic = 0) AS n_neg,
+  CAST(count(*) FILTER (WHERE toxic = 1) AS DOUBLE) / CAST(count(toxic) AS DOUBLE) AS positive_rate,
+  CAST(count(*) FILTER (WHERE toxic = 0) AS DOUBLE) / nullif(CAST(count(*) FILTER (WHERE toxic = 1) AS DOUBLE), 0) AS imbalance_ratio
 FROM labels""")
 def class_balance_q(spark, sf):
     return P.class_balance(table(spark, sf, "labels"), "toxic")
@@ -298,7 +298,7 @@ j AS (SELECT e.event_type, e.value, q.q1, q.median, q.q3, q.q3 - q.q1 AS iqr,
 SELECT event_type, q1, median, q3, iqr,
   min(CASE WHEN value >= lo AND value <= hi THEN value END) AS whisker_low,
   max(CASE WHEN value >= lo AND value <= hi THEN value END) AS whisker_high,
-  count_if(NOT (value >= lo AND value <= hi)) AS n_outliers, count(*) AS n
+  count(*) FILTER (WHERE NOT (value >= lo AND value <= hi)) AS n_outliers, count(*) AS n
 FROM j GROUP BY event_type, q1, median, q3, iqr""")
 def box_stats_q(spark, sf):
     return P.box_stats(table(spark, sf, "events"), "value", ["event_type"])
@@ -338,7 +338,7 @@ WITH s AS (SELECT CAST((n_chars * 37) % 1000 AS BIGINT) AS m FROM ({SCORED_SQL})
 SELECT min(m) / 1000.0::DOUBLE AS min_score, max(m) / 1000.0::DOUBLE AS max_score,
   {_exact_mean_sql('m')} / 1000.0 AS mean_score, quantile_cont(m, 0.5) / 1000.0 AS median_score,
   sqrt({_exact_var_sql('m')}) / 1000.0 AS std_score,
-  {", ".join(f"count_if(m >= {round(t * 1000)}) AS n_pred_pos_{str(t).replace('.', '_')}" for t in _SCORE_THRESHOLDS)}
+  {", ".join(f"count(*) FILTER (WHERE m >= {round(t * 1000)}) AS n_pred_pos_{str(t).replace('.', '_')}" for t in _SCORE_THRESHOLDS)}
 FROM s""")
 def score_distribution(spark, sf):
     s = scored_labels(spark, sf).select(((F.col("n_chars") * 37) % 1000).alias("m"))
@@ -355,7 +355,7 @@ def score_distribution(spark, sf):
 
 
 @register("sentinel_share", """
-SELECT count_if(l_quantity = 50.0) AS n_sentinel, count(*) AS n,
-  count_if(l_quantity = 50.0) * 100.0::DOUBLE / count(*) AS pct_sentinel FROM lineitem""")
+SELECT count(*) FILTER (WHERE l_quantity = 50.0) AS n_sentinel, count(*) AS n,
+  count(*) FILTER (WHERE l_quantity = 50.0) * 100.0::DOUBLE / count(*) AS pct_sentinel FROM lineitem""")
 def sentinel_share_q(spark, sf):
     return P.sentinel_share(table(spark, sf, "lineitem"), "l_quantity", 50.0)
