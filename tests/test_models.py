@@ -111,3 +111,13 @@ def test_score_clients_end_to_end(spark, data):
     assert len(found) == 5
     assert all(0.0 <= r.probability <= 1.0 and r.prediction in (0, 1) and r.threshold == 0.475
                and r.recommendation for r in found)
+
+
+def test_model_facts_invariants(spark, data):
+    from ledgerfold.operators.scoring import THRESHOLD, model_facts
+    df, feats = data
+    m = TR.fit(df, feats, "gbt", "label", maxIter=3, maxDepth=2)
+    r = model_facts(spark, m, feats, THRESHOLD).first()
+    assert r.model_type == "GBTClassificationModel" and r.n_features == len(feats)
+    assert r.optimal_threshold == 0.475 and len(r.feature_names) == min(10, len(feats))
+    assert r.model_loaded is True
