@@ -84,3 +84,21 @@ def test_column_profile_and_null_rates(spark):
     assert prof["s"].n_distinct == 1 and prof["s"].mean is None
     nr = P.null_rates(df).collect()
     assert {r.column: r.n_null for r in nr} == {"n": 1, "s": 1}
+
+
+def test_approx_paths_close_to_exact(spark):
+    from ledgerfold.operators.correlation import corr_matrix
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 1000, 5000)
+    y = x + rng.integers(0, 300, 5000)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x, y)], "x long, y long")
+    ex = P.quantiles(df, "x", [0.5], names=["m"]).first().m
+    ap = P.quantiles(df, "x", [0.5], names=["m"], method="approx").first().m
+    assert abs(ex - ap) <= 0.01 * 1000
+    prof_e = {r.column: r.n_distinct for r in P.column_profile(df).collect()}
+    prof_a = {r.column: r.n_distinct for r in P.column_profile(df, distinct="approx").collect()}
+    assert all(abs(prof_e[c] - prof_a[c]) <= 0.05 * prof_e[c] for c in prof_e)
+    ce = {(r.a, r.b): r.corr for r in corr_matrix(df, ["x", "y"]).collect()}
+    cf = {(r.a, r.b): r.corr for r in corr_matrix(df, ["x", "y"], exact=False).collect()}
+    assert all(math.isclose(ce[k], cf[k], rel_tol=1e-9) for k in ce)
+    assert math.isclose(ce[("x", "y")], float(np.corrcoef(x, y)[0, 1]), rel_tol=1e-12)
