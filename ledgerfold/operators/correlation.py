@@ -42,17 +42,32 @@ def _exact(t, a, b, exact):
     return (exact is not False) and is_integral(t[a]) and is_integral(t[b])
 
 
+PAIRS_PER_PASS = 256
+
+
+def _pairwise(df: DataFrame, pairs: Sequence[tuple[str, str]], exact, names) -> DataFrame:
+    """Long ``(names..., corr)`` rows for column pairs: one aggregation pass
+    per chunk of ``PAIRS_PER_PASS`` pairs (a wide table has O(k²) pairs; one
+    giant aggregate would not plan), the chunks unioned."""
+    t = _types(df)
+    out = None
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
+        chunk = pairs[start:start + PAIRS_PER_PASS]
+        wide = df.agg(*[corr_expr(F.col(a), F.col(b), _exact(t, a, b, exact)).alias(f"_r{i}")
+                        for i, (a, b) in enumerate(chunk)])
+        arr = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, ab)],
+                                 F.col(f"_r{i}").alias("corr"))
+                        for i, ab in enumerate(chunk)])
+        part = wide.select(F.explode(arr).alias("kv")).select(*[f"kv.{n}" for n in names], "kv.corr")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def corr_with_target(df: DataFrame, cols: Sequence[str], target: str,
                      exact: bool | None = None) -> DataFrame:
     """``(feature, corr)`` for every column against the target, by corr desc."""
-    t = _types(df)
-    ex = {c: _exact(t, c, target, exact) for c in cols}
-    wide = df.agg(*[corr_expr(F.col(c), F.col(target), ex[c]).alias(f"_r{i}")
-                    for i, c in enumerate(cols)])
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_r{i}").alias("corr"))
-                      for i, c in enumerate(cols)])
-    return (wide.select(F.explode(pairs).alias("kv")).select("kv.feature", "kv.corr")
-            .orderBy(F.desc_nulls_last("corr"), "feature"))
+    long = _pairwise(df, [(c, target) for c in cols], exact, ["feature", "_target"])
+    return long.select("feature", "corr").orderBy(F.desc_nulls_last("corr"), "feature")
 
 
 def top_abs_corr(df: DataFrame, cols: Sequence[str], target: str, k: int = 10,
@@ -66,14 +81,8 @@ def top_abs_corr(df: DataFrame, cols: Sequence[str], target: str, k: int = 10,
 def corr_matrix(df: DataFrame, cols: Sequence[str], exact: bool | None = None) -> DataFrame:
     """Upper triangle (incl. diagonal) of the pairwise-complete matrix as
     long rows ``(a, b, corr)`` -- one aggregation pass."""
-    t = _types(df)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.agg(*[corr_expr(F.col(a), F.col(b), _exact(t, a, b, exact))
-                    .alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
-    arr = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                             F.col(f"_r{i}").alias("corr"))
-                    for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.explode(arr).alias("kv")).select("kv.a", "kv.b", "kv.corr")
+    return _pairwise(df, pairs, exact, ["a", "b"])
 
 
 def average_rank(df: DataFrame, col: str, out: str, n_buckets: int | None = None) -> DataFrame:

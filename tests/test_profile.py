@@ -102,3 +102,19 @@ def test_approx_paths_close_to_exact(spark):
     cf = {(r.a, r.b): r.corr for r in corr_matrix(df, ["x", "y"], exact=False).collect()}
     assert all(math.isclose(ce[k], cf[k], rel_tol=1e-9) for k in ce)
     assert math.isclose(ce[("x", "y")], float(np.corrcoef(x, y)[0, 1]), rel_tol=1e-12)
+
+
+def test_kde_prebin_and_chunked_corr(spark, monkeypatch):
+    from ledgerfold.operators import correlation as C
+    vals = np.random.default_rng(4).normal(size=3000)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    ex = P.kde_grid(df, "x", 50).toPandas().sort_values("grid")["density"].to_numpy()
+    ap = P.kde_grid(df, "x", 50, prebin=4096).toPandas().sort_values("grid")["density"].to_numpy()
+    assert np.allclose(ex, ap, atol=1e-3 * ex.max())
+    cols = ["a", "b", "c", "d"]
+    m = np.random.default_rng(2).integers(0, 100, (200, 4))
+    d = spark.createDataFrame([tuple(int(v) for v in r) for r in m], ", ".join(f"{c} long" for c in cols))
+    one = {(r.a, r.b): r.corr for r in C.corr_matrix(d, cols).collect()}
+    monkeypatch.setattr(C, "PAIRS_PER_PASS", 3)
+    many = {(r.a, r.b): r.corr for r in C.corr_matrix(d, cols).collect()}
+    assert one == many and len(one) == 10
