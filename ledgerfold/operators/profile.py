@@ -166,19 +166,32 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if isinstance(f.dataType, T.NumericType) and f.name not in skip]
 
 
+COLUMNS_PER_PASS = 128
+
+
+def _chunks(cols: Sequence[str], size: int = None) -> list[list[str]]:
+    size = size or COLUMNS_PER_PASS
+    return [list(cols[i:i + size]) for i in range(0, len(cols), size)]
+
+
 def null_rates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Null count and percent per column, most missing first."""
+    """Null count and percent per column, most missing first (one
+    aggregation pass per chunk of columns)."""
     cols = list(cols or df.columns)
     n = F.count(F.lit(1))
-    wide = df.agg(n.alias("_n"), *[
-        (n - F.count(F.col(c))).alias(f"_null_{i}") for i, c in enumerate(cols)])
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"),
-                               F.col(f"_null_{i}").alias("n_null"))
-                      for i, c in enumerate(cols)])
-    return (wide.select("_n", F.explode(pairs).alias("kv"))
-            .select("kv.column", "kv.n_null",
-                    (F.col("kv.n_null") * 100.0 / F.col("_n")).alias("pct_null"))
-            .orderBy(F.desc("n_null"), "column"))
+    parts = []
+    for chunk in _chunks(cols):
+        wide = df.agg(n.alias("_n"), *[
+            (n - F.count(F.col(c))).alias(f"_null_{i}") for i, c in enumerate(chunk)])
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_null_{i}").alias("n_null"))
+                          for i, c in enumerate(chunk)])
+        parts.append(wide.select("_n", F.explode(pairs).alias("kv"))
+                     .select("kv.column", "kv.n_null",
+                             (F.col("kv.n_null") * 100.0 / F.col("_n")).alias("pct_null")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.orderBy(F.desc("n_null"), "column")
 
 
 def column_profile(df: DataFrame, method: str = "exact", distinct: str = "exact") -> DataFrame:
@@ -186,24 +199,29 @@ def column_profile(df: DataFrame, method: str = "exact", distinct: str = "exact"
     for numeric columns, mean/std/min/quartiles/max.
 
     Exact distinct counts of k columns make Spark expand every row k times
-    before de-duplicating; on very wide, very large tables ``distinct="approx"``
+    before de-duplicating, so columns are profiled in passes of
+    ``COLUMNS_PER_PASS``; on very wide, very large tables ``distinct="approx"``
     uses HyperLogLog++ (algebraic, no expansion, ~1% error)."""
-    cols = df.columns
     dtypes = dict(df.dtypes)
     n = F.count(F.lit(1))
     nd = (F.count_distinct if distinct == "exact"
           else (lambda c: F.approx_count_distinct(c, 0.01)))
-    wide = df.agg(n.alias("_n"), *[
-        x for i, c in enumerate(cols) for x in (
-            F.count(F.col(c)).alias(f"_nn_{i}"),
-            nd(F.col(c)).alias(f"_nd_{i}"))])
-    pairs = F.array(*[F.struct(
-        F.lit(c).alias("column"), F.lit(dtypes[c]).alias("dtype"),
-        F.col(f"_nn_{i}").alias("non_null"), F.col(f"_nd_{i}").alias("n_distinct"))
-        for i, c in enumerate(cols)])
-    base = (wide.select("_n", F.explode(pairs).alias("kv"))
-            .select("kv.column", "kv.dtype", F.col("_n").alias("n_rows"),
-                    "kv.non_null", "kv.n_distinct"))
+    parts = []
+    for cols in _chunks(df.columns):
+        wide = df.agg(n.alias("_n"), *[
+            x for i, c in enumerate(cols) for x in (
+                F.count(F.col(c)).alias(f"_nn_{i}"),
+                nd(F.col(c)).alias(f"_nd_{i}"))])
+        pairs = F.array(*[F.struct(
+            F.lit(c).alias("column"), F.lit(dtypes[c]).alias("dtype"),
+            F.col(f"_nn_{i}").alias("non_null"), F.col(f"_nd_{i}").alias("n_distinct"))
+            for i, c in enumerate(cols)])
+        parts.append(wide.select("_n", F.explode(pairs).alias("kv"))
+                     .select("kv.column", "kv.dtype", F.col("_n").alias("n_rows"),
+                             "kv.non_null", "kv.n_distinct"))
+    base = parts[0]
+    for p in parts[1:]:
+        base = base.unionByName(p)
     base = base.select(
         "*", ((F.col("n_rows") - F.col("non_null")) / F.col("n_rows")).alias("null_rate"),
         F.try_divide(F.col("n_distinct").cast("double"),

@@ -118,3 +118,12 @@ def test_kde_prebin_and_chunked_corr(spark, monkeypatch):
     monkeypatch.setattr(C, "PAIRS_PER_PASS", 3)
     many = {(r.a, r.b): r.corr for r in C.corr_matrix(d, cols).collect()}
     assert one == many and len(one) == 10
+
+
+def test_profile_chunks_equal_single_pass(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a", 2.0), (2, None, None), (None, "a", 3.0)], "n int, s string, d double")
+    one = sorted(tuple(r) for r in P.column_profile(df).collect())
+    nr1 = sorted(tuple(r) for r in P.null_rates(df).collect())
+    monkeypatch.setattr(P, "COLUMNS_PER_PASS", 1)
+    assert sorted(tuple(r) for r in P.column_profile(df).collect()) == one
+    assert sorted(tuple(r) for r in P.null_rates(df).collect()) == nr1
