@@ -381,3 +381,29 @@ def exploratory_features(app: DataFrame) -> DataFrame:
         new["EMPLOYED_GROUP"] = cut_right_closed(new["EMPLOYED_YEARS"], EMPLOYED_BINS,
                                                  EMPLOYED_LABELS)
     return df.select(KEY, *[v.alias(k) for k, v in new.items()])
+
+
+# -- training / scoring round trip ------------------------------------------------------
+
+def build_feature_table(tables: Mapping[str, DataFrame], path: str, manifest_path: str,
+                        nan_as_category: bool = True) -> dict:
+    """Training side: fold the tables, write the feature table (Parquet) and
+    a manifest holding the ordered feature names *and* the vocabularies the
+    one-hot/share columns were built from."""
+    from ledgerfold.sources.feature_store import write_features, write_manifest
+    names = list(tables)
+    vocabs = dict(zip(names, plan_vocabularies([tables[n] for n in names])))
+    feats = full_features(tables, nan_as_category, vocabs)
+    write_features(feats, path, target="TARGET" if "TARGET" in feats.columns else None)
+    return write_manifest(feats, manifest_path, vocabularies=vocabs)
+
+
+def scoring_features(tables: Mapping[str, DataFrame], manifest: Mapping,
+                     nan_as_category: bool = True) -> DataFrame:
+    """Scoring side: the same folding with the training vocabularies (no
+    vocabulary job; categories unseen in the new data still get their
+    columns), ordered as the manifest says; a missing feature raises."""
+    from ledgerfold.operators.scoring import prepare_features
+    feats = full_features(tables, nan_as_category, manifest.get("vocabularies"))
+    out, _ = prepare_features(feats, manifest["feature_names"], KEY)
+    return out

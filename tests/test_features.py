@@ -87,3 +87,16 @@ def test_exploratory(spark, tables):
     e = {r.SK_ID_CURR: r for r in FE.exploratory_features(tables["application"]).collect()}
     assert math.isclose(e[1].AGE_YEARS, 10000 / 365.25)
     assert e[1].AGE_GROUP == "25-35" and e[1].EMPLOYED_YEARS is None
+
+
+def test_train_then_score_with_manifest_vocabularies(spark, tables, tmp_path):
+    from ledgerfold.sources.feature_store import read_manifest
+    m = FE.build_feature_table(tables, str(tmp_path / "feat"), str(tmp_path / "manifest"))
+    m = read_manifest(spark, str(tmp_path / "manifest"))
+    assert "vocabularies" in m and m["vocabularies"]["bureau"]["CREDIT_TYPE"] == ["Car", "Consumer"]
+    # new data for one client only: 'Car' credits and most categories are absent
+    new = {k: (v.where("SK_ID_CURR = 1") if "SK_ID_CURR" in v.columns else v) for k, v in tables.items()}
+    s = FE.scoring_features(new, m)
+    assert s.columns == ["SK_ID_CURR"] + m["feature_names"]
+    r = s.first()
+    assert r.BURO_CREDIT_TYPE_Car_MEAN == 0.0 and r.SK_ID_CURR == 1
