@@ -155,55 +155,58 @@ def pr_points(df: DataFrame, label: str = "label", score: str = "score") -> Data
 
 def cost_curve(df: DataFrame, label: str = "label", score: str = "score",
                thresholds: Sequence[float] | None = None, fn_cost: float = FN_COST,
-               fp_cost: float = FP_COST) -> DataFrame:
-    """Cost ``fn_cost·FN + fp_cost·FP`` at each threshold (``score >= t``).
-
-    Each row is bucketed by the number of thresholds it reaches, so the
-    data is aggregated once into ≤ len(thresholds)+1 rows; the cumulative
-    sums then run over that bounded table.
+               fp_cost: float = FP_COST, groups: Sequence[str] = ()) -> DataFrame:
+    """Cost ``fn_cost·FN + fp_cost·FP`` at each threshold (``score >= t``),
+    per group if ``groups`` are given (e.g. CV folds).
+
+    Each row is bucketed by the number of thresholds it reaches, so the data
+    is aggregated once into ≤ len(thresholds)+1 rows per group; each group's
+    grid is generated next to it (no join with a grid table) and cumulated by
+    a window partitioned by the group over that bounded table.
     """
     ts = list(thresholds) if thresholds is not None else linspace_thresholds()
     if ts != sorted(ts):
         raise ValueError("thresholds must be ascending")
     if len(ts) > 10000:
         raise ValueError("at most 10000 thresholds")
+    gs = list(groups) or ["_all"]
+    src = df if groups else df.withColumn("_all", F.lit(0))
     s = F.col(score)
     reached = sum((F.when(s >= F.lit(t), F.lit(1)).otherwise(F.lit(0)) for t in ts), F.lit(0))
     y = _y(label)
-    k = df.groupBy(reached.alias("k")).agg(F.count_if(y == 1).alias("pos"),
-                                           F.count_if(y == 0).alias("neg"))
-    spark = df.sparkSession
-    grid = spark.range(len(ts)).select(
-        F.col("id").cast("int").alias("i"),
-        F.element_at(F.array(*[F.lit(float(t)) for t in ts]),
-                     F.col("id").cast("int") + 1).alias("threshold"))
-    # A row reaching k thresholds is predicted positive at thresholds i < k.
-    # Both tables have ≤ len(ts)+1 rows (a proven bound), so the windows
-    # below run over a bounded table.
-    per_i = grid.join(F.broadcast(k.withColumnRenamed("k", "i")), "i", "left")
-    w_upto = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = k.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    per_i = per_i.select("i", "threshold", F.coalesce("pos", F.lit(0)).alias("pos_k"),
-                         F.coalesce("neg", F.lit(0)).alias("neg_k"))
-    # FN(i) = positives that reach ≤ i thresholds = Σ_{k ≤ i} pos_k
-    # FP(i) = negatives that reach > i thresholds = N − Σ_{k ≤ i} neg_k
-    cum = per_i.select("i", "threshold",
-                       F.sum("pos_k").over(w_upto).alias("fn"),
-                       F.sum("neg_k").over(w_upto).alias("_neg_le"))
-    cum = cum.withColumn("_j", F.lit(1)).join(
-        F.broadcast(totals.withColumn("_j", F.lit(1))), "_j").drop("_j")
-    fp = (F.col("N") - F.col("_neg_le"))
+    k = src.groupBy(*gs, reached.alias("i")).agg(F.count_if(y == 1).alias("pos_k"),
+                                                 F.count_if(y == 0).alias("neg_k"))
+    grid_vals = F.array(*[F.lit(float(t)) for t in ts])
+    grid = (k.select(*gs).distinct()
+            .select(*gs, F.posexplode(grid_vals).alias("i", "threshold")))
+    # A row reaching k thresholds is predicted positive at thresholds i < k:
+    # FN(i) = positives reaching ≤ i thresholds, FP(i) = negatives reaching > i.
+    per_i = grid.join(k, [*gs, "i"], "full")
+    w_upto = Window.partitionBy(*gs).orderBy("i").rowsBetween(Window.unboundedPreceding,
+                                                              Window.currentRow)
+    w_all = Window.partitionBy(*gs)
+    pos_k, neg_k = F.coalesce("pos_k", F.lit(0)), F.coalesce("neg_k", F.lit(0))
+    cum = per_i.select(*gs, "i", "threshold",
+                       F.sum(pos_k).over(w_upto).alias("fn"),
+                       F.sum(neg_k).over(w_upto).alias("_neg_le"),
+                       F.sum(neg_k).over(w_all).alias("N"))
+    fp = F.col("N") - F.col("_neg_le")
     cost = F.col("fn").cast("double") * F.lit(fn_cost) + fp.cast("double") * F.lit(fp_cost)
-    return cum.select("threshold", F.col("fn").cast("bigint").alias("fn"),
-                      fp.cast("bigint").alias("fp"), cost.alias("cost"))
+    out = cum.where(F.col("threshold").isNotNull()).select(
+        *list(groups), "threshold", F.col("fn").cast("bigint").alias("fn"),
+        fp.cast("bigint").alias("fp"), cost.alias("cost"))
+    return out
 
 
 def optimal_threshold(df: DataFrame, label: str = "label", score: str = "score",
-                      thresholds: Sequence[float] | None = None) -> DataFrame:
-    """The threshold of least cost; ties -> the lowest threshold."""
-    c = cost_curve(df, label, score, thresholds)
-    return c.orderBy("cost", "threshold").limit(1).select(
-        F.col("threshold").alias("optimal_threshold"), F.col("cost").alias("optimal_cost"))
+                      thresholds: Sequence[float] | None = None,
+                      groups: Sequence[str] = ()) -> DataFrame:
+    """The threshold of least cost (ties -> the lowest threshold), per group:
+    ``min(struct(cost, threshold))`` is algebraic, no sort of the curve."""
+    c = cost_curve(df, label, score, thresholds, groups=groups)
+    best = c.groupBy(*groups).agg(F.min(F.struct("cost", "threshold")).alias("_b"))
+    return best.select(*groups, F.col("_b.threshold").alias("optimal_threshold"),
+                       F.col("_b.cost").alias("optimal_cost"))
 
 
 def metrics_at_thresholds(df: DataFrame, thresholds: Sequence[tuple[str, float]],

@@ -141,11 +141,15 @@ def cross_validate(df: DataFrame, features: Sequence[str], kind: str, fold_col:
     oof = cut_lineage(oof)
     auc = V.roc_auc(oof, label, "score", [fold_col]).select(fold_col, "roc_auc")
     m = V.classification_metrics(oof, label, "score", threshold, [fold_col])
-    return oof, m.join(auc, fold_col)
+    # each fold's cost-optimal threshold: one grouped sweep over all folds
+    opt = V.optimal_threshold(oof, label, "score", groups=[fold_col]).withColumnRenamed(
+        "optimal_cost", "optimal_business_cost")
+    return oof, m.join(auc, fold_col).join(opt, fold_col)
 
 
 def cv_summary(fold_metrics: DataFrame, metrics: Sequence[str] = (
-        "roc_auc", "accuracy", "precision", "recall", "f1", "business_cost")) -> DataFrame:
+        "roc_auc", "accuracy", "precision", "recall", "f1", "business_cost",
+        "optimal_threshold", "optimal_business_cost")) -> DataFrame:
     """Mean and population standard deviation of each metric over folds."""
     return fold_metrics.agg(*[e for m in metrics for e in (
         F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"))])

@@ -84,3 +84,15 @@ def test_threshold_comparison_reduction(spark):
     rows = {r.name: r for r in V.threshold_comparison(df).collect()}
     assert rows["optimal"].business_cost <= rows["default"].business_cost
     assert rows["default"].cost_reduction_pct == 0.0
+
+
+def test_grouped_optimal_threshold_matches_per_group(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), int(y), float(s)) for g, y, s in zip(rng.integers(0, 3, 300), rng.integers(0, 2, 300),
+                                                          rng.integers(0, 100, 300) / 100)]
+    df = spark.createDataFrame(rows, "fold int, label int, score double")
+    got = {r.fold: (r.optimal_threshold, r.optimal_cost)
+           for r in V.optimal_threshold(df, groups=["fold"]).collect()}
+    for f in range(3):
+        one = V.optimal_threshold(df.where(f"fold = {f}")).first()
+        assert got[f] == (one.optimal_threshold, one.optimal_cost)
