@@ -87,10 +87,12 @@ def exact_var_samp(c: Column | str) -> Column:
     null for fewer than two values, like pandas ``var``.
     """
     x = _c(c).cast("decimal(38,0)")
-    n = F.count(x).cast("decimal(38,0)")
-    num = n * F.sum(x * x) - F.sum(x) * F.sum(x)
-    den = (n * (n - F.lit(1))).cast("double")
-    return F.when(F.count(x) > 1, F.try_divide(num.cast("double"), den))
+    cnt = F.count(x)
+    sx = F.sum(x)
+    n = cnt.cast("decimal(38,0)")
+    num = n * F.sum(x * x) - sx * sx
+    den = (n * (n - 1)).cast("double")
+    return F.when(cnt > 1, F.try_divide(num.cast("double"), den))
 
 
 def days_to_years(c: Column | str, divisor: float = -365.0,

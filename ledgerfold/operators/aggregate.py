@@ -37,14 +37,16 @@ def _var(x: Column, integral: bool) -> Column:
 
 
 def agg_expr(func: str, x: Column, integral: bool,
-             cond: Column | None = None, n_rows: Column | None = None) -> Column:
+             cond: Column | None = None, n_rows: Column | None = None,
+             xv: Column | None = None) -> Column:
     """One aggregate; with ``cond`` it only sees rows where cond is true
     and is null when no row qualifies.  ``cond`` must already be null-safe
     (``coalesce(cond, false)``) and ``n_rows`` its ``count_if``; callers
-    build both once per subset."""
+    build both (and ``xv``, the masked column) once, not per function."""
     if func not in FUNCS:
         raise ValueError(f"unknown aggregate {func!r}; expected one of {FUNCS}")
-    xv = x if cond is None else F.when(cond, x)
+    if xv is None:
+        xv = x if cond is None else F.when(cond, x)
     if func == "min":
         return F.min(xv)
     if func == "max":
@@ -77,8 +79,10 @@ def spec_columns(df: DataFrame, spec: Spec, prefix: str = "",
             raise ValueError(f"spec column {col!r} not in frame")
         integral = is_integral(types[col])
         x = F.col(col)
+        xv = x if cond is None else F.when(cond, x)
         for fn in funcs:
-            out.append(agg_expr(fn, x, integral, cond, n_rows).alias(f"{prefix}{col}_{fn.upper()}"))
+            out.append(agg_expr(fn, x, integral, cond, n_rows, xv)
+                       .alias(f"{prefix}{col}_{fn.upper()}"))
     return out
 
 

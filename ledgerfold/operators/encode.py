@@ -141,14 +141,16 @@ def category_share(col: str, values: Sequence, nan_as_category: bool = True,
     ``condition`` only rows meeting it count (null when none does).
     """
     out = []
-    items = [(dummy_name(col, v), F.col(col).eqNullSafe(F.lit(v)))
-             for v in values]
+    c = F.col(col)
+    one, zero = F.lit(1.0), F.lit(0.0)
+    items = [(dummy_name(col, v), c.eqNullSafe(v)) for v in values]
     if nan_as_category:
-        items.append((f"{col}_nan", F.col(col).isNull()))
+        items.append((f"{col}_nan", c.isNull()))
+    cond = F.coalesce(condition, F.lit(False)) if condition is not None else None
     for name, pred in items:
-        ind = F.when(pred, F.lit(1.0)).otherwise(F.lit(0.0))
-        if condition is not None:
-            ind = F.when(F.coalesce(condition, F.lit(False)), ind)
+        ind = F.when(pred, one).otherwise(zero)
+        if cond is not None:
+            ind = F.when(cond, ind)
         out.append(F.avg(ind).alias(f"{prefix}{name}{suffix}"))
     return out
 
