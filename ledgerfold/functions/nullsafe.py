@@ -123,10 +123,6 @@ def cut_right_closed(c: Column | str, edges: Sequence[float],
     return out
 
 
-def cut_ordinal(c: Column | str, edges: Sequence[float]) -> Column:
-    return cut_right_closed(c, edges, None)
-
-
 # -- row-wise statistics over a list of columns (nulls skipped) ------------
 
 def _nonnull_count(cols: Sequence[Column]) -> Column:

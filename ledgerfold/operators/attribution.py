@@ -262,10 +262,6 @@ def explain_rows(ensemble: list[tuple[float, Tree]], X: np.ndarray,
     return phi, base
 
 
-def margin(ensemble: list[tuple[float, Tree]], x) -> float:
-    return float(sum(scale * t.predict(x) for scale, t in ensemble))
-
-
 def shap_long(df: DataFrame, key: str, features_col: str, ensemble: list[tuple[float, Tree]],
               feature_names: Sequence[str]) -> DataFrame:
     """Long attributions ``(key, feature, value, importance)`` plus one

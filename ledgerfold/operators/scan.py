@@ -102,10 +102,3 @@ def running(df: DataFrame, order_col: str, value_cols: Sequence[str],
             val = (F.greatest if op == "max" else F.least)(loc, off)  # skip nulls
         outs.append(val.alias(f"{prefix}{v}"))
     return joined.select(*[F.col(c) for c in df.columns], *outs)
-
-
-def bucket_of(x: Column, cuts: Sequence) -> Column:
-    """Index of the range holding ``x`` for a short list of cut points."""
-    if not cuts:
-        return F.lit(0)
-    return sum((F.when(x > F.lit(c), F.lit(1)).otherwise(F.lit(0)) for c in cuts), F.lit(0))

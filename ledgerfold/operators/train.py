@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -235,26 +235,19 @@ def split_gain_importance(nodes: DataFrame, feature_names: Sequence[str]) -> Dat
             .orderBy(F.desc("total_gain"), "feature"))
 
 
-def fitted_stage(model: PipelineModel, kind: str):
-    return model.stages[-1]
-
-
 def oof_threshold(oof: DataFrame, label: str = "label") -> float:
     return V.optimal_threshold(oof, label, "score").first()["optimal_threshold"]
 
 
-def holdout_report(model: PipelineModel, test: DataFrame, threshold: float,
-                   key: Sequence[str], label: str = "label") -> DataFrame:
-    """Metrics on held-out rows at a threshold chosen elsewhere (CV/val)."""
+def holdout_report(model: PipelineModel, test: DataFrame,
+                   thresholds: Sequence[tuple[str, float]], key: Sequence[str],
+                   label: str = "label") -> DataFrame:
+    """Metrics on held-out rows at thresholds chosen elsewhere (CV or
+    validation), one row per named threshold, with the holdout ROC AUC."""
     s = score(model, test, [*key, label])
-    m = V.metrics_at_thresholds(s, [("holdout", threshold)], label, "score")
+    m = V.metrics_at_thresholds(s, list(thresholds), label, "score")
     auc = V.roc_auc(s, label, "score").select("roc_auc")
     return (m.withColumn("_k", F.lit(1))
             .join(F.broadcast(auc.withColumn("_k", F.lit(1))), "_k").drop("_k"))
 
 
-def search_best_params(trials: DataFrame) -> str:
-    return trials.orderBy(F.desc("auc_mean"), "trial").first()["params"]
-
-
-Objective = Callable[[DataFrame], float]

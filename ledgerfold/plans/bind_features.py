@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerfold.functions.names import clean_names
 from ledgerfold.operators.aggregate import grouped_agg
 from ledgerfold.operators.encode import category_share, vocabulary
+from ledgerfold.operators.joins import left_join_child
 from ledgerfold.plans.bind_common import (
     CREDITS_SQL, _exact_mean_sql, _exact_var_sql, _share_sql, _sub, credits)
 from ledgerfold.plans.catalog import register
@@ -32,7 +33,7 @@ def customer_order_features(spark, sf):
                  "ACTIVE_": F.col("o_orderstatus") == "O"},
         subset_spec={"amt": ["max", "mean", "sum"], "days": ["min", "mean"]},
     ).withColumnRenamed("o_custkey", "c_custkey")
-    return clean_names(c.join(agg, "c_custkey", "left"))
+    return clean_names(left_join_child(c, agg, "c_custkey"))
 
 
 _SUBSET_SQL = ",\n".join(

@@ -152,14 +152,13 @@ def model_info(spark, sf):
 def holdout_metrics(spark, sf):
     """Fit on train, choose the cost-optimal threshold on validation, report
     metrics on test at that threshold (and at the production threshold)."""
-    from ledgerfold.operators import evaluate as V
     s, feats = _splits(spark, sf)
     m = TR.fit(s.where(F.col("split") == "train"), feats, "gbt", LABEL, **GBT_PARAMS)
     val = TR.score(m, s.where(F.col("split") == "val"), [KEY, LABEL])
-    t = V.optimal_threshold(val, LABEL, "score").first()["optimal_threshold"]
-    test = TR.score(m, s.where(F.col("split") == "test"), [KEY, LABEL])
+    t = TR.oof_threshold(val, LABEL)
     from ledgerfold.operators.scoring import THRESHOLD
-    return V.metrics_at_thresholds(test, [("val_optimal", t), ("production", THRESHOLD)], LABEL, "score")
+    return TR.holdout_report(m, s.where(F.col("split") == "test"),
+                             [("val_optimal", t), ("production", THRESHOLD)], [KEY], LABEL)
 
 
 @register("baseline_stratified")

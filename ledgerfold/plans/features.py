@@ -266,9 +266,10 @@ def credit_card_features(cc: DataFrame, nan_as_category: bool = True,
 def assemble(application: DataFrame, children: Sequence[DataFrame]) -> DataFrame:
     """Application left-joined with each folded child (≤ 1 row per key),
     names cleaned (collisions raise)."""
+    from ledgerfold.operators.joins import left_join_child
     out = application
     for ch in children:
-        out = out.join(ch, KEY, "left")
+        out = left_join_child(out, ch, KEY)
     return clean_names(out)
 
 
