@@ -29,6 +29,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         # the folded feature aggregates carry ~150 buffer fields; keep them
         # inside whole-stage codegen (recommended on clusters too)
         .config("spark.sql.codegen.maxFields", "2000")
+        # remove reliable checkpoints once no DataFrame references them
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "16g")
     )
     spark = builder.getOrCreate()
