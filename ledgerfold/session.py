@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "ledgerfold") -> SparkSession:
+                  app: str = "ledgerfold", extra_conf: dict | None = None) -> SparkSession:
     """Local session with AQE on and the UI off (tests, bench)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -33,6 +33,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "16g")
     )
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
