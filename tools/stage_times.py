@@ -9,10 +9,23 @@ import os
 import sys
 
 
+def lines(path: str):
+    """Event-log lines; Spark 4 compresses logs with zstd by default."""
+    if path.endswith(".zstd") or path.endswith(".zst"):
+        import io
+        import zstandard
+        with open(path, "rb") as fh:
+            reader = zstandard.ZstdDecompressor().stream_reader(fh)
+            yield from io.TextIOWrapper(reader, encoding="utf-8")
+    else:
+        with open(path, encoding="utf-8") as fh:
+            yield from fh
+
+
 def event_files(root: str):
     for dirpath, _, files in os.walk(root):
         for f in sorted(files):
-            if f.startswith("events_") or f.startswith("app") or f.startswith("local"):
+            if f.startswith("events_"):
                 yield os.path.join(dirpath, f)
 
 
@@ -22,7 +35,7 @@ def main() -> None:
     per_stage = collections.Counter()
     tasks = collections.Counter()
     for path in event_files(root):
-        for line in open(path):
+        for line in lines(path):
             e = json.loads(line)
             if e.get("Event") == "SparkListenerStageCompleted":
                 info = e["Stage Info"]
