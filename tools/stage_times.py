@@ -29,21 +29,32 @@ def event_files(root: str):
                 yield os.path.join(dirpath, f)
 
 
+def scopes(info) -> str:
+    """Operator names of a stage's RDDs (e.g. Exchange, WholeStageCodegen)."""
+    names = []
+    for r in info.get("RDD Info", []):
+        sc = r.get("Scope")
+        if sc:
+            n = json.loads(sc).get("name", "")
+            if n and n not in names:
+                names.append(n)
+    return ", ".join(names[:4])
+
+
 def main() -> None:
     root = sys.argv[1]
     top = int(sys.argv[2]) if len(sys.argv) > 2 else 15
-    per_stage = collections.Counter()
-    tasks = collections.Counter()
+    stages = []
     for path in event_files(root):
         for line in lines(path):
             e = json.loads(line)
             if e.get("Event") == "SparkListenerStageCompleted":
                 info = e["Stage Info"]
-                name = info["Stage Name"].split(" at ")[0][:60]
-                per_stage[name] += info["Completion Time"] - info["Submission Time"]
-                tasks[name] += info["Number of Tasks"]
-    for name, ms in per_stage.most_common(top):
-        print(f"{ms / 1000:8.2f} s  {tasks[name]:6d} tasks  {name}")
+                ms = info["Completion Time"] - info["Submission Time"]
+                stages.append((ms, info["Stage ID"], info["Number of Tasks"], scopes(info)))
+    print(f"{len(stages)} stages, {sum(s[0] for s in stages) / 1000:.2f} s summed (stages overlap)")
+    for ms, sid, n, sc in sorted(stages, reverse=True)[:top]:
+        print(f"{ms / 1000:8.2f} s  stage {sid:4d}  {n:5d} tasks  {sc}")
 
 
 if __name__ == "__main__":
