@@ -11,7 +11,7 @@ by a partial-aggregating ``groupBy``.  Linear interpolation as pandas /
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +72,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
 
 def _pick(j: DataFrame, value: str, probs, names, groups) -> DataFrame:
-    lo_hit, aggs = [], []
+    aggs = []
     below, cnt, n = F.col("_below_c"), F.col("_c"), F.col("_n")
     x = F.col(value).cast("double")
     for p, name in zip(probs, names):
