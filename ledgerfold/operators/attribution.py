@@ -262,18 +262,36 @@ def explain_rows(ensemble: list[tuple[float, Tree]], X: np.ndarray,
     return phi, base
 
 
+def _plain(ensemble: list[tuple[float, Tree]]) -> list[tuple]:
+    """The ensemble as plain tuples of numpy arrays (broadcast with plain
+    pickle, so executors need not import this package)."""
+    return [(scale, t.left, t.right, t.feature, t.threshold, t.value, t.cover)
+            for scale, t in ensemble]
+
+
+def _from_plain(plain: list[tuple]) -> list[tuple[float, Tree]]:
+    return [(p[0], Tree(*p[1:])) for p in plain]
+
+
 def shap_long(df: DataFrame, key: str, features_col: str, ensemble: list[tuple[float, Tree]],
               feature_names: Sequence[str]) -> DataFrame:
     """Long attributions ``(key, feature, value, importance)`` plus one
-    ``__base__`` row per key holding the expected value."""
+    ``__base__`` row per key holding the expected value.
+
+    The functions of this module travel to executors by value (cloudpickle)
+    and the ensemble as plain arrays, so executors need only numpy/pandas,
+    not this package installed."""
+    import sys
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(ensemble)
+    bc = spark.sparkContext.broadcast(_plain(ensemble))
     names = list(feature_names)
     src = df.select(F.col(key).cast("long").alias("key"),
                     vector_to_array(F.col(features_col)).alias("x"))
 
     def run(batches):
-        ens = bc.value
+        ens = _from_plain(bc.value)
         for pdf in batches:
             if pdf.empty:
                 continue
