@@ -55,3 +55,28 @@ def test_fe_full_one_exchange_per_child(spark):
     # application side once + five folded children once each
     assert len(by_client) == 6, plan
     assert plan.count("SortMergeJoin") >= 5
+
+
+def test_entry_loads_by_path_from_elsewhere(tmp_path):
+    """The driver may load __spark_entry__.py by path from another working
+    directory; SHAP workers must not need the package on their path."""
+    import os
+    import subprocess
+    import sys
+    script = tmp_path / "run.py"
+    entry_path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))),
+                              "__spark_entry__.py")
+    script.write_text(f'''
+import importlib.util
+spec = importlib.util.spec_from_file_location("entry_under_test", {entry_path!r})
+E = importlib.util.module_from_spec(spec); spec.loader.exec_module(E)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("ENTRY", E.entry(spark).count())
+print("SHAP", E.queries()["shap_top_n"](spark, "/root/testdata/sf0.001").count())
+''')
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), env=env,
+                         capture_output=True, text=True, timeout=600)
+    assert "ENTRY " in out.stdout and "SHAP " in out.stdout, out.stderr[-2000:]
+    assert int(out.stdout.split("SHAP ")[1].split()[0]) > 0
