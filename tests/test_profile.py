@@ -127,3 +127,24 @@ def test_profile_chunks_equal_single_pass(spark, monkeypatch):
     monkeypatch.setattr(P, "COLUMNS_PER_PASS", 1)
     assert sorted(tuple(r) for r in P.column_profile(df).collect()) == one
     assert sorted(tuple(r) for r in P.null_rates(df).collect()) == nr1
+
+
+def test_running_without_partition_all_ops(spark):
+    rng = np.random.default_rng(21)
+    vals = rng.normal(size=800)
+    vals[rng.integers(0, 800, 40)] = np.nan
+    pdf = {"t": np.arange(800), "v": vals}
+    df = spark.createDataFrame([(int(t), None if np.isnan(v) else float(v)) for t, v in zip(*pdf.values())],
+                               "t long, v double")
+    s = np.array(vals)
+    for op, inclusive in (("sum", True), ("max", True), ("min", False)):
+        got = running(df, "t", ["v"], op=op, inclusive=inclusive, n_ranges=13).toPandas().sort_values("t")
+        ser = __import__("pandas").Series(s)
+        if op == "sum":
+            exp = ser.fillna(0).cumsum()
+        elif op == "max":
+            exp = ser.cummax().ffill()
+        else:
+            exp = ser.cummin().ffill().shift(1)
+        a = got["cum_v"].to_numpy(dtype=float)
+        assert np.allclose(np.nan_to_num(a, nan=-99.0), np.nan_to_num(exp.to_numpy(dtype=float), nan=-99.0)), op
