@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import bpe, chat, minhash, ngram_lm
-from ledgerfold.llm.common import id_remainder, table
+from ledgerfold.llm import ann, bpe, chat, decontaminate, minhash, ngram_lm, quality, warc
+from ledgerfold.llm.common import id_remainder, table, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,38 @@ def op9_chat_formatting(spark, sf_dir):
 @query
 def op10_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+@query
+def op3_nearest_neighbours(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+ORACLES["op3_nearest_neighbours"] = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query
+def op4_warc(spark, sf_dir):
+    uri = workspace(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), uri)
+    return warc.read(spark, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+@query
+def op7_quality_classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = quality.fit(docs, labels.where(id_remainder("doc_id", 3) != 1))
+    marked = docs.withColumn("held_out", id_remainder("doc_id", 3) == 1)
+    return quality.score(marked, machine, ["doc_id", "held_out"])
+
+
+@query
+def op2_decontamination(spark, sf_dir):
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(found)
