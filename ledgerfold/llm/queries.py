@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import ann, bpe, chat, decontaminate, minhash, ngram_lm, quality, warc
+from ledgerfold.llm import ann, bpe, chat, decontaminate, minhash, ngram_lm, quality, suffixes, warc
 from ledgerfold.llm.common import id_remainder, table, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op7_quality_classifier(spark, sf_dir):
 def op2_decontamination(spark, sf_dir):
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.report(found)
+
+
+@query
+def op6_suffix_dedup(spark, sf_dir):
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"), length=200)
