@@ -21,7 +21,8 @@ bands of 4 it is 5e-8 at 0.8.  A signature estimate lies 5 standard deviations
 Defined results: a document without words, with null or empty text, has no
 shingles, is linked with nothing and is its own component.  Repeated rows and
 equal texts are one class and so one component.  ``component_id`` is the
-smallest non-null id reachable; null if there is none.
+smallest non-null id reachable; null if there is none.  Rows with the same id
+and text are one document to ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import batch, column, saved, signed, workspace
+from ledgerfold.llm.common import batch, column, remove, saved, signed, workspace
 from ledgerfold.llm.textkernel import mix, shingles, u64, word_slices
 
 BLOCK = 256         # members of a block in step 4
@@ -204,12 +205,13 @@ def _across(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return cells.groupBy(*keys).applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4,
-                    id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept."""
+def labelled(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4,
+             id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """uid, id, n_shingles and label (component; null without shingles) of
+    every row, as a stored table."""
     uri = workspace(docs.sparkSession, "minhash")
-    docs = docs.select(F.xxhash64(id_col, text).alias("uid"), F.col(id_col).alias("_id"), text)
-    prints = saved(fingerprints(docs, k, bands, rows, text), f"{uri}/prints")
+    docs = docs.select(F.xxhash64(id_col, text).alias("uid"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    prints = saved(fingerprints(docs, k, bands, rows, "_text"), f"{uri}/prints")
     one = prints.where("n_shingles > 0").groupBy("node").agg(F.min("uid").alias("uid"))
     classes = saved(prints.join(one, ["node", "uid"]).dropDuplicates(["node"]), f"{uri}/classes")
     keyed = classes.select("node", F.explode("bands").alias("key"))
@@ -219,19 +221,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     pairs = members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     pairs = saved(_estimated(pairs, classes, least), f"{uri}/pairs1")
-    links = _confirmed(pairs, classes, docs, k, text, percent, f"{uri}/first")
+    links = _confirmed(pairs, classes, docs, k, "_text", percent, f"{uri}/first")
     labels = saved(components(links, f"{uri}/stars1"), f"{uri}/labels1")
 
     rest = (members.where("n > 2").join(labels, "node", "left")
             .select("key", "node", F.coalesce("label", "node").alias("label")))
     pairs = saved(_across(rest, classes, least).join(pairs, ["a", "b"], "left_anti"), f"{uri}/pairs2")
     if not pairs.isEmpty():
-        links = links.union(_confirmed(pairs, classes, docs, k, text, percent, f"{uri}/second"))
+        links = links.union(_confirmed(pairs, classes, docs, k, "_text", percent, f"{uri}/second"))
         labels = saved(components(links, f"{uri}/stars2"), f"{uri}/labels2")
 
-    rows_ = (docs.select("uid", "_id").join(prints.select("uid", "n_shingles", "node").distinct(), "uid")
-             .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    rows_ = saved(rows_.select("_id", "n_shingles", "label"), f"{uri}/rows")
-    lowest = rows_.where("label is not null").groupBy("label").agg(F.min("_id").alias("low"))
-    out = rows_.join(lowest, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("_id")).otherwise(F.col("low")))
+    out = (docs.select("uid", "_id").join(prints.select("uid", "n_shingles", "node").distinct(), "uid")
+           .join(labels, "node", "left").select("uid", "_id", "n_shingles", F.coalesce("label", "node").alias("label")))
+    out = saved(out, f"{uri}-rows")
+    remove(uri)
+    return out
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4,
+                    id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept."""
+    out = labelled(docs, k, percent, bands, rows, id_col, text)
+    lowest = out.where("label is not null").groupBy("label").agg(F.min("_id").alias("low"))
+    out = out.join(lowest, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("_id")).otherwise(F.col("low")))
     return out.select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4,
+                 id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: the smallest id (null
+    last).  Documents without words stay."""
+    marked = labelled(docs, k, percent, bands, rows, id_col, text)
+    first = (marked.where("label is not null").groupBy("label")
+             .agg(F.min(F.struct(F.col("_id").isNull(), "_id", "uid")).alias("first")).select(F.col("first.uid").alias("_uid")))
+    stay = first.union(marked.where("label is null").select(F.col("uid").alias("_uid")))
+    return (docs.withColumn("_uid", F.xxhash64(id_col, text)).join(stay, "_uid", "left_semi")
+            .dropDuplicates(["_uid"]).select(*docs.columns))

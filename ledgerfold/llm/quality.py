@@ -203,3 +203,20 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], metadata: list[str
     # metadata columns may be among those kept: own names keep them apart
     extra = [F.col(m).alias(f"_metadata{n}") for n, m in enumerate(metadata)]
     return docs.select(*keep, F.col(text).alias("_text"), *extra).mapInArrow(run, ", ".join(schema))
+
+
+def accepted(docs: DataFrame, machine: Machine, metadata: list[str] = ("n_chars",), text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more, with their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    names, at = docs.columns, len(docs.columns)
+
+    def run(batches):
+        for item in batches:
+            columns = [*range(at + 1, at + 1 + len(metadata))]
+            good = [shared.value.score(*sparse) >= 0.5 for _, _, sparse in _slices(item, at, columns, shared.value.bits)]
+            if good:
+                keep = pa.array(np.concatenate(good))
+                yield batch(names, [item.column(c).filter(keep) for c in range(at)])
+
+    extra = [F.col(m).alias(f"_metadata{n}") for n, m in enumerate(metadata)]
+    return docs.select(*names, F.col(text).alias("_text"), *extra).mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import ann, bpe, chat, decontaminate, minhash, ngram_lm, quality, suffixes, warc
+from ledgerfold.llm import ann, bpe, chains, chat, decontaminate, minhash, ngram_lm, quality, suffixes, warc
 from ledgerfold.llm.common import id_remainder, table, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op2_decontamination(spark, sf_dir):
 @query
 def op6_suffix_dedup(spark, sf_dir):
     return suffixes.without_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
+@query
+def op8_substring_dedup(spark, sf_dir):
+    return chains.repeats(table(spark, sf_dir, "documents")).drop("uid")
