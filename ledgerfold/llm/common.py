@@ -102,70 +102,73 @@ def _local_file(uri: str, name: str) -> str:
 
 
 class SortedArrays:
-    """Sorted 64-bit keys with parallel value arrays, in shards by the keys'
-    top bits; each shard is one file of plain arrays and is memory-mapped when
-    first searched.  ``counts`` gives the keys of each shard, so a missing file
-    is an error and never taken for an empty shard."""
-
-    def __init__(self, uri: str, bits: int, counts: dict[int, int], dtypes: tuple[str, ...]):
-        self.uri, self.bits, self.counts, self.dtypes = uri, bits, counts, dtypes
+    """Sorted 64-bit keys with parallel arrays of counts, in shards by the keys'
+    top bits; each shard is one file of plain arrays, as narrow as its largest
+    count allows, and is memory-mapped when first searched.  ``layout`` gives
+    each shard's number of keys and widths, so a missing file is an error and
+    never taken for an empty shard."""
+
+    def __init__(self, uri: str, bits: int, layout: dict[int, tuple[int, int]]):
+        self.uri, self.bits, self.layout = uri, bits, layout
         self.base = {}
-        total = 0
-        for shard in sorted(counts):
-            self.base[shard] = total
-            total += counts[shard]
-        self.size = total
+        self.size = 0
+        for shard in sorted(layout):
+            self.base[shard] = self.size
+            self.size += layout[shard][0]
         self._open: dict[int, tuple[np.ndarray, ...]] = {}
 
     def __getstate__(self):
         return {**self.__dict__, "_open": {}}
 
     @staticmethod
-    def write(uri: str, bits: int, keys: np.ndarray, values: list[np.ndarray]) -> list[tuple[int, int]]:
-        """Store all keys of one or more whole shards; returns (shard, keys)."""
+    def write(uri: str, bits: int, keys: np.ndarray, counts: list[np.ndarray]) -> list[tuple[int, int, int]]:
+        """Store all keys of one or more whole shards; returns (shard, number of
+        keys, widths of the counts as hexadecimal digits)."""
         order = np.argsort(keys)
-        keys, values = keys[order], [v[order] for v in values]
+        keys, counts = keys[order], [c[order] for c in counts]
         shards = shard_of(keys, bits)
         edges = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(keys) else np.empty(0, int)
         out = []
         for a, b in zip(edges, np.r_[edges[1:], len(keys)].astype(int), strict=True):
-            put(uri, f"{shards[a]}.bin", [keys[a:b].tobytes(), *[v[a:b].tobytes() for v in values]])
-            out.append((int(shards[a]), int(b - a)))
+            widths = [next(w for w in (1, 2, 4, 8) if w == 8 or int(c[a:b].max()) < 1 << (8 * w)) for c in counts]
+            put(uri, f"{shards[a]}.bin", [keys[a:b].tobytes(), *[c[a:b].astype(f"<u{w}").tobytes() for c, w in zip(counts, widths, strict=True)]])
+            out.append((int(shards[a]), int(b - a), sum(w << (4 * i) for i, w in enumerate(widths))))
         return out
 
     def _shard(self, shard: int) -> tuple[np.ndarray, ...]:
         if shard not in self._open:
-            n = self.counts[shard]
+            n, widths = self.layout[shard]
             raw = np.memmap(_local_file(self.uri, f"{shard}.bin"), dtype=np.uint8, mode="r")
-            arrays, at = [], 0
-            for dtype in ("<u8", *self.dtypes):
-                width = np.dtype(dtype).itemsize
-                arrays.append(raw[at:at + n * width].view(dtype))
+            arrays, at = [raw[:8 * n].view("<u8")], 8 * n
+            while widths:
+                width, widths = widths & 15, widths >> 4
+                # a count column need not begin at a multiple of its width
+                arrays.append(np.ndarray(n, f"<u{width}", buffer=raw, offset=at))
                 at += n * width
             self._open[shard] = tuple(arrays)
         return self._open[shard]
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def find(self, keys: np.ndarray, columns: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
         """For sorted ``keys``: position in the whole array (-1: absent) and the
-        values (0 where absent)."""
+        first ``columns`` counts (0 where absent)."""
         position = np.full(len(keys), -1, dtype=np.int64)
-        values = [np.zeros(len(keys), dtype=d) for d in self.dtypes]
+        counts = [np.zeros(len(keys), dtype=np.int64) for _ in range(columns)]
         if not len(keys):
-            return position, values
+            return position, counts
         shards = shard_of(keys, self.bits)
         edges = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]])
         for a, b in zip(edges, np.r_[edges[1:], len(keys)], strict=True):
             shard = int(shards[a])
-            if not self.counts.get(shard):
+            if shard not in self.layout:
                 continue
             own, *rest = self._shard(shard)
             at = np.searchsorted(own, keys[a:b])
             at[at == len(own)] = 0
             hit = own[at] == keys[a:b]
             position[a:b][hit] = at[hit] + self.base[shard]
-            for out, column in zip(values, rest, strict=True):
-                out[a:b][hit] = column[at[hit]]
-        return position, values
+            for out, column_ in zip(counts, rest, strict=False):
+                out[a:b][hit] = column_[at[hit]]
+        return position, counts
 
 
 def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:

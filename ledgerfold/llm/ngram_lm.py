@@ -39,7 +39,8 @@ from ledgerfold.llm.textkernel import mix, mix_int, slices, u64, utf8, words_of
 END = np.uint64(mix_int(0x656E64))      # the token after each text's last word
 BEFORE = -2                             # id of the padding before the first word
 UNKNOWN = -1
-SLICE = 1 << 23
+COUNT_SLICE = 1 << 22     # bytes of text whose n-grams are combined before the shuffle
+SCORE_SLICE = 1 << 21
 ROWS_PER_SHARD = 1 << 18
 
 
@@ -50,9 +51,9 @@ def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(words.hash, words.first[1:], END), words.first + np.arange(n + 1)
 
 
-def _token_slices(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _token_slices(col: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw, offsets = utf8(col)
-    for i, j in slices(offsets, SLICE):
+    for i, j in slices(offsets, size):
         yield i, j, *_tokens(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
 
 
@@ -77,7 +78,7 @@ def _history(ids: np.ndarray, begins: np.ndarray, order: int) -> list[np.ndarray
 
 def _vocabulary_ids(vocabulary: SortedArrays, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     distinct, inverse = np.unique(tokens, return_inverse=True)
-    position, (counts,) = vocabulary.find(distinct)
+    position, (counts,) = vocabulary.find(distinct, 1)
     return position[inverse], counts[inverse]
 
 
@@ -128,21 +129,21 @@ def _store_shards(uri: str, bits: int, make):
 def _count_vocabulary(train: DataFrame, text: str, uri: str, bits: int) -> tuple[SortedArrays, int]:
     def count(batches):
         for b in batches:
-            for _, _, tokens, _ in _token_slices(b.column(0)):
+            for _, _, tokens, _ in _token_slices(b.column(0), COUNT_SLICE):
                 token, n = np.unique(tokens, return_counts=True)
                 yield batch(["shard", "token", "n"], [shard_of(token, bits), signed(token), n])
 
     def make(t, uri, bits):
         n = t["n"].to_numpy()
-        stored = SortedArrays.write(uri, bits, t["token"].to_numpy().view(np.uint64), [n.astype("<i8")])
+        stored = SortedArrays.write(uri, bits, t["token"].to_numpy().view(np.uint64), [n])
         total = int(n.sum())
-        for shard, keys in stored:
-            yield batch(["shard", "keys", "total"], [[shard], [keys], [total]])
+        for shard, keys, widths in stored:
+            yield batch(["shard", "keys", "widths", "total"], [[shard], [keys], [widths], [total]])
             total = 0
 
     counted = _sharded(train.select(text).mapInArrow(count, "shard long, token long, n long"), ["token"])
-    rows = counted.mapInArrow(_store_shards(uri, bits, make), "shard long, keys long, total long").collect()
-    return SortedArrays(uri, bits, {r.shard: r["keys"] for r in rows}, ("<i8",)), sum(r.total for r in rows)
+    rows = counted.mapInArrow(_store_shards(uri, bits, make), "shard long, keys long, widths long, total long").collect()
+    return SortedArrays(uri, bits, {r.shard: (r["keys"], r.widths) for r in rows}), sum(r.total for r in rows)
 
 
 def _store_level(grams: DataFrame, k: int, uri: str, bits: int) -> tuple[Level, DataFrame | None]:
@@ -163,16 +164,14 @@ def _store_level(grams: DataFrame, k: int, uri: str, bits: int) -> tuple[Level,
         ids = [np.ascontiguousarray(t[g].to_numpy()) for g in names]
         n = t["n"].to_numpy()
         none = np.zeros(1, np.int64)
-        stored = SortedArrays.write(f"{uri}/grams", bits, _ngram_key(ids), [n.astype("<i8")])
-        for shard, keys in stored:
-            yield rows(0, [none + shard] if k > 1 else [], none + keys, none, none, none)
+        stored = SortedArrays.write(f"{uri}/grams", bits, _ngram_key(ids), [n])
+        for shard, keys, widths in stored:
+            yield rows(0, [], none + keys, none + widths, none + shard, none)
         t4 = [int((n == c).sum()) for c in (1, 2, 3, 4)]
-        yield rows(1, [none] * (k > 1), *[none + c for c in t4])
+        yield rows(1, [], *[none + c for c in t4])
         one, two, more = [(x).astype(np.int64) for x in (n == 1, n == 2, n > 2)]
         if k == 1:
             yield rows(2, [], none + int(n.sum()), none + int(one.sum()), none + int(two.sum()), none + int(more.sum()))
-            for shard, keys in stored:
-                yield rows(4, [], none + shard, none + keys, none, none)
             return
         keys, values = sums(ids[:-1], [n, one, two, more])
         yield rows(2, keys, *values)
@@ -189,13 +188,12 @@ def _store_level(grams: DataFrame, k: int, uri: str, bits: int) -> tuple[Level,
                 f"{uri}/stats")
     t4 = out.where("kind = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n1", "n2", "n3")]).first()
     discounts = _discounts(list(t4))
+    shards = {r["n2"]: (r["n"], r["n1"]) for r in out.where("kind = 0").select("n", "n1", "n2").collect()}
     if k == 1:
-        shards = {r.n: r.n1 for r in out.where("kind = 4").collect()}
         s = out.where("kind = 2").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n1", "n2", "n3")]).first()
-        return Level(SortedArrays(f"{uri}/grams", bits, shards, ("<i8",)), None, discounts, s[0], tuple(s[1:])), None
-    shards = {r["g2"]: r["n"] for r in out.where("kind = 0").select("g2", "n").collect()}
+        return Level(SortedArrays(f"{uri}/grams", bits, shards), None, discounts, s[0], tuple(s[1:])), None
     contexts = _store_contexts(out.where("kind = 2"), names[1:], f"{uri}/contexts", bits)
-    level = Level(SortedArrays(f"{uri}/grams", bits, shards, ("<i8",)), contexts, discounts)
+    level = Level(SortedArrays(f"{uri}/grams", bits, shards), contexts, discounts)
     below = out.where("kind = 3").select(*[F.col(f"g{i + 1}").alias(f"g{i}") for i in range(1, k)], "n")
     return level, below
 
@@ -210,14 +208,14 @@ def _store_contexts(rows: DataFrame, names: list[str], uri: str, bits: int) -> S
 
     def make(t, uri, bits):
         keys = _ngram_key([np.ascontiguousarray(t[g].to_numpy()) for g in names])
-        for shard, n in SortedArrays.write(uri, bits, keys, [t[v].to_numpy().astype("<i8") for v in values]):
-            yield batch(["shard", "keys"], [[shard], [n]])
+        for shard, n, widths in SortedArrays.write(uri, bits, keys, [t[v].to_numpy() for v in values]):
+            yield batch(["shard", "keys", "widths"], [[shard], [n], [widths]])
 
     summed = rows.groupBy(*names).agg(*[F.sum(v).alias(v) for v in values])
     keyed = summed.mapInArrow(key, ", ".join(f"{c} long" for c in ("shard", *names, *values)))
     stored = (keyed.repartition(partitions(rows.sparkSession), "shard")
-              .mapInArrow(_store_shards(uri, bits, make), "shard long, keys long").collect())
-    return SortedArrays(uri, bits, {r.shard: r["keys"] for r in stored}, ("<i8",) * 4)
+              .mapInArrow(_store_shards(uri, bits, make), "shard long, keys long, widths long").collect())
+    return SortedArrays(uri, bits, {r.shard: (r["keys"], r.widths) for r in stored})
 
 
 def train(docs: DataFrame, order: int = 2, text: str = "text") -> Model:
@@ -233,10 +231,12 @@ def train(docs: DataFrame, order: int = 2, text: str = "text") -> Model:
 
     def count(batches):
         for b in batches:
-            for _, _, tokens, begins in _token_slices(b.column(0)):
+            for _, _, tokens, begins in _token_slices(b.column(0), COUNT_SLICE):
                 grams = _history(_vocabulary_ids(vocabulary, tokens)[0], begins, order)
                 keys, at, n = np.unique(_ngram_key(grams), return_index=True, return_counts=True)
-                yield batch(["shard", *names, "n"], [shard_of(keys, bits), *[g[at] for g in grams], n])
+                shard, grams = shard_of(keys, bits), [g[at] for g in grams]
+                by = np.lexsort((*grams[::-1], shard))      # like ids together: the shuffle compresses better
+                yield batch(["shard", *names, "n"], [shard[by], *[g[by] for g in grams], n[by]])
 
     below = docs.select(text).mapInArrow(count, ", ".join(f"{c} long" for c in ("shard", *names, "n")))
     model = Model(order, total, vocabulary)
@@ -264,7 +264,7 @@ def _probabilities(model: Model, ids: np.ndarray, begins: np.ndarray) -> np.ndar
 
     low = model.levels[1]
     distinct, inverse = np.unique(_ngram_key([ids]), return_inverse=True)
-    counts = low.grams.find(distinct)[1][0][inverse]
+    counts = low.grams.find(distinct, 1)[1][0][inverse]
     if low.total:
         back = float(np.dot(low.discounts, low.spread)) / low.total
         p = discounted(low, counts) / low.total + back / (model.vocabulary.size + 1)
@@ -273,11 +273,11 @@ def _probabilities(model: Model, ids: np.ndarray, begins: np.ndarray) -> np.ndar
     for k in range(2, model.order + 1):
         level, own = model.levels[k], grams[model.order - k:]
         distinct, inverse = np.unique(_ngram_key(own[:-1]), return_inverse=True)
-        found, (total, n1, n2, n3) = level.contexts.find(distinct)
+        found, (total, n1, n2, n3) = level.contexts.find(distinct, 4)
         back = np.where(found >= 0, (n1 * level.discounts[0] + n2 * level.discounts[1] + n3 * level.discounts[2]) / np.maximum(total, 1), 1.0)
         total = np.maximum(total, 1)[inverse]
         distinct, at = np.unique(_ngram_key(own), return_inverse=True)
-        counts = level.grams.find(distinct)[1][0][at]
+        counts = level.grams.find(distinct, 1)[1][0][at]
         p = discounted(level, counts) / total + back[inverse] * p
     return p
 
@@ -290,7 +290,7 @@ def score(model: Model, docs: DataFrame, keep: list[str], text: str = "text") ->
 
     def run(batches):
         for b in batches:
-            for i, j, tokens, begins in _token_slices(b.column(len(keep))):
+            for i, j, tokens, begins in _token_slices(b.column(len(keep)), SCORE_SLICE):
                 ids, counts = _vocabulary_ids(model.vocabulary, tokens)
                 base = np.log10((counts + 1) / (model.train_tokens + model.vocabulary.size + 1))
                 logs, at = np.log10(_probabilities(model, ids, begins)), begins[:-1]
