@@ -34,6 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,8 @@ GRAM = 32
 DIGIT = 40
 PIECE = 1 << 21
 PLACE = 24                  # bits of a position inside a piece
-HOT = 1000                  # runs of one anchor that are dealt with by groupBy
+HOT = 1 << 14               # anchors with more runs are dealt with by groupBy: bounds a task's memory
+TOGETHER = 1 << 12          # runs that a task solves at once, if they are of several anchors
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * u64(0x9E3779B97F4A7C15))
 _BASE = u64(0xD6E8FEB86659FD93)
 
@@ -120,12 +122,27 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("uid", "text").mapInArrow(run, "gram long, uid long, start long, n int, offset int")
 
 
+def _packed(docs: DataFrame, kind: str) -> DataFrame:
+    """uid, _id and the text's compressed bytes, as they are shuffled."""
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            data = [packer.compress(t.as_buffer()) for t in b.column(2).cast(pa.binary())]
+            yield batch(["uid", "_id", "packed"], [b.column(0), b.column(1), pa.array(data, pa.binary())])
+
+    return docs.select("uid", "_id", "text").mapInArrow(run, f"uid long, _id {kind}, packed binary")
+
+
+def unpack(value: pa.Scalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(value.as_buffer())
+
+
 def _extract(joined: DataFrame, length: int, hot: bool) -> DataFrame:
     """The bytes of each candidate run of the joined documents."""
     def run(batches):
         for b in batches:
             for row in range(b.num_rows):
-                uid, text = b.column(0)[row].as_py(), (b.column(1)[row].as_py() or "").encode("utf-8")
+                uid, text = b.column(0)[row].as_py(), unpack(b.column(1)[row])
                 runs = {(r["start"], r["n"]): r for r in b.column(2)[row].as_py() if r["hot"] == hot}   # repeated rows list them twice
                 if runs:
                     own = list(runs.values())
@@ -134,7 +151,7 @@ def _extract(joined: DataFrame, length: int, hot: bool) -> DataFrame:
                                 [pa.array([r["gram"] for r in own], pa.int64()), pa.array([uid] * len(own), pa.int64()), pa.array([r["start"] for r in own], pa.int64()),
                                  pa.array([r["n"] for r in own], pa.int32()), pa.array([r["offset"] for r in own], pa.int32()), pa.array(data, pa.binary())])
 
-    return (joined.select("uid", "text", "runs")
+    return (joined.select("uid", "packed", "runs")
             .mapInArrow(run, "gram long, uid long, start long, n int, offset int, data binary"))
 
 
@@ -200,7 +217,7 @@ def _cold(runs: DataFrame, length: int) -> DataFrame:
                 continue
             gram = b.column(0).to_numpy()
             cut = int(np.searchsorted(gram != gram[-1], False)) if gram[0] != gram[-1] else 0
-            if cut and size + b.num_rows >= 20000:
+            if cut and size + b.num_rows >= TOGETHER:
                 yield solve(pa.Table.from_batches([*waiting, b.slice(0, cut)]))
                 waiting, size = [b.slice(cut)], b.num_rows - cut
             else:
@@ -261,23 +278,25 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     if length < GRAM + 2 or length < DIGIT:
         raise ValueError(f"length must be at least {max(GRAM + 2, DIGIT)} bytes")
     uri = workspace(docs.sparkSession, "suffixes")
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
     own = docs.select(F.xxhash64(id_col, text).alias("uid"), F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     runs = anchors(own, length)
     repeated = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     listed = runs.join(repeated, "gram").select("uid", F.struct("gram", "start", "n", "offset", (F.col("times") > HOT).alias("hot")).alias("run"))
     wanted = saved(listed.groupBy("uid").agg(F.collect_list("run").alias("runs")), f"{uri}/runs")
 
-    joined = own.join(wanted, "uid")
+    # one shuffle of the texts serves the three joins
+    packed = _packed(own, kind)
+    joined = packed.join(wanted, "uid")
     covered = _cold(_extract(joined, length, False), length).union(_hot(_extract(joined, length, True), length))
     spans = saved(covered.groupBy("uid").agg(F.collect_set(F.struct("first", "end")).alias("spans")), f"{uri}/spans")
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if kept_text else "")
 
     def cut(batches):
         for b in batches:
             rows = []
             for value, found in zip(b.column(1), b.column(2), strict=True):
-                raw = value.as_py().encode("utf-8")
+                raw = unpack(value)
                 merged: list[list[int]] = []
                 for x in sorted((s["first"], s["end"]) for s in found.as_py() or ()):
                     if merged and x[0] <= merged[-1][1]:
@@ -296,4 +315,4 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
                 yield batch([id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if kept_text else [])],
                             [b.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=False)]])
 
-    return own.join(spans, "uid", "left").select("_id", "text", "spans").mapInArrow(cut, schema)
+    return packed.join(spans, "uid", "left").select("_id", "packed", "spans").mapInArrow(cut, schema)
