@@ -83,7 +83,7 @@ def remove(uri: str) -> None:
 _FETCHED: dict[str, str] = {}
 
 
-def _local_file(uri: str, name: str) -> str:
+def local_file(uri: str, name: str) -> str:
     """Path that can be memory-mapped.  A shared folder that is mounted is used
     as it is; from an object store the file is fetched once per worker."""
     system, folder = located(uri)
@@ -138,7 +138,7 @@ class SortedArrays:
     def _shard(self, shard: int) -> tuple[np.ndarray, ...]:
         if shard not in self._open:
             n, widths = self.layout[shard]
-            raw = np.memmap(_local_file(self.uri, f"{shard}.bin"), dtype=np.uint8, mode="r")
+            raw = np.memmap(local_file(self.uri, f"{shard}.bin"), dtype=np.uint8, mode="r")
             arrays, at = [raw[:8 * n].view("<u8")], 8 * n
             while widths:
                 width, widths = widths & 15, widths >> 4

@@ -11,8 +11,10 @@
 4. Members of a bucket that are still in different components may be linked
    with each other although not with the hub.  Those buckets are compared in
    blocks: members outside the bucket's largest component against all members,
-   signatures first, then full sets; then components once more.  So no link
-   that any band proposes is lost, and no bucket's pairs are all listed.
+   signatures first, then full sets, which tasks read from files in the shared
+   folder; then components once more.  So no link that any band proposes is
+   lost, and pairs are never rows: a task returns a member's partners as one
+   row, and of its links one for each component.
 
 The chance that no band proposes a pair of similarity s is (1-s^r)^b; with 32
 bands of 4 it is 5e-8 at 0.8.  A signature estimate lies 5 standard deviations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import batch, column, remove, saved, signed, workspace
+from ledgerfold.llm.common import batch, column, local_file, partitions, put, remove, saved, signed, workspace
 from ledgerfold.llm.textkernel import mix, shingles, u64, word_slices
 
 BLOCK = 256         # members of a block in step 4
@@ -169,9 +171,11 @@ def components(edges: DataFrame, uri: str) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def _across(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different components within a bucket whose signatures
-    agree: members outside the largest component, in blocks, against all."""
+def _across(members: DataFrame, classes: DataFrame, least: float, bands: int) -> DataFrame:
+    """Candidates of different components within a bucket: members outside the
+    largest component, in blocks, against all.  A row per member and block:
+    node, partners whose signatures agree and their labels.  A pair that shares
+    several buckets is a candidate in the first of its common bands only."""
     sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     bucket = (sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
               .where("parts > 1").select("key", F.col("most.label").alias("largest"), "n", F.col("most.n").alias("n_largest")))
@@ -188,21 +192,108 @@ def _across(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1))).withColumn("side", F.lit(0)))
     right = (joined.withColumn("j", block("all_blocks"))
              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1))).withColumn("side", F.lit(1)))
-    cells = left.select(*keys, "side", "node", "label", "sig").union(right.select(*keys, "side", "node", "label", "sig"))
+    own = [*keys, "band", "side", "node", "label", "sig"]
+    cells = left.select(*own).union(right.select(*own))
 
     def run(cell: pa.Table) -> pa.Table:
         side, node, label = (cell[c].to_numpy() for c in ("side", "node", "label"))
-        sig = np.frombuffer(b"".join(cell["sig"].to_pylist()), np.uint32).reshape(len(node), -1)
-        out_a, out_b = [], []
-        right = np.flatnonzero(side == 1)
+        sig, band = np.frombuffer(b"".join(cell["sig"].to_pylist()), np.uint32).reshape(len(node), -1), cell["band"][0].as_py()
+        right, rows = np.flatnonzero(side == 1), []
         for r in np.flatnonzero(side == 0):
-            hit = right[((sig[right] == sig[r]).mean(axis=1) >= least) & (label[right] != label[r])]
-            out_a.append(np.minimum(node[hit], node[r]))
-            out_b.append(np.maximum(node[hit], node[r]))
-        none = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+            equal = sig[right] == sig[r]
+            first = equal.reshape(len(right), bands, -1).all(axis=2).argmax(axis=1)
+            hit = right[(equal.mean(axis=1) >= least) & (label[right] != label[r]) & (first == band)]
+            if len(hit):
+                rows.append((node[r], node[hit], label[hit]))
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        return pa.table({"node": pa.array(columns[0], pa.int64()), "partners": pa.array(columns[1], pa.list_(pa.int64())), "labels": pa.array(columns[2], pa.list_(pa.int64()))})
+
+    return cells.groupBy(*keys).applyInArrow(run, "node long, partners array<long>, labels array<long>")
+
+
+class SetFiles:
+    """Sets by node, in files by the node's hash that tasks memory-map."""
+
+    def __init__(self, uri: str, files: int, counts: dict[int, int]):
+        self.uri, self.files, self.counts, self._open = uri, files, counts, {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "_open": {}}
+
+    @staticmethod
+    def place(nodes: np.ndarray, files: int) -> np.ndarray:
+        return (mix(nodes.view(np.uint64)) % u64(files)).astype(np.int64)
+
+    @classmethod
+    def store(cls, sets: DataFrame, uri: str) -> SetFiles:
+        """``sets`` has a row per node: node, items."""
+        files = 4 * partitions(sets.sparkSession)
+
+        def placed(batches):
+            for b in batches:
+                yield batch(["file", "node", "items"], [cls.place(column(b, "node"), files), b.column("node"), b.column("items")])
+
+        def write(batches):
+            parts = [b for b in batches if b.num_rows]
+            if not parts:
+                return
+            t = pa.Table.from_batches(parts)
+            file, node, items = t["file"].to_numpy(), t["node"].to_numpy(), t["items"].to_pylist()
+            for f in np.unique(file):
+                at = np.flatnonzero(file == f)
+                at = at[np.argsort(node[at])]
+                ends = np.cumsum([len(items[i]) // 8 for i in at]).astype("<i8")
+                put(uri, f"{f}.sets", [node[at].astype("<i8").tobytes(), ends.tobytes(), *[items[i] for i in at]])
+                yield batch(["file", "n"], [[int(f)], [len(at)]])
+
+        rows = sets.mapInArrow(placed, "file long, node long, items binary").repartition(partitions(sets.sparkSession), "file").mapInArrow(write, "file long, n long").collect()
+        return cls(uri, files, {r.file: r.n for r in rows})
+
+    def get(self, nodes: np.ndarray) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(nodes)
+        place = self.place(nodes, self.files)
+        for f in np.unique(place).tolist():
+            if f not in self._open:
+                n, raw = self.counts[f], np.memmap(local_file(self.uri, f"{f}.sets"), dtype="<u8", mode="r")
+                self._open[f] = raw[:n].view("<i8"), np.r_[0, raw[n:2 * n].view("<i8")], raw[2 * n:]
+            own, ends, items = self._open[f]
+            at = np.flatnonzero(place == f)
+            for i, r in zip(at, np.searchsorted(own, nodes[at]), strict=True):
+                out[i] = items[ends[r]:ends[r + 1]]
+        return out
+
+
+def _linked(found: DataFrame, classes: DataFrame, docs: DataFrame, k: int, text: str, percent: int, uri: str) -> DataFrame:
+    """Links (a, b) of the candidates of ``_across`` (a stored table), by their
+    full sets: one a row for each component that the node is linked with.
+    Candidate pairs stay inside the task that confirms them."""
+    nodes = found.select("node").union(found.select(F.explode("partners"))).distinct()
+    needed = nodes.join(classes.select("node", "uid"), "node")
+    sets = SetFiles.store(shingle_sets(docs.join(needed, "uid").dropDuplicates(["node"]), k, text), f"{uri}-files")
 
-    return cells.groupBy(*keys).applyInArrow(run, "a long, b long").distinct()
+    def run(batches):
+        for b in batches:
+            out = []
+            for row in range(b.num_rows):
+                node, partners, labels = b.column(0)[row].as_py(), *(b.column(c)[row].values.to_numpy() for c in (1, 2))
+                own = sets.get(np.array([node]))[0]
+                seen = set()
+                for i in range(0, len(partners), BLOCK):
+                    lists = sets.get(partners[i:i + BLOCK])
+                    size = np.array([len(x) for x in lists])
+                    flat = np.concatenate(lists)
+                    at = np.searchsorted(own, flat)
+                    at[at == len(own)] = 0
+                    common = np.add.reduceat((own[at] == flat).astype(np.int64), np.r_[0, np.cumsum(size)[:-1]])
+                    for hit in np.flatnonzero(100 * common >= percent * (size + len(own) - common)):
+                        if labels[i + hit] not in seen:
+                            seen.add(labels[i + hit])
+                            out.append((node, int(partners[i + hit])))
+            columns = list(zip(*out, strict=True)) or [(), ()]
+            yield batch(["a", "b"], [pa.array(c, pa.int64()) for c in columns])
+
+    # one row a task's turn: rows differ in partners
+    return found.repartition(4 * partitions(found.sparkSession)).mapInArrow(run, "a long, b long")
 
 
 def labelled(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4,
@@ -214,9 +305,9 @@ def labelled(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, ro
     prints = saved(fingerprints(docs, k, bands, rows, "_text"), f"{uri}/prints")
     one = prints.where("n_shingles > 0").groupBy("node").agg(F.min("uid").alias("uid"))
     classes = saved(prints.join(one, ["node", "uid"]).dropDuplicates(["node"]), f"{uri}/classes")
-    keyed = classes.select("node", F.explode("bands").alias("key"))
+    keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = saved(keyed.join(buckets, "key").where("node <> hub").select("key", "node", "hub", "n"), f"{uri}/members")
+    members = saved(keyed.join(buckets, "key").where("node <> hub").select("key", "band", "node", "hub", "n"), f"{uri}/members")
     least = percent / 100 - MARGIN
 
     pairs = members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -225,11 +316,11 @@ def labelled(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, ro
     labels = saved(components(links, f"{uri}/stars1"), f"{uri}/labels1")
 
     rest = (members.where("n > 2").join(labels, "node", "left")
-            .select("key", "node", F.coalesce("label", "node").alias("label")))
-    pairs = saved(_across(rest, classes, least).join(pairs, ["a", "b"], "left_anti"), f"{uri}/pairs2")
-    if not pairs.isEmpty():
-        links = links.union(_confirmed(pairs, classes, docs, k, "_text", percent, f"{uri}/second"))
-        labels = saved(components(links, f"{uri}/stars2"), f"{uri}/labels2")
+            .select("key", "band", "node", F.coalesce("label", "node").alias("label")))
+    found = saved(_across(rest, classes, least, bands), f"{uri}/found")
+    if not found.isEmpty():
+        more = saved(_linked(found, classes, docs, k, "_text", percent, f"{uri}/second"), f"{uri}/second-links")
+        labels = saved(components(links.union(more), f"{uri}/stars2"), f"{uri}/labels2")
 
     out = (docs.select("uid", "_id").join(prints.select("uid", "n_shingles", "node").distinct(), "uid")
            .join(labels, "node", "left").select("uid", "_id", "n_shingles", F.coalesce("label", "node").alias("label")))
