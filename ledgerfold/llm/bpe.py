@@ -71,6 +71,7 @@ class Tokenizer:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbols = byte_symbols()
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def __getstate__(self):
         return {k: self.__dict__[k] for k in ("special", "end", "vocab", "ranks", "pattern")}
@@ -150,11 +151,12 @@ class Tokenizer:
                 continue
             # lower() maps a final capital sigma by its context, the tokenizer does not
             words = self.words.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
-            known = self.known
-            if len(known) > REMEMBERED:
-                known.clear()
-            for word in set(words) - known.keys():
-                known[word] = self._entry(word)
+            if len(self.known) > REMEMBERED:
+                self.known, self.older = {}, self.known     # words still in use are taken over from it
+            known, older = self.known, self.older
+            for word in set(words):
+                if word not in known:
+                    known[word] = older.get(word) or self._entry(word)
             found += map(known.__getitem__, words)
         if not found:
             return "", 0, ""

@@ -267,7 +267,12 @@ def _linked(found: DataFrame, classes: DataFrame, docs: DataFrame, k: int, text:
     """Links (a, b) of the candidates of ``_across`` (a stored table), by their
     full sets: one a row for each component that the node is linked with.
     Candidate pairs stay inside the task that confirms them."""
-    nodes = found.select("node").union(found.select(F.explode("partners"))).distinct()
+    def named(batches):
+        for b in batches:
+            flat = pa.concat_arrays([b.column(0), b.column(1).flatten()])
+            yield batch(["node"], [flat.unique()])
+
+    nodes = found.select("node", "partners").mapInArrow(named, "node long").distinct()
     needed = nodes.join(classes.select("node", "uid"), "node")
     sets = SetFiles.store(shingle_sets(docs.join(needed, "uid").dropDuplicates(["node"]), k, text), f"{uri}-files")
 
