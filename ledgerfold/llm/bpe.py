@@ -30,9 +30,8 @@ import unicodedata
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import batch
+from ledgerfold.llm.common import batch, positional
 
 SHORT = 128
 REMEMBERED = 200_000
@@ -204,4 +203,4 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", ids:
                 more = [pa.array(id_lists, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if ids else []
                 yield batch(names, [*rows.columns[:len(keep)], pa.array(n, pa.int64()), pa.array(id_digests, pa.string()), pa.array(decoded_digests, pa.string()), *more])
 
-    return docs.select(*keep, F.col(text)).mapInArrow(run, ", ".join(schema))
+    return positional(docs.select(*keep, text)).mapInArrow(run, ", ".join(schema))

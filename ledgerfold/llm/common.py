@@ -41,6 +41,12 @@ def saved(df: DataFrame, uri: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with columns named by place, so that one may be selected twice and
+    the caller's names cannot clash with an operator's."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

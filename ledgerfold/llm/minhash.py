@@ -199,7 +199,7 @@ def _across(members: DataFrame, classes: DataFrame, least: float, bands: int) ->
         side, node, label = (cell[c].to_numpy() for c in ("side", "node", "label"))
         sig, band = np.frombuffer(b"".join(cell["sig"].to_pylist()), np.uint32).reshape(len(node), -1), cell["band"][0].as_py()
         right, rows = np.flatnonzero(side == 1), []
-        for r in np.flatnonzero(side == 0):
+        for r in np.flatnonzero(side == 0) if len(right) else ():
             equal = sig[right] == sig[r]
             first = equal.reshape(len(right), bands, -1).all(axis=2).argmax(axis=1)
             hit = right[(equal.mean(axis=1) >= least) & (label[right] != label[r]) & (first == band)]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import SortedArrays, batch, column, partitions, remove, saved, shard_of, signed, workspace
+from ledgerfold.llm.common import SortedArrays, batch, column, partitions, positional, remove, saved, shard_of, signed, workspace
 from ledgerfold.llm.textkernel import mix, mix_int, slices, u64, utf8, words_of
 
 END = np.uint64(mix_int(0x656E64))      # the token after each text's last word
@@ -300,7 +300,7 @@ def score(model: Model, docs: DataFrame, keep: list[str], text: str = "text") ->
                              np.add.reduceat((ids >= 0).astype(np.int64), at), np.full(j - i, model.train_tokens),
                              np.add.reduceat(base, at), total, 10.0 ** np.minimum(-total / n, 300.0)])
 
-    return docs.select(*keep, text).mapInArrow(run, ", ".join(schema))
+    return positional(docs.select(*keep, text)).mapInArrow(run, ", ".join(schema))
 
 
 def lm_scores(docs: DataFrame, held_out: Column, order: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import batch
+from ledgerfold.llm.common import batch, positional
 from ledgerfold.llm.textkernel import mix, slices, u64, utf8, words_of
 
 BINS = 12
@@ -200,9 +200,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], metadata: list[str
                 p = shared.value.score(*sparse)
                 yield batch([*keep, "score", "predicted"], [*[item.column(c).slice(i, j - i) for c in range(at)], p, (p >= 0.5).astype(np.int32)])
 
-    # metadata columns may be among those kept: own names keep them apart
-    extra = [F.col(m).alias(f"_metadata{n}") for n, m in enumerate(metadata)]
-    return docs.select(*keep, F.col(text).alias("_text"), *extra).mapInArrow(run, ", ".join(schema))
+    return positional(docs.select(*keep, text, *metadata)).mapInArrow(run, ", ".join(schema))
 
 
 def accepted(docs: DataFrame, machine: Machine, metadata: list[str] = ("n_chars",), text: str = "text") -> DataFrame:
@@ -218,5 +216,4 @@ def accepted(docs: DataFrame, machine: Machine, metadata: list[str] = ("n_chars"
                 keep = pa.array(np.concatenate(good))
                 yield batch(names, [item.column(c).filter(keep) for c in range(at)])
 
-    extra = [F.col(m).alias(f"_metadata{n}") for n, m in enumerate(metadata)]
-    return docs.select(*names, F.col(text).alias("_text"), *extra).mapInArrow(run, docs.schema)
+    return positional(docs.select(*names, text, *metadata)).mapInArrow(run, docs.schema)
