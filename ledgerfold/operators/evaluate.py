@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerfold.operators.joins import DEFAULT_BROADCAST_ROWS, join_on
 from ledgerfold.operators.scan import running
 
 # Fixed values of the reference's evaluation: business cost weights, the
@@ -99,11 +100,12 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
     groups = list(groups)
     d = score_counts(df, label, score, groups)
     r = running(d, score, ["neg"], groups, inclusive=False, prefix="below_")
-    twice = 2 * F.col("pos") * F.col("below_neg") + F.col("pos") * F.col("neg")
+    # products of counts pass bigint beyond some billions of rows
+    twice = F.col("pos").cast("decimal(18,0)") * (2 * F.col("below_neg") + F.col("neg")).cast("decimal(20,0)")
     a = r.groupBy(*groups).agg(F.sum(twice).alias("_twice"),
                                F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     auc = F.try_divide(F.col("_twice").cast("double"),
-                       (2 * F.col("n_pos") * F.col("n_neg")).cast("double"))
+                       (2 * F.col("n_pos").cast("decimal(19,0)") * F.col("n_neg").cast("decimal(19,0)")).cast("double"))
     return a.select(*groups, auc.alias("roc_auc"), "n_pos", "n_neg")
 
 
@@ -114,8 +116,7 @@ def _cumulated(df: DataFrame, label: str, score: str, groups: Sequence[str]):
     r = running(d, score, ["pos", "neg"], groups, inclusive=False, prefix="below_")
     wtot = d.groupBy(*groups).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if groups:
-        from ledgerfold.operators.joins import bounded_broadcast
-        j = r.join(bounded_broadcast(wtot), groups, "inner")  # one row per group
+        j = join_on(r, wtot, groups, broadcast_rows=DEFAULT_BROADCAST_ROWS)  # one row per group
     else:  # one-row totals
         j = r.withColumn("_k", F.lit(1)).join(
             F.broadcast(wtot.withColumn("_k", F.lit(1))), "_k").drop("_k")
@@ -170,7 +171,9 @@ def cost_curve(df: DataFrame, label: str = "label", score: str = "score",
     if len(ts) > 10000:
         raise ValueError("at most 10000 thresholds")
     gs = list(groups) or ["_all"]
-    src = df if groups else df.withColumn("_all", F.lit(0))
+    # rows without a score are in no confusion cell, so they cost nothing here either
+    src = df.where(F.col(score).isNotNull())
+    src = src if groups else src.withColumn("_all", F.lit(0))
     s = F.col(score)
     reached = sum((F.when(s >= F.lit(t), F.lit(1)).otherwise(F.lit(0)) for t in ts), F.lit(0))
     y = _y(label)

@@ -20,6 +20,18 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= max_rows else df
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+            broadcast_rows: int | None = None) -> DataFrame:
+    """Equi-join on ``keys`` in which null matches null (a null label or group
+    is a group like any other); the keys appear once, as ``left`` has them.
+    ``broadcast_rows``: broadcast ``right`` if it has at most that many rows."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    if broadcast_rows is not None:
+        named = bounded_broadcast(named, broadcast_rows)
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def left_join_child(parent: DataFrame, child: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Left join of a child already reduced to ≤ 1 row per key."""
     return parent.join(child, key, "left")

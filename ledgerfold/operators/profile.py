@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerfold.functions.nullsafe import exact_mean, exact_var_samp, is_integral
+from ledgerfold.operators.joins import DEFAULT_BROADCAST_ROWS, join_on
 from ledgerfold.operators.scan import running
 
 
@@ -61,13 +62,12 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float],
                      inclusive=False, n_buckets=n_buckets, prefix="_below")
     sizes = dv.groupBy(*groups).agg(F.sum("_c").alias("_n"))
     if synthetic:
-        sizes = F.broadcast(sizes)  # exactly one row
+        sized = ranked.join(F.broadcast(sizes), groups, "inner")  # exactly one row
     else:
         # one row per group: broadcast when provably small so that a hot
         # group does not skew the join
-        from ledgerfold.operators.joins import bounded_broadcast
-        sizes = bounded_broadcast(sizes)
-    out = _pick(ranked.join(sizes, groups, "inner"), value, probs, names, groups)
+        sized = join_on(ranked, sizes, groups, broadcast_rows=DEFAULT_BROADCAST_ROWS)
+    out = _pick(sized, value, probs, names, groups)
     return out.drop("_all") if synthetic else out
 
 
@@ -156,7 +156,7 @@ def describe(df: DataFrame, cols: Sequence[str], groups: Sequence[str] = (),
         F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"))
     q = quantiles(long, "value", [0.25, 0.5, 0.75], keys,
                   ["p25", "median", "p75"], method=method)
-    return mom.join(q, keys, "left").select(
+    return join_on(mom, q, keys, "left").select(
         *keys, "count", "mean", "std", "min", "p25", "median", "p75", "max")
 
 
@@ -187,7 +187,7 @@ def null_rates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                           for i, c in enumerate(chunk)])
         parts.append(wide.select("_n", F.explode(pairs).alias("kv"))
                      .select("kv.column", "kv.n_null",
-                             (F.col("kv.n_null") * 100.0 / F.col("_n")).alias("pct_null")))
+                             F.try_divide(F.col("kv.n_null") * 100.0, F.col("_n")).alias("pct_null")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -223,7 +223,7 @@ def column_profile(df: DataFrame, method: str = "exact", distinct: str = "exact"
     for p in parts[1:]:
         base = base.unionByName(p)
     base = base.select(
-        "*", ((F.col("n_rows") - F.col("non_null")) / F.col("n_rows")).alias("null_rate"),
+        "*", F.try_divide(F.col("n_rows") - F.col("non_null"), F.col("n_rows")).alias("null_rate"),
         F.try_divide(F.col("n_distinct").cast("double"),
                      F.col("non_null").cast("double")).alias("distinct_rate"))
     num = numeric_columns(df)
@@ -324,6 +324,11 @@ def histogram(df: DataFrame, value: str, bins: int = 10,
                   F.lit(bins - 1)).cast("int")
     g = (df.where(x.isNotNull()).select(*groups, idx.alias("bin"))
          .groupBy(*groups, "bin").agg(F.count(F.lit(1)).alias("count")))
+    # every bin of every group, empty ones with 0
+    places = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    grid = (g.select(*groups).distinct().select(*groups, places) if groups
+            else df.sparkSession.range(1).select(places))
+    g = join_on(grid, g, [*groups, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     out = g.select(*groups, "bin",
                    (F.lit(lo) + F.col("bin") * F.lit(width)).alias("left"),
                    (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("right"),
@@ -346,11 +351,10 @@ def box_stats(df: DataFrame, value: str, groups: Sequence[str] = (),
     q = q.select("*", (F.col("q1") - 1.5 * F.col("iqr")).alias("_lo"),
                  (F.col("q3") + 1.5 * F.col("iqr")).alias("_hi"))
     x = F.col(value).cast("double")
-    from ledgerfold.operators.joins import bounded_broadcast
     if groups:
         # one row per group, broadcast when provably small (hot groups then
         # cannot skew the join)
-        j = df.join(bounded_broadcast(q), groups, "inner")
+        j = join_on(df, q, groups, broadcast_rows=DEFAULT_BROADCAST_ROWS)
     else:
         j = with_one_row(df, q)
     inside = (x >= F.col("_lo")) & (x <= F.col("_hi"))
@@ -408,4 +412,4 @@ def key_coverage(a: DataFrame, a_key: str, b: DataFrame, b_key: str) -> DataFram
     return j.agg(F.count("_a").alias("n_keys_a"), F.count("_b").alias("n_keys_b"),
                  F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull())
                  .alias("n_shared")).select(
-        "*", (F.col("n_shared") * 100.0 / F.col("n_keys_a")).alias("pct_a_covered"))
+        "*", F.try_divide(F.col("n_shared") * 100.0, F.col("n_keys_a")).alias("pct_a_covered"))

@@ -15,6 +15,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerfold.operators.joins import join_on
 from ledgerfold.operators.scan import bucket_count
 
 
@@ -34,7 +35,7 @@ def hash_rank(df: DataFrame, key_cols: Sequence[str], strata: Sequence[str] = ()
     counts = d.groupBy(*strata, "_hb").agg(F.count(F.lit(1)).alias("_bc"))
     wb = Window.partitionBy(*strata).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*strata, "_hb", F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_off"))
-    j = local.join(offs, [*strata, "_hb"], "inner")
+    j = join_on(local, offs, [*strata, "_hb"])
     return j.select(*df.columns, (F.col("_off") + F.col("_lr")).alias(out),
                     F.col("_h").alias("_hash"))
 
@@ -59,15 +60,14 @@ def stratified_split(df: DataFrame, key_cols: Sequence[str], label: str,
     """Adds ``split`` in {train, val, test} with exact per-class quotas."""
     tr, va, te = ratios
     if abs(tr + va + te - 1.0) > 1e-9:
-        raise ValueError(f"Ratios must sum to 1.0, got {tr + va + te}")
+        raise ValueError(f"split ratios {ratios} do not add up to one")
     r = hash_rank(df, key_cols, [label], seed)
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     n_test, n_val = split_quotas(F.col("_n"), te, va)
     sizes = sizes.select(label, "_n", n_test.alias("_nt"), n_val.alias("_nv"))
     # one row per class: joining it by label with a shuffle would send the
     # whole majority class to one task, so it is broadcast (size checked)
-    from ledgerfold.operators.joins import bounded_broadcast
-    j = r.join(bounded_broadcast(sizes, 100_000), label, "inner")
+    j = join_on(r, sizes, [label], broadcast_rows=100_000)
     rank = F.col("_rank")
     split = (F.when(rank < F.col("_nt"), F.lit("test"))
              .when(rank < F.col("_nt") + F.col("_nv"), F.lit("val"))
@@ -99,7 +99,9 @@ def stratified_sample(df: DataFrame, key_cols: Sequence[str], label: str | None,
     rest = r.where(F.col("_rank") >= n // 2)
     n_first = first.count()   # ≤ n//2 × classes rows: a bounded count
     topped = first
-    if n_first < n:
+    if n_first > n:           # more than two classes
+        topped = first.orderBy("_hash", *key_cols).limit(n)
+    elif n_first < n:
         topped = first.unionByName(
             rest.orderBy("_hash", *key_cols).limit(n - n_first))
     return topped.select(*df.columns)

@@ -29,6 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerfold.operators.joins import join_on
 from ledgerfold.session import cut_lineage
 
 _OPS = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -76,7 +77,7 @@ def running(df: DataFrame, order_col: str, value_cols: Sequence[str],
         wb = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
         offsets = totals.select(*parts, "_bkt", *[agg(F.col(f"_tot_{v}")).over(wb).alias(f"_off_{v}")
                                                   for v in value_cols])
-        joined = local.join(offsets, [*parts, "_bkt"], "left")
+        joined = join_on(local, offsets, [*parts, "_bkt"], "left")
     else:
         # one total per range (≤ the partition count): fold them on the driver
         # into per-range offsets and apply them as a literal map lookup

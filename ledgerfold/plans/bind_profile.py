@@ -266,15 +266,19 @@ def category_class_counts_q(spark, sf):
 def _hist_sql(src, x, bins, groups=(), density=False):
     g = ", ".join(groups)
     gsel = f"{g}, " if groups else ""
-    dens = (f", count(*) / (sum(count(*)) OVER ({'PARTITION BY ' + g if groups else ''}) * ((r.hi - r.lo) / {bins})) AS density"
+    same = " AND ".join(f"c.{k} IS NOT DISTINCT FROM e.{k}" for k in groups) + " AND " if groups else ""
+    keys = "".join(f"e.{k}, " for k in groups)
+    dens = (f", coalesce(c.n, 0) / (sum(coalesce(c.n, 0)) OVER ({'PARTITION BY ' + ', '.join('e.' + k for k in groups) if groups else ''}) * ((r.hi - r.lo) / {bins})) AS density"
             if density else "")
     return f"""
 WITH d AS ({src}), r AS (SELECT CAST(min({x}) AS DOUBLE) AS lo, CAST(max({x}) AS DOUBLE) AS hi FROM d),
 b AS (SELECT {gsel}CAST(least(floor((CAST({x} AS DOUBLE) - r.lo) * ({bins} / (r.hi - r.lo))), {bins - 1}) AS INTEGER) AS bin
-      FROM d, r WHERE {x} IS NOT NULL)
-SELECT {gsel}bin, r.lo + bin * ((r.hi - r.lo) / {bins}) AS "left", r.lo + (bin + 1) * ((r.hi - r.lo) / {bins}) AS "right",
-  count(*) AS count{dens}
-FROM b, r GROUP BY {gsel}bin, r.lo, r.hi"""
+      FROM d, r WHERE {x} IS NOT NULL),
+c AS (SELECT {gsel}bin, count(*) AS n FROM b GROUP BY {gsel}bin),
+e AS (SELECT {gsel}CAST(unnest(range({bins})) AS INTEGER) AS bin FROM (SELECT DISTINCT {g or '1'} FROM b))
+SELECT {keys}e.bin, r.lo + e.bin * ((r.hi - r.lo) / {bins}) AS "left", r.lo + (e.bin + 1) * ((r.hi - r.lo) / {bins}) AS "right",
+  coalesce(c.n, 0) AS count{dens}
+FROM r, e LEFT JOIN c ON {same}c.bin = e.bin"""
 
 
 @register("histogram", _hist_sql("SELECT o_totalprice FROM orders", "o_totalprice", 10))

@@ -36,14 +36,20 @@ def decisions(requests: DataFrame, scored: DataFrame, threshold: float = THRESHO
 
 
 def start_scoring_stream(spark: SparkSession, requests_path: str, scored: DataFrame,
-                         out_path: str, checkpoint: str, watermark: str = "1 hour",
+                         out_path: str, checkpoint: str, watermark: str | None = None,
                          threshold: float = THRESHOLD, available_now: bool = True,
                          max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Every request is answered once, however late it comes: its id is kept as
+    state.  ``watermark`` bounds that state where repeats come soon; requests
+    later than it are then dropped."""
     reader = spark.readStream.schema(REQUEST_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     req = reader.parquet(requests_path)
-    dedup = req.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["request_id"])
+    if watermark:
+        dedup = req.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["request_id"])
+    else:
+        dedup = req.dropDuplicates(["request_id"])
     out = decisions(dedup, scored, threshold)
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
