@@ -133,19 +133,23 @@ def windows(docs: DataFrame, arrays: SortedArrays, lengths: list[int], k: int, p
         for b in batches:
             uids = b.column(0)
             for i, j, words in word_slices(b.column(1)):
-                rows = []
-                per = {}
+                rows, per, some = [], {}, set()
                 for size in sizes:              # all documents of the slice at once
-                    lists = [shingles(own, size) if len(own) >= size else np.empty(0, np.uint64)
-                             for own in np.split(words.hash, words.first[1:-1])]
-                    whole = np.concatenate(lists)
-                    distinct, inverse = np.unique(whole, return_inverse=True)
-                    hit = (arrays.find(distinct)[0] >= 0)[inverse]
-                    per[size] = lists, np.split(hit, np.cumsum([len(x) for x in lists])[:-1])
-                for d in range(j - i):
-                    if any(per[size][1][d].any() for size in sizes):
-                        own = words.hash[words.first[d]:words.first[d + 1]]
-                        rows += [(uids[i + d].as_py(), *r) for r in of_document(own, {s: per[s][1][d] for s in sizes}, {s: per[s][0][d] for s in sizes})]
+                    whole = shingles(words.hash, size) if len(words.hash) >= size else np.empty(0, np.uint64)
+                    distinct = np.unique(whole)
+                    known = distinct[arrays.find(distinct)[0] >= 0]
+                    hit = np.zeros(len(whole), dtype=bool)
+                    if len(known):
+                        at = np.searchsorted(known, whole)
+                        hit = known[np.minimum(at, len(known) - 1)] == whole
+                    at = np.flatnonzero(hit)
+                    text_of = np.searchsorted(words.first, at, side="right") - 1
+                    some.update(text_of[at + size <= words.first[text_of + 1]].tolist())
+                    per[size] = whole, hit
+                for d in sorted(some):
+                    lo, hi = words.first[d], words.first[d + 1]
+                    part = {size: slice(lo, max(hi - size + 1, lo)) for size in sizes}
+                    rows += [(uids[i + d].as_py(), *r) for r in of_document(words.hash[lo:hi], {z: per[z][1][part[z]] for z in sizes}, {z: per[z][0][part[z]] for z in sizes})]
                 if rows:
                     yield batch(names, [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)])
 
