@@ -216,7 +216,7 @@ def _cold(runs: DataFrame, length: int) -> DataFrame:
             if not b.num_rows:
                 continue
             gram = b.column(0).to_numpy()
-            cut = int(np.searchsorted(gram != gram[-1], False)) if gram[0] != gram[-1] else 0
+            cut = int(np.searchsorted(gram, gram[-1]))      # the last anchor may go on in the next batch
             if cut and size + b.num_rows >= TOGETHER:
                 yield solve(pa.Table.from_batches([*waiting, b.slice(0, cut)]))
                 waiting, size = [b.slice(cut)], b.num_rows - cut
