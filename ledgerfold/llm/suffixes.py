@@ -143,15 +143,14 @@ def _extract(joined: DataFrame, length: int, hot: bool) -> DataFrame:
         for b in batches:
             for row in range(b.num_rows):
                 uid, text = b.column(0)[row].as_py(), unpack(b.column(1)[row])
-                runs = {(r["start"], r["n"]): r for r in b.column(2)[row].as_py() if r["hot"] == hot}   # repeated rows list them twice
-                if runs:
-                    own = list(runs.values())
-                    data = [text[r["start"]:r["start"] + r["n"] + length - 1] for r in own]
-                    yield batch(["gram", "uid", "start", "n", "offset", "data"],
-                                [pa.array([r["gram"] for r in own], pa.int64()), pa.array([uid] * len(own), pa.int64()), pa.array([r["start"] for r in own], pa.int64()),
-                                 pa.array([r["n"] for r in own], pa.int32()), pa.array([r["offset"] for r in own], pa.int32()), pa.array(data, pa.binary())])
-
-    return (joined.select("uid", "packed", "runs")
+                own = list({(r["start"], r["n"]): r for r in b.column(2)[row].as_py()}.values())   # repeated rows list them twice
+                data = [text[r["start"]:r["start"] + r["n"] + length - 1] for r in own]
+                yield batch(["gram", "uid", "start", "n", "offset", "data"],
+                            [pa.array([r["gram"] for r in own], pa.int64()), pa.array([uid] * len(own), pa.int64()), pa.array([r["start"] for r in own], pa.int64()),
+                             pa.array([r["n"] for r in own], pa.int32()), pa.array([r["offset"] for r in own], pa.int32()), pa.array(data, pa.binary())])
+
+    # texts without such runs are not unpacked
+    return (joined.select("uid", "packed", F.filter("runs", lambda r: r["hot"] == F.lit(hot)).alias("runs")).where(F.size("runs") > 0)
             .mapInArrow(run, "gram long, uid long, start long, n int, offset int, data binary"))
 
 
