@@ -195,6 +195,26 @@ def test_chains_cut_repeated_passages(docs, rows, empty):
     assert chains.repeats(empty).count() == 0
 
 
+def held(found, a, b):
+    """Words of ``a``'s passages in the later of documents a and b."""
+    return max((r.end_word - r.start_word for r in found if {r.doc_id, r.kept_id} == {a, b}), default=0)
+
+
+def test_chains_do_not_depend_on_hubs(spark):
+    """Passages made of lines that other documents hold, too, and passages of
+    which a third document holds a part only."""
+    lines = [prose(10) for _ in range(60)]
+    rows = [(i, f"{prose(20)} {line} {prose(20)}") for i, line in enumerate(lines * 3)]
+    for i in range(10):
+        common, whole = " ".join(lines[6 * i:6 * i + 6]), prose(60)
+        rows += [(1000 + j, f"{prose(15)} {common} {prose(15)}") for j in (10 * i, 10 * i + 1)]
+        rows += [(2000 + j, f"{prose(15)} {whole} {prose(15)}") for j in (10 * i, 10 * i + 1)]
+        rows += [(2002 + 10 * i + j, f"{prose(15)} {' '.join(whole.split(' ')[12 * j:12 * j + 35])} {prose(15)}") for j in range(3)]
+    found = chains.repeats(frame(spark, rows)).collect()
+    assert all(held(found, base + 10 * i, base + 10 * i + 1) >= 60 for base in (1000, 2000) for i in range(10))
+    assert all(r.doc_id >= 1000 and r.doc_id % 10 < 2 for r in found)
+
+
 def test_decontamination_finds_items(spark, docs, rows, empty):
     item = " ".join(rows[10][1].split(" ")[20:50])
     fuzzy = changed(" ".join(rows[11][1].split(" ")[5:45]), 41)
