@@ -215,6 +215,43 @@ def test_chains_do_not_depend_on_hubs(spark):
     assert all(r.doc_id >= 1000 and r.doc_id % 10 < 2 for r in found)
 
 
+def copied(passage, unequal, kinds):
+    """The passage with so many words, but the outer ones, changed, left out or
+    put in: columns of the alignment that are not equal."""
+    out = passage.split(" ")
+    for at in sorted(RNG.sample(range(1, len(out) - 1), unequal), reverse=True):
+        kind = RNG.choice(kinds)
+        out[at:at + 1] = [] if kind == "out" else [out[at], f"y{RNG.random()}"] if kind == "in" else [f"y{RNG.random()}"]
+    return " ".join(out)
+
+
+def test_chains_find_every_fuzzy_passage(spark):
+    rows, pairs = [], []
+    for kinds in (["change"], ["change", "in", "out"]):
+        for n in (51, 60, 80, 100):
+            for percent in (0, 5, 10, 15, 20):
+                for _ in range(10):
+                    passage, i = prose(n), 2 * len(pairs)
+                    pairs.append((i, i + 1, n, percent, kinds))
+                    # the rest differs in every word
+                    rows += [(i + j, " ".join([*(f"a{RNG.random()}" for _ in range(20)), p, *(f"a{RNG.random()}" for _ in range(20))])) for j, p in enumerate((passage, copied(passage, n * percent // 100, kinds)))]
+    # every fifth word changed: no five words in a row are left
+    rows += [(9000, prose(30) + " " + (p := prose(54))), (9001, changed(p, 5))]
+    found = chains.repeats(frame(spark, rows)).collect()
+    assert [p for p in [*pairs, (9000, 9001)] if not held(found, *p[:2])] == []
+    assert all(r.doc_id // 2 == r.kept_id // 2 and r.similarity >= 0.8 for r in found)
+
+
+def test_passages_match_brute_force():
+    for _ in range(300):
+        equal = np.array([RNG.random() < RNG.choice([0.6, 0.8, 0.95]) for _ in range(60)])
+        got = chains.passages(equal, 20, 80)
+        ranges = [(a, z) for a in range(60) for z in range(a + 20, 61) if equal[a] and equal[z - 1] and 100 * equal[a:z].sum() >= 80 * (z - a)]
+        assert all(r in ranges for r in got) and all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+        # no range is left that no passage touches
+        assert all(any(a < end and z > begin for begin, end in got) for a, z in ranges)
+
+
 def test_decontamination_finds_items(spark, docs, rows, empty):
     item = " ".join(rows[10][1].split(" ")[20:50])
     fuzzy = changed(" ".join(rows[11][1].split(" ")[5:45]), 41)
