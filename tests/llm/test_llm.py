@@ -242,6 +242,16 @@ def test_chains_find_every_fuzzy_passage(spark):
     assert all(r.doc_id // 2 == r.kept_id // 2 and r.similarity >= 0.8 for r in found)
 
 
+def test_chains_split_at_large_gaps(spark):
+    one, two = prose(5000), prose(5000)
+    rows = [(i, f"{one} {' '.join(f'{i}a{j}' for j in range(n))} {two}") for i, n in ((1, 20000), (2, 21000))]
+    found = sorted((r.start_word, r.end_word, r.kept_start) for r in chains.repeats(frame(spark, rows)).collect())
+    assert found in ([(0, 5000, 0), (25000, 30000, 26000)], [(0, 5000, 0), (26000, 31000, 25000)])
+    frags = np.array([[0, 5000, 0, 5000], [25000, 30000, 26000, 31000]])
+    other = np.r_[np.arange(25000), np.arange(50000, 51000), np.arange(25000, 30000)]
+    assert len(list(chains.align(np.arange(30000), other, frags, 50, 80))) == 2
+
+
 def test_passages_match_brute_force():
     for _ in range(300):
         equal = np.array([RNG.random() < RNG.choice([0.6, 0.8, 0.95]) for _ in range(60)])
