@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import ann, bpe, chains, chat, decontaminate, minhash, ngram_lm, quality, suffixes, warc
+from ledgerfold.llm import alignment, ann, bpe, chains, chat, decontaminate, minhash, ngram_lm, packing, quality, suffixes, warc
 from ledgerfold.llm.common import id_remainder, table, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,14 @@ def op6_suffix_dedup(spark, sf_dir):
 @query
 def op8_substring_dedup(spark, sf_dir):
     return chains.repeats(table(spark, sf_dir, "documents")).drop("uid")
+
+
+@query
+def op12_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
+
+
+@query
+def op13_alignment(spark, sf_dir):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignments(table(spark, sf_dir, "documents"), *paths, ["doc_id"])
