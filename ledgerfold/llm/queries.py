@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import alignment, ann, bpe, chains, chat, decontaminate, minhash, ngram_lm, packing, quality, suffixes, warc
+from ledgerfold.llm import alignment, ann, bpe, chains, chat, decontaminate, minhash, ngram_lm, packing, periodic, quality, suffixes, warc
 from ledgerfold.llm.common import id_remainder, table, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,35 @@ def op8_substring_dedup(spark, sf_dir):
     return chains.repeats(table(spark, sf_dir, "documents")).drop("uid")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth text (by its id's crc32) with words that repeat from some
+    place on, as op11's contract says."""
+    n, rest = F.col("_n"), F.col("_n") - F.col("_a")
+    return (docs.withColumn("_h", F.crc32(F.col("doc_id").cast("string")))
+            .withColumn("_words", F.when(F.col("_h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)))
+            .withColumn("_n", F.when(F.size("_words") > 0, F.size("_words")))
+            .withColumn("_g", F.floor(F.col("_h") / 10)).withColumn("_a", (F.col("_g") % n).cast("int"))
+            .withColumn("_p", (1 + F.floor(rest / (3 + F.col("_g") % 8))).cast("int"))
+            .withColumn("text", F.when(n.isNull(), F.col("text")).otherwise(F.array_join(F.concat(
+                F.slice("_words", 1, F.col("_a")),
+                F.slice(F.flatten(F.array_repeat(F.slice("_words", F.col("_a") + 1, F.col("_p")), F.ceil(rest / F.col("_p")).cast("int"))), F.lit(1), rest)), " ")))
+            .select(docs.columns))
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    docs = with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    none = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    best = F.reduce("runs", none, lambda a, r: F.when(
+        a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"]), r).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return (periodic.periodic_runs(docs, ["doc_id"]).withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*",
+                    F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                    F.sha2(F.when(F.size("runs") == 0, "").otherwise(F.concat(lines, F.lit("\n"))), 256).alias("runs_sha256"),
+                    F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
 @query
 def op12_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
