@@ -84,15 +84,16 @@ def exact_var_samp(c: Column | str) -> Column:
     """Sample variance (ddof=1) of an integral column from exact moments.
 
     ``(n·Σx² − (Σx)²) / (n·(n−1))`` with the numerator in decimal(38,0);
-    null for fewer than two values, like pandas ``var``.
+    null for fewer than two values, like pandas ``var``.  Where a moment
+    passes 38 digits, Spark's merged central moments take over.
     """
     x = _c(c).cast("decimal(38,0)")
     cnt = F.count(x)
-    sx = F.sum(x)
+    sx = F.try_sum(x)
     n = cnt.cast("decimal(38,0)")
-    num = n * F.sum(x * x) - sx * sx
+    num = F.try_subtract(F.try_multiply(n, F.try_sum(F.try_multiply(x, x))), F.try_multiply(sx, sx))
     den = (n * (n - 1)).cast("double")
-    return F.when(cnt > 1, F.try_divide(num.cast("double"), den))
+    return F.when(cnt > 1, F.coalesce(F.try_divide(num.cast("double"), den), F.var_samp(_c(c).cast("double"))))
 
 
 def days_to_years(c: Column | str, divisor: float = -365.0,

@@ -15,6 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions.nullsafe import is_integral
+from ledgerfold.operators.scan import running
+
+
+def _scaled(n: Column, moment: Column) -> Column:
+    """``n · moment`` as double: exact before the one cast if it has 38 digits,
+    else the product of doubles."""
+    return F.coalesce(F.try_multiply(n, moment).cast("double"), n.cast("double") * moment.cast("double"))
 
 
 def corr_expr(x: Column, y: Column, exact: bool) -> Column:
@@ -24,11 +31,16 @@ def corr_expr(x: Column, y: Column, exact: bool) -> Column:
     xd = F.when(both, x).cast("decimal(38,0)")
     yd = F.when(both, y).cast("decimal(38,0)")
     n = F.count(xd).cast("decimal(38,0)")
-    sxy = n * F.sum(xd * yd) - F.sum(xd) * F.sum(yd)
-    sxx = n * F.sum(xd * xd) - F.sum(xd) * F.sum(xd)
-    syy = n * F.sum(yd * yd) - F.sum(yd) * F.sum(yd)
-    den = F.sqrt(sxx.cast("double")) * F.sqrt(syy.cast("double"))
-    return F.when(F.count(xd) > 1, F.try_divide(sxy.cast("double"), den))
+
+    def central(a, b, sum_a, sum_b):
+        return F.try_subtract(F.try_multiply(n, F.try_sum(F.try_multiply(a, b))), F.try_multiply(sum_a, sum_b))
+
+    sx, sy = F.try_sum(xd), F.try_sum(yd)
+    sxy, sxx, syy = (central(a, b, s, t) for a, b, s, t in ((xd, yd, sx, sy), (xd, xd, sx, sx), (yd, yd, sy, sy)))
+    r = F.try_divide(sxy.cast("double"), F.sqrt(sxx.cast("double")) * F.sqrt(syy.cast("double")))
+    fits = sxy.isNotNull() & sxx.isNotNull() & syy.isNotNull()
+    # moments beyond 38 digits: Spark's merged central moments
+    return F.when(F.count(xd) > 1, F.when(fits, r).otherwise(F.corr(x.cast("double"), y.cast("double"))))
 
 
 def _types(df):
@@ -85,26 +97,37 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], exact: bool | None = None) -
     return _pairwise(df, pairs, exact, ["a", "b"])
 
 
-def average_rank(df: DataFrame, col: str, out: str, n_buckets: int | None = None) -> DataFrame:
-    """Average rank (1-based, ties share the mean of their positions), like
-    ``rank(method='average')`` -- distinct values with counts, then a
-    bucketed running count (no global window over all rows)."""
-    from ledgerfold.operators.scan import running
-    dv = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    r = running(dv, col, ["_c"], inclusive=False, n_buckets=n_buckets, prefix="_below")
-    # average of positions below+1 .. below+c  ==  below + (c + 1) / 2
-    ranks = r.select(col, (F.col("_below_c") * 2 + F.col("_c") + 1).alias(f"_{out}2"))
-    # one row per distinct value: broadcast when provably small, so a hot
-    # value does not skew a shuffle join; otherwise AQE splits skewed keys
-    from ledgerfold.operators.joins import bounded_broadcast
-    return df.join(bounded_broadcast(ranks), col, "left")
+def average_rank(counts: DataFrame, col: str, count: str, out: str,
+                 n_buckets: int | None = None) -> DataFrame:
+    """Centred average rank of each distinct ``col`` of a table of counts:
+    twice the rank less ``n + 1`` (ranks are 1-based, ties share the mean of
+    their positions, like ``rank(method='average')``).  Centred ranks add up to
+    0 and are whole numbers."""
+    margin = counts.groupBy(col).agg(F.sum(count).alias("_m"))
+    r = running(margin, col, ["_m"], inclusive=False, n_buckets=n_buckets, prefix="_below", total_prefix="_all")
+    # mean of positions below+1 .. below+m is below + (m + 1) / 2; the mean of all is (n + 1) / 2
+    return r.select(col, (2 * F.col("_below_m") + F.col("_m") - F.col("_all_m")).alias(out))
+
+
+def spearman_of_counts(counts: DataFrame, x: str, y: str, count: str = "_c") -> DataFrame:
+    """Spearman rank correlation of rows ``(x, y, how often)``: Pearson of the
+    centred ranks.  Their sums are 0, so no moment exceeds ``n^3``: exact up to
+    some 10^12 rows."""
+    rx = average_rank(counts, x, count, "_rx").withColumnRenamed(x, "_vx")
+    ry = average_rank(counts, y, count, "_ry").withColumnRenamed(y, "_vy")
+    # both sides of a join hold a value once or a pair once, so no value is hot beyond its distinct partners
+    d = counts.join(rx, F.col(x) == F.col("_vx")).join(ry, F.col(y) == F.col("_vy"))
+    c, a, b = (F.col(v).cast("decimal(38,0)") for v in (count, "_rx", "_ry"))
+    d = d.agg(F.sum(count).cast("decimal(38,0)").alias("_n"), F.count(F.lit(1)).alias("_pairs"),
+              *[F.try_sum(F.try_multiply(c, F.try_multiply(p, q))).alias(m) for m, p, q in (("_xy", a, b), ("_xx", a, a), ("_yy", b, b))])
+    n = F.col("_n")
+    r = F.try_divide(_scaled(n, F.col("_xy")), F.sqrt(_scaled(n, F.col("_xx"))) * F.sqrt(_scaled(n, F.col("_yy"))))
+    return d.select(F.when(n > 1, r).alias("spearman"), F.coalesce(n.cast("bigint"), F.lit(0).cast("bigint")).alias("n"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Spearman rank correlation: Pearson of average ranks (pairs with a
-    null dropped first).  Ranks are kept doubled, hence integral and exact."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    d = average_rank(d, x, "rx")
-    d = average_rank(d, y, "ry")
-    return d.agg(corr_expr(F.col("_rx2"), F.col("_ry2"), True).alias("spearman"),
-                 F.count(F.lit(1)).alias("n"))
+    """Spearman rank correlation (pairs with a null are dropped first), from
+    the counts of distinct pairs."""
+    d = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+         .groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_c")))
+    return spearman_of_counts(d, "_x", "_y")

@@ -17,8 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerfold.operators.joins import DEFAULT_BROADCAST_ROWS, join_on
-from ledgerfold.operators.scan import running
+from ledgerfold.operators.scan import place, running
 
 # Fixed values of the reference's evaluation: business cost weights, the
 # default decision threshold and the production threshold.
@@ -26,7 +25,6 @@ FN_COST = 10.0
 FP_COST = 1.0
 DEFAULT_THRESHOLD = 0.5
 PRODUCTION_THRESHOLD = 0.475
-AP_DIGITS = 12
 
 
 def linspace_thresholds(n: int = 100) -> list[float]:
@@ -110,31 +108,26 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
 
 
 def _cumulated(df: DataFrame, label: str, score: str, groups: Sequence[str]):
-    """Per distinct score: tp/fp = positives/negatives with score >= s."""
-    groups = list(groups)
+    """Per distinct score: tp/fp = positives/negatives with score >= s, and
+    the group's totals P and N."""
     d = score_counts(df, label, score, groups)
-    r = running(d, score, ["pos", "neg"], groups, inclusive=False, prefix="below_")
-    wtot = d.groupBy(*groups).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    if groups:
-        j = join_on(r, wtot, groups, broadcast_rows=DEFAULT_BROADCAST_ROWS)  # one row per group
-    else:  # one-row totals
-        j = r.withColumn("_k", F.lit(1)).join(
-            F.broadcast(wtot.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    return j.select("*", (F.col("P") - F.col("below_pos")).alias("tp"),
-                    (F.col("N") - F.col("below_neg")).alias("fp_"))
+    r = running(d, score, ["pos", "neg"], groups, inclusive=False, prefix="below_", total_prefix="all_")
+    return (r.withColumnsRenamed({"all_pos": "P", "all_neg": "N"})
+            .select("*", (F.col("P") - F.col("below_pos")).alias("tp"),
+                    (F.col("N") - F.col("below_neg")).alias("fp_")))
 
 
 def average_precision(df: DataFrame, label: str = "label", score: str = "score",
                       groups: Sequence[str] = ()) -> DataFrame:
     """``Σ (R_i − R_{i−1}) · P_i`` over distinct scores (descending), i.e.
-    ``Σ_s pos_s · precision(s) / P``; rounded to 12 decimals because the
-    sum of fractions depends on addition order in the last bits."""
+    ``Σ_s pos_s · precision(s) / P``.  A sum of fractions: its last bits depend
+    on the order of addition."""
     j = _cumulated(df, label, score, groups)
     prec = F.col("tp").cast("double") / (F.col("tp") + F.col("fp_")).cast("double")
     a = j.groupBy(*groups).agg(F.sum(F.col("pos") * prec).alias("_s"),
                                F.max("P").alias("n_pos"))
     ap = F.try_divide(F.col("_s"), F.col("n_pos").cast("double"))
-    return a.select(*groups, F.round(ap, AP_DIGITS).alias("average_precision"))
+    return a.select(*groups, ap.alias("average_precision"))
 
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -154,51 +147,52 @@ def pr_points(df: DataFrame, label: str = "label", score: str = "score") -> Data
                     F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double")).alias("recall"))
 
 
+def _double_array(values: Sequence[float]) -> Column:
+    """Array literal of any length (one string literal, not one each)."""
+    if not len(values):
+        return F.array().cast("array<double>")
+    return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
+
+
 def cost_curve(df: DataFrame, label: str = "label", score: str = "score",
                thresholds: Sequence[float] | None = None, fn_cost: float = FN_COST,
                fp_cost: float = FP_COST, groups: Sequence[str] = ()) -> DataFrame:
     """Cost ``fn_cost·FN + fp_cost·FP`` at each threshold (``score >= t``),
     per group if ``groups`` are given (e.g. CV folds).
 
-    Each row is bucketed by the number of thresholds it reaches, so the data
-    is aggregated once into ≤ len(thresholds)+1 rows per group; each group's
-    grid is generated next to it (no join with a grid table) and cumulated by
-    a window partitioned by the group over that bounded table.
+    A row's place among the sorted thresholds is found by binary search, so the
+    data is aggregated once into ≤ len(thresholds)+1 rows per group, whatever
+    their number; each group's grid is generated next to it (no join with a
+    grid table) and cumulated over that bounded table.
     """
-    ts = list(thresholds) if thresholds is not None else linspace_thresholds()
+    ts = [float(t) for t in thresholds] if thresholds is not None else linspace_thresholds()
     if ts != sorted(ts):
         raise ValueError("thresholds must be ascending")
-    if len(ts) > 10000:
-        raise ValueError("at most 10000 thresholds")
     gs = list(groups) or ["_all"]
     # rows without a score are in no confusion cell, so they cost nothing here either
     src = df.where(F.col(score).isNotNull())
     src = src if groups else src.withColumn("_all", F.lit(0))
-    s = F.col(score)
-    reached = sum((F.when(s >= F.lit(t), F.lit(1)).otherwise(F.lit(0)) for t in ts), F.lit(0))
-    y = _y(label)
-    k = src.groupBy(*gs, reached.alias("i")).agg(F.count_if(y == 1).alias("pos_k"),
-                                                 F.count_if(y == 0).alias("neg_k"))
-    grid_vals = F.array(*[F.lit(float(t)) for t in ts])
-    grid = (k.select(*gs).distinct()
-            .select(*gs, F.posexplode(grid_vals).alias("i", "threshold")))
+    grid_vals, y = _double_array(ts), _y(label)
+    k = (place(src, F.col(score).cast("double"), grid_vals, len(ts), "i").groupBy(*gs, "i")
+         .agg(F.count_if(y == 1).alias("pos_k"), F.count_if(y == 0).alias("neg_k")))
+    empty = F.lit(0).cast("bigint")
+    grid = (k.select(*gs).distinct().select(*gs, F.posexplode(grid_vals).alias("i", "threshold"))
+            .select(*gs, "i", empty.alias("pos_k"), empty.alias("neg_k"), "threshold"))
     # A row reaching k thresholds is predicted positive at thresholds i < k:
     # FN(i) = positives reaching ≤ i thresholds, FP(i) = negatives reaching > i.
-    per_i = grid.join(k, [*gs, "i"], "full")
+    per_i = (k.withColumn("threshold", F.lit(None).cast("double")).unionByName(grid)
+             .groupBy(*gs, "i").agg(F.sum("pos_k").alias("pos_k"), F.sum("neg_k").alias("neg_k"), F.max("threshold").alias("threshold")))
     w_upto = Window.partitionBy(*gs).orderBy("i").rowsBetween(Window.unboundedPreceding,
                                                               Window.currentRow)
     w_all = Window.partitionBy(*gs)
-    pos_k, neg_k = F.coalesce("pos_k", F.lit(0)), F.coalesce("neg_k", F.lit(0))
-    cum = per_i.select(*gs, "i", "threshold",
-                       F.sum(pos_k).over(w_upto).alias("fn"),
-                       F.sum(neg_k).over(w_upto).alias("_neg_le"),
-                       F.sum(neg_k).over(w_all).alias("N"))
+    cum = per_i.select(*gs, "i", "threshold", F.sum("pos_k").over(w_upto).alias("fn"),
+                       F.sum("neg_k").over(w_upto).alias("_neg_le"), F.sum("neg_k").over(w_all).alias("N"))
     fp = F.col("N") - F.col("_neg_le")
     cost = F.col("fn").cast("double") * F.lit(fn_cost) + fp.cast("double") * F.lit(fp_cost)
-    out = cum.where(F.col("threshold").isNotNull()).select(
+    # the rows beyond the last threshold belong to none
+    return cum.where(F.col("i") < len(ts)).select(
         *list(groups), "threshold", F.col("fn").cast("bigint").alias("fn"),
         fp.cast("bigint").alias("fp"), cost.alias("cost"))
-    return out
 
 
 def optimal_threshold(df: DataFrame, label: str = "label", score: str = "score",

@@ -8,16 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after proving ``df`` has at most ``max_rows`` rows.
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only after proving that ``df`` has at most ``max_rows``
+    rows and ``max_bytes`` bytes (strings as long as they are, other columns by
+    their width).
 
     The probe reads at most ``max_rows + 1`` rows (limit is pushed into the
-    scan); above the bound the plain frame is returned and AQE chooses.
+    scan); above a bound the plain frame is returned and AQE chooses.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    wide = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct", "variant")]
+    size = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in wide), F.lit(16 * len(df.columns) + 16))
+    size = sum((F.coalesce(F.octet_length(F.to_json(F.struct(F.col(c)))), F.lit(0)) for c in nested), size)
+    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("bigint")).alias("b")).first()
+    return F.broadcast(df) if r["n"] <= max_rows and (r["b"] or 0) <= max_bytes else df
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",

@@ -52,23 +52,11 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float],
             for p, n in zip(probs, names)])
     if method != "exact":
         raise ValueError("method must be 'exact' or 'approx'")
-    synthetic = not groups
-    if synthetic:
-        df = df.withColumn("_all", F.lit(0))
-        groups = ["_all"]
     dv = (df.where(x.isNotNull()).groupBy(*groups, value)
           .agg(F.count(F.lit(1)).alias("_c")))
-    ranked = running(dv, value, ["_c"], partition_cols=groups,
-                     inclusive=False, n_buckets=n_buckets, prefix="_below")
-    sizes = dv.groupBy(*groups).agg(F.sum("_c").alias("_n"))
-    if synthetic:
-        sized = ranked.join(F.broadcast(sizes), groups, "inner")  # exactly one row
-    else:
-        # one row per group: broadcast when provably small so that a hot
-        # group does not skew the join
-        sized = join_on(ranked, sizes, groups, broadcast_rows=DEFAULT_BROADCAST_ROWS)
-    out = _pick(sized, value, probs, names, groups)
-    return out.drop("_all") if synthetic else out
+    sized = running(dv, value, ["_c"], partition_cols=groups, inclusive=False,
+                    n_buckets=n_buckets, prefix="_below", total_prefix="_all")
+    return _pick(sized.withColumnRenamed("_all_c", "_n"), value, probs, names, groups)
 
 
 def _pick(j: DataFrame, value: str, probs, names, groups) -> DataFrame:

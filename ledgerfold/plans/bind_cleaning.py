@@ -10,7 +10,7 @@ from ledgerfold.functions.nullsafe import (
     rowwise_flag_count, rowwise_max, rowwise_mean, rowwise_min, rowwise_product,
     rowwise_std, safe_divide, sentinel_to_null)
 from ledgerfold.operators import clean
-from ledgerfold.operators.encode import factorize, one_hot
+from ledgerfold.operators.encode import category_share_long, factorize, one_hot, ordinal_codes, sparse_one_hot
 from ledgerfold.plans.bind_common import day_offset, day_offset_sql
 from ledgerfold.plans.catalog import register
 from ledgerfold.sources.tables import table
@@ -48,7 +48,49 @@ c AS (SELECT prio, CAST(row_number() OVER (ORDER BY first, prio) - 1 AS INTEGER)
 SELECT o.o_orderkey, coalesce(c.code, -1) AS prio FROM o LEFT JOIN c USING (prio)""")
 def factorize_category(spark, sf):
     o = _orders_null_prio(spark, sf).select("o_orderkey", "prio")
-    return factorize(o, "prio", "o_orderkey")
+    return factorize(o, "prio", "o_orderkey").withColumn("prio", F.col("prio").cast("int"))
+
+
+# as many categories as the lines have parts: 2000 at the smallest checked size, growing with the data
+_PART_SQL = "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 17 <> 0 THEN 'part ' || l_partkey END AS part, l_suppkey FROM lineitem"
+
+
+def _parts(spark, sf):
+    part = F.when(F.col("l_partkey") % 17 != 0, F.concat(F.lit("part "), F.col("l_partkey").cast("string")))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", part.alias("part"), "l_suppkey")
+
+
+@register("ordinal_codes", f"""
+WITH p AS ({_PART_SQL}), f AS (SELECT part, min(l_orderkey) AS first FROM p WHERE part IS NOT NULL GROUP BY part)
+SELECT part AS value, row_number() OVER (ORDER BY first, part) - 1 AS code FROM f""")
+def ordinal_codes_q(spark, sf):
+    return ordinal_codes(_parts(spark, sf), "part", "l_orderkey")
+
+
+@register("factorize_many_categories", f"""
+WITH p AS ({_PART_SQL}), f AS (SELECT part, min(l_orderkey) AS first FROM p WHERE part IS NOT NULL GROUP BY part),
+c AS (SELECT part, row_number() OVER (ORDER BY first, part) - 1 AS code FROM f)
+SELECT l_orderkey, l_linenumber, coalesce(code, -1) AS part FROM p LEFT JOIN c USING (part)""")
+def factorize_many_categories(spark, sf):
+    return factorize(_parts(spark, sf).drop("l_suppkey"), "part", "l_orderkey")
+
+
+@register("sparse_one_hot", f"""
+WITH p AS ({_PART_SQL}),
+l AS (SELECT l_orderkey, l_linenumber, 'part' AS "column", part AS value FROM p
+      UNION ALL SELECT l_orderkey, l_linenumber, 'l_suppkey', CAST(l_suppkey AS VARCHAR) FROM p),
+d AS (SELECT DISTINCT "column", value FROM l),
+c AS (SELECT *, row_number() OVER (ORDER BY "column", value NULLS LAST) - 1 AS index FROM d)
+SELECT l_orderkey, l_linenumber, index FROM l JOIN c ON l."column" = c."column" AND l.value IS NOT DISTINCT FROM c.value""")
+def sparse_one_hot_q(spark, sf):
+    return sparse_one_hot(_parts(spark, sf), ["l_orderkey", "l_linenumber"], ["part", "l_suppkey"])[1]
+
+
+@register("category_share_long", f"""
+WITH p AS ({_PART_SQL}), g AS (SELECT l_suppkey, part AS value, count(*) AS n FROM p GROUP BY l_suppkey, part)
+SELECT *, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY l_suppkey) AS share FROM g""")
+def category_share_long_q(spark, sf):
+    return category_share_long(_parts(spark, sf), ["l_suppkey"], "part")
 
 
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]

@@ -89,34 +89,48 @@ def _exact_var_sql(x):
             f"/ CAST(count({x}) * (count({x}) - 1) AS DOUBLE) END")
 
 
-def _sub(fn, x, cond):
+def _mean_sql(x, fraction):
+    """Mean of whole numbers from their exact sum; fractions are averaged."""
+    return f"avg({x})" if fraction else _exact_mean_sql(x)
+
+
+def _var_sql(x, fraction):
+    return f"var_samp({x})" if fraction else _exact_var_sql(x)
+
+
+def _sum_sql(x, fraction):
+    return f"coalesce(sum({x}), 0)" + ("" if fraction else "::BIGINT")
+
+
+def _sub(fn, x, cond, fraction=False):
     """SQL of a subset aggregate (null when no row meets cond)."""
     xc = f"CASE WHEN {cond} THEN {x} END"
     has = f"count(*) FILTER (WHERE {cond}) > 0"
     if fn == "sum":
-        return f"CASE WHEN {has} THEN coalesce(sum({xc}), 0)::BIGINT END"
+        return f"CASE WHEN {has} THEN {_sum_sql(xc, fraction)} END"
     if fn == "mean":
-        return _exact_mean_sql(xc)
+        return _mean_sql(xc, fraction)
     if fn == "var":
-        return _exact_var_sql(xc)
+        return _var_sql(xc, fraction)
     if fn == "size":
         return f"CASE WHEN {has} THEN count(*) FILTER (WHERE {cond}) END"
     return f"{fn}({xc})"
 
 
-def _spec_sql(spec, prefix):
+def _spec_sql(spec, prefix, fractions=()):
+    """SQL of a spec; ``fractions`` are the columns that are not whole numbers."""
     out = []
     for col, fns in spec.items():
         for fn in fns:
-            name = f"{prefix}{col}_{fn.upper()}"
+            name, fraction = f"{prefix}{col}_{fn.upper()}", col in fractions
             if fn in ("min", "max"):
                 e = f"{fn}({col})"
             elif fn == "mean":
-                e = _exact_mean_sql(col)
+                e = _mean_sql(col, fraction)
             elif fn == "var":
-                e = _exact_var_sql(col)
+                e = _var_sql(col, fraction)
             elif fn == "sum":
-                e = f"coalesce(sum({col}), 0)::BIGINT"
+                e = _sum_sql(col, fraction)
             elif fn == "nunique":
                 e = f"count(DISTINCT {col})"
             elif fn == "size":

@@ -234,7 +234,8 @@ def roc_auc(spark, sf):
 @register("average_precision", _CUM_SQL + """
 SELECT round(sum(pos * (CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE))) / CAST(max(P) AS DOUBLE), 12) AS average_precision FROM c""")
 def average_precision(spark, sf):
-    return V.average_precision(scored_labels(spark, sf))
+    ap = V.average_precision(scored_labels(spark, sf))
+    return ap.select(F.round("average_precision", 12).alias("average_precision"))
 
 
 @register("roc_points", _CUM_SQL + """

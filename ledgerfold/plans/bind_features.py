@@ -36,6 +36,17 @@ def customer_order_features(spark, sf):
     return clean_names(left_join_child(c, agg, "c_custkey"))
 
 
+def rounded(df, names, digits=9):
+    """Means of fractions depend on the order of addition in their last bits;
+    the registered results hold them rounded, as the SQL does."""
+    chosen = set(names)
+    return df.select(*[F.round(c, digits).alias(c) if c in chosen else F.col(c) for c in df.columns])
+
+
+def rounded_sql(sql, names, digits=9):
+    return f"SELECT * REPLACE ({', '.join(f'round({n}, {digits}) AS {n}' for n in names)}) FROM ({sql})"
+
+
 _SUBSET_SQL = ",\n".join(
     f"{_sub(fn, x, cond)} AS {pre}{x}_{fn.upper()}"
     for pre, cond in [("CLOSED_", "o_orderstatus = 'F'"), ("ACTIVE_", "o_orderstatus = 'O'")]
@@ -155,28 +166,44 @@ def fe_application(spark, sf):
     return clean_names(FE.application_features(app_view(spark, sf), nan_as_category=False))
 
 
-# Bureau := orders, bureau_balance := lineitem
+# Bureau := orders, bureau_balance := lineitem.  Amounts and day counts that
+# the orders lack are whole multiples or remainders of those they have.
+def _key_part(key, step, of):
+    return (F.col(key) * step % of).cast("int")
+
+
 def bureau_view(spark, sf):
     o = table(spark, sf, "orders")
-    st, pr, amt = F.col("o_orderstatus"), F.col("o_orderpriority"), _cents("o_totalprice")
+    st, pr, amt, d = F.col("o_orderstatus"), F.col("o_orderpriority"), _cents("o_totalprice"), day_offset("o_orderdate")
+    none = F.lit(0).cast("bigint")
     return o.select(
         F.col("o_orderkey").alias("SK_ID_BUREAU"), F.col("o_custkey").alias("SK_ID_CURR"),
         F.when(st == "O", "Active").when(st == "F", "Closed").otherwise("Sold").alias("CREDIT_ACTIVE"),
-        pr.alias("CREDIT_TYPE"), day_offset("o_orderdate").alias("DAYS_CREDIT"),
-        (day_offset("o_orderdate") + 365).alias("DAYS_CREDIT_ENDDATE"),
-        amt.alias("AMT_CREDIT_SUM"),
-        F.when(st == "O", amt).otherwise(F.lit(0).cast("bigint")).alias("AMT_CREDIT_SUM_DEBT"),
+        pr.alias("CREDIT_TYPE"), d.alias("DAYS_CREDIT"), (d + 365).alias("DAYS_CREDIT_ENDDATE"),
+        (d + _key_part("o_orderkey", 7, 90)).alias("DAYS_CREDIT_UPDATE"),
+        F.when(st == "F", _key_part("o_orderkey", 13, 60)).otherwise(F.lit(0)).alias("CREDIT_DAY_OVERDUE"),
+        F.when(pr != "5-LOW", F.col("o_orderkey") * 31 % 100000).alias("AMT_CREDIT_MAX_OVERDUE"),
+        amt.alias("AMT_CREDIT_SUM"), F.when(st == "O", amt).otherwise(none).alias("AMT_CREDIT_SUM_DEBT"),
+        F.when(st == "F", amt % 1000).otherwise(none).alias("AMT_CREDIT_SUM_OVERDUE"),
+        F.when(st != "P", amt * 2).alias("AMT_CREDIT_SUM_LIMIT"),
+        F.when(pr != "3-MEDIUM", amt % 50000).alias("AMT_ANNUITY"),
         F.when(st == "P", F.lit(None)).when(pr == "1-URGENT", F.lit(1)).otherwise(F.lit(0))
         .alias("CNT_CREDIT_PROLONG"))
 
 
+_AMT = "CAST(round(o_totalprice * 100.0) AS BIGINT)"
+_DAY = day_offset_sql("o_orderdate")
 BUREAU_SQL = f"""
 SELECT o_orderkey AS SK_ID_BUREAU, o_custkey AS SK_ID_CURR,
   CASE o_orderstatus WHEN 'O' THEN 'Active' WHEN 'F' THEN 'Closed' ELSE 'Sold' END AS CREDIT_ACTIVE,
-  o_orderpriority AS CREDIT_TYPE, {day_offset_sql('o_orderdate')} AS DAYS_CREDIT,
-  {day_offset_sql('o_orderdate')} + 365 AS DAYS_CREDIT_ENDDATE,
-  CAST(round(o_totalprice * 100.0) AS BIGINT) AS AMT_CREDIT_SUM,
-  CASE WHEN o_orderstatus = 'O' THEN CAST(round(o_totalprice * 100.0) AS BIGINT) ELSE 0 END AS AMT_CREDIT_SUM_DEBT,
+  o_orderpriority AS CREDIT_TYPE, {_DAY} AS DAYS_CREDIT, {_DAY} + 365 AS DAYS_CREDIT_ENDDATE,
+  {_DAY} + CAST(o_orderkey * 7 % 90 AS INTEGER) AS DAYS_CREDIT_UPDATE,
+  CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderkey * 13 % 60 AS INTEGER) ELSE 0 END AS CREDIT_DAY_OVERDUE,
+  CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderkey * 31 % 100000 END AS AMT_CREDIT_MAX_OVERDUE,
+  {_AMT} AS AMT_CREDIT_SUM, CASE WHEN o_orderstatus = 'O' THEN {_AMT} ELSE 0 END AS AMT_CREDIT_SUM_DEBT,
+  CASE WHEN o_orderstatus = 'F' THEN {_AMT} % 1000 ELSE 0 END AS AMT_CREDIT_SUM_OVERDUE,
+  CASE WHEN o_orderstatus <> 'P' THEN {_AMT} * 2 END AS AMT_CREDIT_SUM_LIMIT,
+  CASE WHEN o_orderpriority <> '3-MEDIUM' THEN {_AMT} % 50000 END AS AMT_ANNUITY,
   CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS CNT_CREDIT_PROLONG
 FROM orders"""
 
@@ -191,48 +218,50 @@ def balance_view(spark, sf):
 BALANCE_SQL = "SELECT l_orderkey AS SK_ID_BUREAU, -l_linenumber AS MONTHS_BALANCE, l_returnflag AS STATUS FROM lineitem"
 _CREDIT_ACTIVE = ["Active", "Closed", "Sold"]
 _STATUS = ["A", "N", "R"]
-_BUREAU_SPEC = FE.restrict_spec(FE.BUREAU_SPEC, [
-    "DAYS_CREDIT", "DAYS_CREDIT_ENDDATE", "AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT", "CNT_CREDIT_PROLONG",
-    "MONTHS_BALANCE_MIN", "MONTHS_BALANCE_MAX", "MONTHS_BALANCE_SIZE"])
 
 
-def _subset_sql(spec, subsets):
-    return ",\n  ".join(f"{_sub(fn, x, cond)} AS {pre}{x}_{fn.upper()}"
+def _subset_sql(spec, subsets, fractions=()):
+    return ",\n  ".join(f"{_sub(fn, x, cond, x in fractions)} AS {pre}{x}_{fn.upper()}"
                         for pre, cond in subsets for x, fns in spec.items() for fn in fns)
 
 
+_BURO_ROUNDED = [f"BURO_STATUS_{v}_MEAN_MEAN" for v in _STATUS + ["nan"]]
 FE_BUREAU_SQL = f"""
 WITH bb AS (SELECT SK_ID_BUREAU, min(MONTHS_BALANCE) AS MONTHS_BALANCE_MIN, max(MONTHS_BALANCE) AS MONTHS_BALANCE_MAX,
               count(*) AS MONTHS_BALANCE_SIZE, {_share_sql('STATUS', _STATUS, '')}
             FROM ({BALANCE_SQL}) GROUP BY SK_ID_BUREAU),
 b AS (SELECT bu.* EXCLUDE (SK_ID_BUREAU), bb.* EXCLUDE (SK_ID_BUREAU)
       FROM ({BUREAU_SQL}) bu LEFT JOIN bb USING (SK_ID_BUREAU))
-SELECT SK_ID_CURR, {_spec_sql(_BUREAU_SPEC, 'BURO_')},
+SELECT SK_ID_CURR, {_spec_sql(FE.BUREAU_SPEC, 'BURO_')},
   {_share_sql('CREDIT_ACTIVE', _CREDIT_ACTIVE, 'BURO_')},
   {_share_sql('CREDIT_TYPE', _PRIORITIES_SQL, 'BURO_')},
   {", ".join(f"round(avg(STATUS_{v}_MEAN), 9) AS BURO_STATUS_{v}_MEAN_MEAN" for v in _STATUS + ["nan"])},
-  {_subset_sql(_BUREAU_SPEC, [("ACTIVE_", "CREDIT_ACTIVE = 'Active'"), ("CLOSED_", "CREDIT_ACTIVE = 'Closed'")])}
+  {_subset_sql(FE.BUREAU_SPEC, [("ACTIVE_", "CREDIT_ACTIVE = 'Active'"), ("CLOSED_", "CREDIT_ACTIVE = 'Closed'")])}
 FROM b GROUP BY SK_ID_CURR"""
 
 
 @register("fe_bureau", FE_BUREAU_SQL)
 def fe_bureau(spark, sf):
-    return clean_names(FE.bureau_features(bureau_view(spark, sf), balance_view(spark, sf)))
+    return rounded(clean_names(FE.bureau_features(bureau_view(spark, sf), balance_view(spark, sf))), _BURO_ROUNDED)
 
 
 # Previous applications := orders
 def previous_view(spark, sf):
     o = table(spark, sf, "orders")
     st, pr, d = F.col("o_orderstatus"), F.col("o_orderpriority"), day_offset("o_orderdate")
+    amt, key = _cents("o_totalprice"), F.col("o_orderkey")
     return o.select(
-        F.col("o_orderkey").alias("SK_ID_PREV"), F.col("o_custkey").alias("SK_ID_CURR"),
+        key.alias("SK_ID_PREV"), F.col("o_custkey").alias("SK_ID_CURR"),
         F.when(st == "F", "Approved").when(st == "O", "Refused").otherwise("Canceled")
         .alias("NAME_CONTRACT_STATUS"),
         pr.alias("NAME_YIELD_GROUP"),
         _cents(F.col("o_totalprice") / 12.0).alias("AMT_ANNUITY"),
-        _cents("o_totalprice").alias("AMT_APPLICATION"),
+        amt.alias("AMT_APPLICATION"),
         F.round(F.col("o_totalprice") * 90.0).cast("bigint").alias("AMT_CREDIT"),
-        d.alias("DAYS_DECISION"),
+        F.when(pr != "2-HIGH", amt % 10000).alias("AMT_DOWN_PAYMENT"),
+        (amt + 500).alias("AMT_GOODS_PRICE"), _key_part("o_orderkey", 5, 24).alias("HOUR_APPR_PROCESS_START"),
+        F.when(st != "P", (key % 100).cast("double") / 100.0).alias("RATE_DOWN_PAYMENT"),
+        d.alias("DAYS_DECISION"), F.when(st != "P", _key_part("o_orderkey", 6, 48)).alias("CNT_PAYMENT"),
         F.when(pr == "5-LOW", F.lit(365243)).otherwise(d + 30).alias("DAYS_FIRST_DUE"))
 
 
@@ -241,30 +270,39 @@ SELECT o_orderkey AS SK_ID_PREV, o_custkey AS SK_ID_CURR,
   CASE o_orderstatus WHEN 'F' THEN 'Approved' WHEN 'O' THEN 'Refused' ELSE 'Canceled' END AS NAME_CONTRACT_STATUS,
   o_orderpriority AS NAME_YIELD_GROUP,
   CAST(round(o_totalprice / 12.0 * 100.0) AS BIGINT) AS AMT_ANNUITY,
-  CAST(round(o_totalprice * 100.0) AS BIGINT) AS AMT_APPLICATION,
+  {_AMT} AS AMT_APPLICATION,
   CAST(round(o_totalprice * 90.0) AS BIGINT) AS AMT_CREDIT,
-  {day_offset_sql('o_orderdate')} AS DAYS_DECISION,
-  CASE WHEN o_orderpriority = '5-LOW' THEN 365243 ELSE {day_offset_sql('o_orderdate')} + 30 END AS DAYS_FIRST_DUE
+  CASE WHEN o_orderpriority <> '2-HIGH' THEN {_AMT} % 10000 END AS AMT_DOWN_PAYMENT,
+  {_AMT} + 500 AS AMT_GOODS_PRICE, CAST(o_orderkey * 5 % 24 AS INTEGER) AS HOUR_APPR_PROCESS_START,
+  CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderkey % 100 AS DOUBLE) / 100.0::DOUBLE END AS RATE_DOWN_PAYMENT,
+  {_DAY} AS DAYS_DECISION, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderkey * 6 % 48 AS INTEGER) END AS CNT_PAYMENT,
+  CASE WHEN o_orderpriority = '5-LOW' THEN 365243 ELSE {_DAY} + 30 END AS DAYS_FIRST_DUE
 FROM orders"""
-_PREV_SPEC = {"AMT_ANNUITY": ["min", "max", "mean"], "AMT_APPLICATION": ["min", "max", "mean"],
-              "AMT_CREDIT": ["min", "max", "mean"], "APP_CREDIT_PERC": ["min", "max"],
-              "DAYS_DECISION": ["min", "max", "mean"], "DAYS_FIRST_DUE": ["min", "max", "mean"]}
 _PREV_STATUS = ["Approved", "Canceled", "Refused"]
+# fractions: their mean and variance are taken in double
+_FRACTIONS = {"APP_CREDIT_PERC", "RATE_DOWN_PAYMENT", "PAYMENT_PERC"}
+
 
-FE_PREVIOUS_SQL = f"""
+def _fraction_names(spec, prefixes):
+    return [f"{p}{c}_{fn.upper()}" for p in prefixes for c, fns in spec.items() if c in _FRACTIONS
+            for fn in fns if fn in ("mean", "sum", "var")]
+
+
+_PREV_ROUNDED = _fraction_names(FE.PREVIOUS_SPEC, ["PREV_", "APPROVED_", "REFUSED_"])
+FE_PREVIOUS_SQL = rounded_sql(f"""
 WITH p AS (SELECT * REPLACE (nullif(DAYS_FIRST_DUE, 365243) AS DAYS_FIRST_DUE),
              CAST(AMT_APPLICATION AS DOUBLE) / nullif(CAST(AMT_CREDIT AS DOUBLE), 0) AS APP_CREDIT_PERC
            FROM ({PREVIOUS_SQL}))
-SELECT SK_ID_CURR, {_spec_sql(_PREV_SPEC, 'PREV_')},
+SELECT SK_ID_CURR, {_spec_sql(FE.PREVIOUS_SPEC, 'PREV_', _FRACTIONS)},
   {_share_sql('NAME_CONTRACT_STATUS', _PREV_STATUS, 'PREV_')},
   {_share_sql('NAME_YIELD_GROUP', _PRIORITIES_SQL, 'PREV_')},
-  {_subset_sql(_PREV_SPEC, [("APPROVED_", "NAME_CONTRACT_STATUS = 'Approved'"), ("REFUSED_", "NAME_CONTRACT_STATUS = 'Refused'")])}
-FROM p GROUP BY SK_ID_CURR"""
+  {_subset_sql(FE.PREVIOUS_SPEC, [("APPROVED_", "NAME_CONTRACT_STATUS = 'Approved'"), ("REFUSED_", "NAME_CONTRACT_STATUS = 'Refused'")], _FRACTIONS)}
+FROM p GROUP BY SK_ID_CURR""", _PREV_ROUNDED)
 
 
 @register("fe_previous", FE_PREVIOUS_SQL)
 def fe_previous(spark, sf):
-    return clean_names(FE.previous_features(previous_view(spark, sf), spec=_PREV_SPEC))
+    return rounded(clean_names(FE.previous_features(previous_view(spark, sf))), _PREV_ROUNDED)
 
 
 # POS and card snapshots := events
@@ -298,21 +336,37 @@ def fe_pos(spark, sf):
     return clean_names(FE.pos_features(pos_view(spark, sf)))
 
 
+# the card snapshots' further amounts and counts: shares of the value, remainders
+_CARD_AMOUNTS = {"AMT_CREDIT_LIMIT_ACTUAL": (20, 1), "AMT_DRAWINGS_ATM_CURRENT": (1, 3), "AMT_DRAWINGS_CURRENT": (1, 2),
+                 "AMT_DRAWINGS_OTHER_CURRENT": (1, 7), "AMT_DRAWINGS_POS_CURRENT": (1, 5), "AMT_INST_MIN_REGULARITY": (1, 20),
+                 "AMT_PAYMENT_CURRENT": (1, 4), "AMT_PAYMENT_TOTAL_CURRENT": (3, 4), "AMT_RECEIVABLE_PRINCIPAL": (9, 10),
+                 "AMT_RECIVABLE": (19, 20), "AMT_TOTAL_RECEIVABLE": (21, 20)}
+_CARD_COUNTS = {"CNT_DRAWINGS_ATM_CURRENT": 4, "CNT_DRAWINGS_OTHER_CURRENT": 3, "CNT_DRAWINGS_POS_CURRENT": 9,
+                "CNT_INSTALMENT_MATURE_CUM": 30, "SK_DPD": 11, "SK_DPD_DEF": 2}
+
+
 def card_view(spark, sf):
     e = table(spark, sf, "events")
-    return e.select(F.col("user_id").alias("SK_ID_CURR"), F.col("event_id").alias("SK_ID_PREV"),
-                    (-F.dayofmonth("ts")).alias("MONTHS_BALANCE"), _cents("value").alias("AMT_BALANCE"),
+    v, k, kind = _cents("value"), F.col("event_id"), F.col("event_type")
+    return e.select(F.col("user_id").alias("SK_ID_CURR"), k.alias("SK_ID_PREV"),
+                    (-F.dayofmonth("ts")).alias("MONTHS_BALANCE"), v.alias("AMT_BALANCE"),
+                    *[F.when(kind != "view" if "DRAWINGS" in c else F.lit(True), F.expr(f"({_CENTS} * {a}) div {b}")).alias(c)
+                      for c, (a, b) in _CARD_AMOUNTS.items()],
                     F.get_json_object("props", "$.k").cast("int").alias("CNT_DRAWINGS_CURRENT"),
-                    F.col("event_type").alias("NAME_CONTRACT_STATUS"))
+                    *[F.when(kind != "signup", k % n).alias(c) for c, n in _CARD_COUNTS.items()],
+                    kind.alias("NAME_CONTRACT_STATUS"))
 
 
-CARD_SQL = """
+_CENTS = "CAST(round(value * 100.0) AS BIGINT)"
+CARD_SQL = f"""
 SELECT user_id AS SK_ID_CURR, event_id AS SK_ID_PREV, CAST(-dayofmonth(ts) AS INTEGER) AS MONTHS_BALANCE,
-  CAST(round(value * 100.0) AS BIGINT) AS AMT_BALANCE,
+  {_CENTS} AS AMT_BALANCE,
+  {", ".join(f"CASE WHEN {chr(39) + 'view' + chr(39) + ' <> event_type' if 'DRAWINGS' in c else 'TRUE'} THEN ({_CENTS} * {a}) // {b} END AS {c}" for c, (a, b) in _CARD_AMOUNTS.items())},
   CAST(json_extract_string(props, '$.k') AS INTEGER) AS CNT_DRAWINGS_CURRENT,
+  {", ".join(f"CASE WHEN event_type <> 'signup' THEN event_id % {n} END AS {c}" for c, n in _CARD_COUNTS.items())},
   event_type AS NAME_CONTRACT_STATUS
 FROM events"""
-_CC_SPEC = {c: FE.CREDIT_CARD_FUNCS for c in ["MONTHS_BALANCE", "AMT_BALANCE", "CNT_DRAWINGS_CURRENT"]}
+_CC_SPEC = {c: FE.CREDIT_CARD_FUNCS for c in ["MONTHS_BALANCE", "AMT_BALANCE", *_CARD_AMOUNTS, "CNT_DRAWINGS_CURRENT", *_CARD_COUNTS]}
 
 FE_CREDIT_CARD_SQL = f"""
 SELECT SK_ID_CURR, {_spec_sql(_CC_SPEC, 'CC_')},
@@ -347,37 +401,29 @@ SELECT l.l_orderkey AS SK_ID_PREV, o.o_custkey AS SK_ID_CURR, l.l_linenumber AS
   CAST(round(l.l_extendedprice * 100.0) AS BIGINT) AS AMT_INSTALMENT,
   CAST(round(l.l_extendedprice * (1 - l.l_discount) * 100.0) AS BIGINT) AS AMT_PAYMENT
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey"""
-_INS_SPEC = dict(FE.INSTALLMENTS_SPEC, PAYMENT_PERC=["max"])
+_INS_ROUNDED = _fraction_names(FE.INSTALLMENTS_SPEC, ["INSTAL_"])
 
-FE_INSTALLMENTS_SQL = f"""
+FE_INSTALLMENTS_SQL = rounded_sql(f"""
 WITH i AS (SELECT *, CAST(AMT_PAYMENT AS DOUBLE) / nullif(CAST(AMT_INSTALMENT AS DOUBLE), 0) AS PAYMENT_PERC,
              AMT_INSTALMENT - AMT_PAYMENT AS PAYMENT_DIFF,
              CASE WHEN DAYS_ENTRY_PAYMENT - DAYS_INSTALMENT < 0 THEN 0 ELSE DAYS_ENTRY_PAYMENT - DAYS_INSTALMENT END AS DPD,
              CASE WHEN DAYS_INSTALMENT - DAYS_ENTRY_PAYMENT < 0 THEN 0 ELSE DAYS_INSTALMENT - DAYS_ENTRY_PAYMENT END AS DBD
            FROM ({INSTALLMENTS_SQL}))
-SELECT SK_ID_CURR, {_spec_sql(_INS_SPEC, 'INSTAL_')}, count(*) AS INSTAL_COUNT
-FROM i GROUP BY SK_ID_CURR"""
+SELECT SK_ID_CURR, {_spec_sql(FE.INSTALLMENTS_SPEC, 'INSTAL_', _FRACTIONS)}, count(*) AS INSTAL_COUNT
+FROM i GROUP BY SK_ID_CURR""", _INS_ROUNDED)
 
 
 @register("fe_installments", FE_INSTALLMENTS_SQL)
 def fe_installments(spark, sf):
-    return clean_names(FE.installments_features(installments_view(spark, sf), spec=_INS_SPEC))
+    return rounded(clean_names(FE.installments_features(installments_view(spark, sf))), _INS_ROUNDED)
 
 
 # Everything folded onto the application rows
-def full_view(spark, sf):
-    views = {"app": app_view(spark, sf), "bureau": bureau_view(spark, sf), "bb": balance_view(spark, sf),
-             "prev": previous_view(spark, sf), "pos": pos_view(spark, sf),
-             "ins": installments_view(spark, sf), "cc": card_view(spark, sf)}
-    # NAME_CONTRACT_* columns differ per table: vocabularies are per table
-    voc = dict(zip(views, FE.plan_vocabularies(list(views.values()))))
-    app = FE.application_features(views["app"], nan_as_category=False, vocabularies=voc["app"])
-    kids = [FE.bureau_features(views["bureau"], views["bb"], vocabularies={**voc["bureau"], **voc["bb"]}),
-            FE.previous_features(views["prev"], spec=_PREV_SPEC, vocabularies=voc["prev"]),
-            FE.pos_features(views["pos"], vocabularies=voc["pos"]),
-            FE.installments_features(views["ins"], spec=_INS_SPEC, vocabularies=voc["ins"]),
-            FE.credit_card_features(views["cc"], vocabularies=voc["cc"])]
-    return FE.assemble(app, kids)
+def credit_tables(spark, sf):
+    return {"application": app_view(spark, sf), "bureau": bureau_view(spark, sf),
+            "bureau_balance": balance_view(spark, sf), "previous_application": previous_view(spark, sf),
+            "POS_CASH_balance": pos_view(spark, sf), "installments_payments": installments_view(spark, sf),
+            "credit_card_balance": card_view(spark, sf)}
 
 
 FE_FULL_SQL = f"""
@@ -389,7 +435,7 @@ SELECT * FROM app LEFT JOIN buro USING (SK_ID_CURR) LEFT JOIN prev USING (SK_ID_
 
 @register("fe_full", FE_FULL_SQL)
 def fe_full(spark, sf):
-    return full_view(spark, sf)
+    return rounded(FE.full_features(credit_tables(spark, sf)), [*_BURO_ROUNDED, *_PREV_ROUNDED, *_INS_ROUNDED])
 
 
 # Exploratory features on the application rows

@@ -59,5 +59,6 @@ def entity_ids(spark, sf):
 
 @register("feature_manifest")
 def feature_manifest(spark, sf):
-    from ledgerfold.plans.bind_features import full_view
-    return manifest_frame(full_view(spark, sf))
+    from ledgerfold.plans.bind_features import credit_tables
+    from ledgerfold.plans.features import full_features
+    return manifest_frame(full_features(credit_tables(spark, sf)))

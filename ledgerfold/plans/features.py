@@ -10,7 +10,9 @@ folded children -- each child is already one row per key, so every join is
 
 Vocabularies are collected once per categorical column (bounded, sorted by
 code point) and can be passed back in (``vocabularies=``) so that scoring
-data gets exactly the training schema.
+data gets exactly the training schema.  A column with more than
+``max_categories`` values has no vocabulary (None) and no column per value: its
+shares come as one map per client, its codes as one column.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from ledgerfold.functions.names import clean_names
 from ledgerfold.functions.nullsafe import clip_lower, not_equal_keep_null, safe_divide, sentinel_to_null
 from ledgerfold.operators.aggregate import grouped_agg
 from ledgerfold.operators.encode import (
-    category_share, collect_vocabularies, factorize_many, one_hot, string_columns)
+    DEFAULT_MAX_CATEGORIES, EXPRESSIONS, category_share, category_share_long, factorize_many, one_hot,
+    share_maps, small_vocabularies, string_columns, wide_shares)
 
 KEY = "SK_ID_CURR"
 
@@ -90,11 +93,12 @@ def restrict_spec(spec: Spec, columns: Sequence[str]) -> dict:
     return {c: list(f) for c, f in spec.items() if c in have}
 
 
-def _vocabs(df: DataFrame, cols: Sequence[str], given: Mapping[str, Sequence] | None) -> dict:
+def _vocabs(df: DataFrame, cols: Sequence[str], given: Mapping[str, Sequence] | None,
+            max_categories: int) -> dict:
     """Given vocabularies (e.g. from a training manifest) or one job for the rest."""
     given = dict(given or {})
-    out = {c: list(given[c]) for c in cols if c in given}
-    out.update(collect_vocabularies(df, [c for c in cols if c not in given]))
+    out = {c: given[c] if given[c] is None else list(given[c]) for c in cols if c in given}
+    out.update(small_vocabularies(df, [c for c in cols if c not in given], max_categories))
     return out
 
 
@@ -106,18 +110,37 @@ def _shares(df: DataFrame, cols: Sequence[str], vocabs: Mapping[str, Sequence],
     return out
 
 
+def _fold(df: DataFrame, key: str, spec: Spec, prefix: str, cats: Sequence[str],
+          vocabs: Mapping[str, Sequence | None], nan_as_category: bool, more: Sequence[Column] = (),
+          expressions: int = EXPRESSIONS, **subsets) -> DataFrame:
+    """``grouped_agg`` by ``key`` with the category shares of ``cats``: as
+    expressions of the same aggregate up to ``expressions`` values, by a pivot
+    of counts beyond them, as a map without a vocabulary."""
+    narrow = [c for c in cats if vocabs[c] is not None and len(vocabs[c]) <= expressions]
+    others = [c for c in cats if c not in narrow]
+    extra = _shares(df, narrow, vocabs, nan_as_category, prefix) + _shares(
+        df, others, {c: [] for c in others}, nan_as_category, prefix)
+    out = grouped_agg(df, key, spec, prefix=prefix, extra=extra + list(more), **subsets)
+    for c in others:
+        kid = (share_maps(df, key, c, f"{prefix}{c}_SHARES") if vocabs[c] is None
+               else wide_shares(df, key, c, vocabs[c], prefix))
+        out = out.join(kid, key, "left")
+    return out
+
+
 # -- P1 application -------------------------------------------------------------
 
 def application_features(app: DataFrame, nan_as_category: bool = False,
                          vocabularies: Mapping[str, Sequence] | None = None,
-                         order_key: str = KEY) -> DataFrame:
+                         order_key: str = KEY,
+                         max_categories: int = DEFAULT_MAX_CATEGORIES) -> DataFrame:
     """Filter unknown gender (nulls kept), binary-code three flags by first
     appearance, one-hot the other strings, null the day sentinel, add the
     five ratio features."""
     df = app.where(not_equal_keep_null("CODE_GENDER", "XNA")) if "CODE_GENDER" in app.columns else app
-    df, _ = factorize_many(df, BINARY_COLUMNS, order_key)
+    df, _ = factorize_many(df, BINARY_COLUMNS, order_key, max_categories=max_categories)
     cats = string_columns(df)
-    vocabs = _vocabs(df, cats, vocabularies)
+    vocabs = _vocabs(df, cats, vocabularies, max_categories)
     df, _ = one_hot(df, cats, nan_as_category=nan_as_category, vocabularies=vocabs)
     cols = set(df.columns)
     if "DAYS_EMPLOYED" in cols:
@@ -140,40 +163,50 @@ def bureau_features(bureau: DataFrame, bureau_balance: DataFrame,
                     nan_as_category: bool = True,
                     vocabularies: Mapping[str, Sequence] | None = None,
                     spec: Spec | None = None, balance_spec: Spec | None = None,
-                    nested_share_digits: int | None = 9) -> DataFrame:
+                    max_categories: int = DEFAULT_MAX_CATEGORIES) -> DataFrame:
     """``BURO_*`` over all credits, ``ACTIVE_*``/``CLOSED_*`` over subsets.
 
     Monthly balances are folded per credit first (shuffle by
     ``SK_ID_BUREAU``), left-joined to the credits, then everything is
     folded per client (shuffle by ``SK_ID_CURR``).  Shares of balance
-    statuses become per-credit means and then means of those means,
-    rounded to ``nested_share_digits`` so that the result does not depend
-    on the order of floating additions.
+    statuses become per-credit means and then means of those means (sums of
+    fractions: the last bits depend on the order of addition); statuses
+    without a vocabulary become one map of such means per client.
     """
     spec = dict(spec or BUREAU_SPEC)
     bb_spec = dict(balance_spec or BUREAU_BALANCE_SPEC)
     bb_cats = string_columns(bureau_balance, exclude=["SK_ID_BUREAU"])
     bu_cats = string_columns(bureau, exclude=[KEY, "SK_ID_BUREAU"])
-    vocabs = _vocabs(bureau_balance, bb_cats, vocabularies)
-    vocabs.update(_vocabs(bureau, bu_cats, vocabularies))  # one job per table
-    bb = grouped_agg(bureau_balance, "SK_ID_BUREAU", restrict_spec(bb_spec, bureau_balance.columns),
-                     extra=_shares(bureau_balance, bb_cats, vocabs, nan_as_category, ""))
+    vocabs = _vocabs(bureau_balance, bb_cats, vocabularies, max_categories)
+    vocabs.update(_vocabs(bureau, bu_cats, vocabularies, max_categories))  # one job per table
+    long = [c for c in bb_cats if vocabs[c] is None]
+    bb_extra = _shares(bureau_balance, bb_cats, {c: vocabs[c] or [] for c in bb_cats}, nan_as_category, "")
+    bb = grouped_agg(bureau_balance, "SK_ID_BUREAU", restrict_spec(bb_spec, bureau_balance.columns), extra=bb_extra)
     b = bureau.join(bb, "SK_ID_BUREAU", "left").drop("SK_ID_BUREAU")
     spec = restrict_spec(spec, b.columns)
     nested = [c for c in bb.columns if c.endswith("_MEAN") and c not in spec]
-
-    def nested_mean(c):
-        m = F.avg(F.col(c))
-        return F.round(m, nested_share_digits) if nested_share_digits is not None else m
-
-    extra = _shares(b, bu_cats, vocabs, nan_as_category, "BURO_") + [
-        nested_mean(c).alias(f"BURO_{c}_MEAN") for c in nested]
     subsets = {}
     active, closed = _dummy_cond(b, "CREDIT_ACTIVE", "Active"), _dummy_cond(b, "CREDIT_ACTIVE", "Closed")
     if active is not None:
         subsets = {"ACTIVE_": active, "CLOSED_": closed}
-    return grouped_agg(b, KEY, spec, prefix="BURO_", extra=extra, subsets=subsets,
-                       subset_spec=spec)
+    out = _fold(b, KEY, spec, "BURO_", bu_cats, vocabs, nan_as_category,
+                more=[F.avg(F.col(c)).alias(f"BURO_{c}_MEAN") for c in nested], subsets=subsets, subset_spec=spec)
+    for c in long:
+        out = out.join(_nested_share_maps(bureau, bureau_balance, c), KEY, "left")
+    return out
+
+
+def _nested_share_maps(bureau: DataFrame, bureau_balance: DataFrame, col: str) -> DataFrame:
+    """Per client a map from balance status to the mean, over the client's
+    credits with balances, of the status's share."""
+    owners = bureau.select("SK_ID_BUREAU", KEY)
+    shares = category_share_long(bureau_balance, ["SK_ID_BUREAU"], col).where(F.col("value").isNotNull())
+    sums = shares.join(owners, "SK_ID_BUREAU").groupBy(KEY, "value").agg(F.sum("share").alias("_s"))
+    credits_ = (bureau_balance.select("SK_ID_BUREAU").distinct().join(owners, "SK_ID_BUREAU")
+                .groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")))
+    entry = F.struct(F.col("value").alias("k"), (F.col("_s") / F.col("_n")).alias("v"))
+    return (sums.join(credits_, KEY).groupBy(KEY)
+            .agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(f"BURO_{col}_SHARES_MEAN")))
 
 
 def _dummy_cond(df: DataFrame, col: str, value: str) -> Column | None:
@@ -187,7 +220,8 @@ def _dummy_cond(df: DataFrame, col: str, value: str) -> Column | None:
 
 def previous_features(prev: DataFrame, nan_as_category: bool = True,
                       vocabularies: Mapping[str, Sequence] | None = None,
-                      spec: Spec | None = None) -> DataFrame:
+                      spec: Spec | None = None,
+                      max_categories: int = DEFAULT_MAX_CATEGORIES) -> DataFrame:
     """``PREV_*`` over all, ``APPROVED_*``/``REFUSED_*`` over subsets."""
     cols = set(prev.columns)
     sent = [sentinel_to_null(c, DAYS_SENTINEL).alias(c) if c in PREV_SENTINEL_COLUMNS else F.col(c)
@@ -196,28 +230,26 @@ def previous_features(prev: DataFrame, nan_as_category: bool = True,
     if "AMT_APPLICATION" in cols and "AMT_CREDIT" in cols:
         df = df.withColumn("APP_CREDIT_PERC", safe_divide("AMT_APPLICATION", "AMT_CREDIT"))
     cats = string_columns(df, exclude=[KEY, "SK_ID_PREV"])
-    vocabs = _vocabs(df, cats, vocabularies)
+    vocabs = _vocabs(df, cats, vocabularies, max_categories)
     spec = restrict_spec(spec or PREVIOUS_SPEC, df.columns)
     subsets = {}
     if "NAME_CONTRACT_STATUS" in df.columns:
         subsets = {"APPROVED_": F.col("NAME_CONTRACT_STATUS").eqNullSafe(F.lit("Approved")),
                    "REFUSED_": F.col("NAME_CONTRACT_STATUS").eqNullSafe(F.lit("Refused"))}
-    return grouped_agg(df, KEY, spec, prefix="PREV_",
-                       extra=_shares(df, cats, vocabs, nan_as_category, "PREV_"),
-                       subsets=subsets, subset_spec=spec)
+    return _fold(df, KEY, spec, "PREV_", cats, vocabs, nan_as_category, subsets=subsets, subset_spec=spec)
 
 
 # -- P4 POS / cash balances ------------------------------------------------------------
 
 def pos_features(pos: DataFrame, nan_as_category: bool = True,
                  vocabularies: Mapping[str, Sequence] | None = None,
-                 spec: Spec | None = None) -> DataFrame:
+                 spec: Spec | None = None,
+                 max_categories: int = DEFAULT_MAX_CATEGORIES) -> DataFrame:
     cats = string_columns(pos, exclude=[KEY, "SK_ID_PREV"])
-    vocabs = _vocabs(pos, cats, vocabularies)
+    vocabs = _vocabs(pos, cats, vocabularies, max_categories)
     spec = restrict_spec(spec or POS_SPEC, pos.columns)
-    return grouped_agg(pos, KEY, spec, prefix="POS_",
-                       extra=_shares(pos, cats, vocabs, nan_as_category, "POS_")
-                       + [F.count(F.lit(1)).alias("POS_COUNT")])
+    return _fold(pos, KEY, spec, "POS_", cats, vocabs, nan_as_category,
+                 more=[F.count(F.lit(1)).alias("POS_COUNT")])
 
 
 # -- P5 instalment payments -------------------------------------------------------------
@@ -235,30 +267,30 @@ def installment_columns(ins: DataFrame) -> DataFrame:
 
 def installments_features(ins: DataFrame, nan_as_category: bool = True,
                           vocabularies: Mapping[str, Sequence] | None = None,
-                          spec: Spec | None = None) -> DataFrame:
+                          spec: Spec | None = None,
+                          max_categories: int = DEFAULT_MAX_CATEGORIES) -> DataFrame:
     df = installment_columns(ins)
     cats = string_columns(df, exclude=[KEY, "SK_ID_PREV"])
-    vocabs = _vocabs(df, cats, vocabularies)
+    vocabs = _vocabs(df, cats, vocabularies, max_categories)
     spec = restrict_spec(spec or INSTALLMENTS_SPEC, df.columns)
-    return grouped_agg(df, KEY, spec, prefix="INSTAL_",
-                       extra=_shares(df, cats, vocabs, nan_as_category, "INSTAL_")
-                       + [F.count(F.lit(1)).alias("INSTAL_COUNT")])
+    return _fold(df, KEY, spec, "INSTAL_", cats, vocabs, nan_as_category,
+                 more=[F.count(F.lit(1)).alias("INSTAL_COUNT")])
 
 
 # -- P6 credit card balances --------------------------------------------------------------
 
 def credit_card_features(cc: DataFrame, nan_as_category: bool = True,
                          vocabularies: Mapping[str, Sequence] | None = None,
-                         funcs: Sequence[str] = CREDIT_CARD_FUNCS) -> DataFrame:
+                         funcs: Sequence[str] = CREDIT_CARD_FUNCS,
+                         max_categories: int = DEFAULT_MAX_CATEGORIES) -> DataFrame:
     """Five functions on *every* numeric column, category shares, count."""
     df = cc.drop("SK_ID_PREV")
     cats = string_columns(df, exclude=[KEY])
-    vocabs = _vocabs(df, cats, vocabularies)
+    vocabs = _vocabs(df, cats, vocabularies, max_categories)
     nums = [c for c in df.columns if c != KEY and c not in cats]
     spec = {c: list(funcs) for c in nums}
-    return grouped_agg(df, KEY, spec, prefix="CC_",
-                       extra=_shares(df, cats, vocabs, nan_as_category, "CC_")
-                       + [F.count(F.lit(1)).alias("CC_COUNT")])
+    return _fold(df, KEY, spec, "CC_", cats, vocabs, nan_as_category,
+                 more=[F.count(F.lit(1)).alias("CC_COUNT")])
 
 
 # -- P7 assembly ------------------------------------------------------------------------
@@ -275,18 +307,19 @@ def assemble(application: DataFrame, children: Sequence[DataFrame]) -> DataFrame
 
 def plan_vocabularies(frames: Sequence[DataFrame],
                       exclude: Sequence[str] = (KEY, "SK_ID_BUREAU", "SK_ID_PREV"),
-                      parallelism: int = 8) -> list[dict]:
+                      parallelism: int = 8, max_categories: int = DEFAULT_MAX_CATEGORIES) -> list[dict]:
     """Vocabularies of every string column, one dict (and one job) per
     table, the jobs submitted concurrently from driver threads.  Tables are
     kept apart: the same column name can hold other values elsewhere."""
     from concurrent.futures import ThreadPoolExecutor
     jobs = [(f, string_columns(f, exclude=exclude)) for f in frames]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return list(pool.map(lambda fc: collect_vocabularies(fc[0], fc[1]), jobs))
+        return list(pool.map(lambda fc: small_vocabularies(fc[0], fc[1], max_categories), jobs))
 
 
 def full_features(tables: Mapping[str, DataFrame], nan_as_category: bool = True,
-                  vocabularies: Mapping[str, Mapping[str, Sequence]] | None = None) -> DataFrame:
+                  vocabularies: Mapping[str, Mapping[str, Sequence]] | None = None,
+                  max_categories: int = DEFAULT_MAX_CATEGORIES) -> DataFrame:
     """All seven tables -> one feature row per application.
 
     ``tables`` holds ``application, bureau, bureau_balance,
@@ -297,24 +330,17 @@ def full_features(tables: Mapping[str, DataFrame], nan_as_category: bool = True,
     """
     names = list(tables)
     if vocabularies is None:
-        vocabularies = dict(zip(names, plan_vocabularies([tables[n] for n in names])))
+        vocabularies = dict(zip(names, plan_vocabularies([tables[n] for n in names], max_categories=max_categories)))
     voc = {n: dict(vocabularies.get(n, {})) for n in names}
-    app = application_features(tables["application"], False, voc["application"])
+    bound = {"max_categories": max_categories}
+    app = application_features(tables["application"], False, voc["application"], **bound)
     kids = []
     if "bureau" in tables and "bureau_balance" in tables:
         kids.append(bureau_features(tables["bureau"], tables["bureau_balance"], nan_as_category,
-                                    {**voc["bureau"], **voc["bureau_balance"]}))
-    if "previous_application" in tables:
-        kids.append(previous_features(tables["previous_application"], nan_as_category,
-                                      voc["previous_application"]))
-    if "POS_CASH_balance" in tables:
-        kids.append(pos_features(tables["POS_CASH_balance"], nan_as_category, voc["POS_CASH_balance"]))
-    if "installments_payments" in tables:
-        kids.append(installments_features(tables["installments_payments"], nan_as_category,
-                                          voc["installments_payments"]))
-    if "credit_card_balance" in tables:
-        kids.append(credit_card_features(tables["credit_card_balance"], nan_as_category,
-                                         voc["credit_card_balance"]))
+                                    {**voc["bureau"], **voc["bureau_balance"]}, **bound))
+    folds = {"previous_application": previous_features, "POS_CASH_balance": pos_features,
+             "installments_payments": installments_features, "credit_card_balance": credit_card_features}
+    kids += [fold(tables[n], nan_as_category, voc[n], **bound) for n, fold in folds.items() if n in tables]
     return assemble(app, kids)
 
 
@@ -387,13 +413,14 @@ def exploratory_features(app: DataFrame) -> DataFrame:
 # -- training / scoring round trip ------------------------------------------------------
 
 def build_feature_table(tables: Mapping[str, DataFrame], path: str, manifest_path: str,
-                        nan_as_category: bool = True) -> dict:
+                        nan_as_category: bool = True,
+                        max_categories: int = DEFAULT_MAX_CATEGORIES) -> dict:
     """Training side: fold the tables, write the feature table (Parquet) and
     a manifest holding the ordered feature names *and* the vocabularies the
     one-hot/share columns were built from."""
     from ledgerfold.sources.feature_store import write_features, write_manifest
     names = list(tables)
-    vocabs = dict(zip(names, plan_vocabularies([tables[n] for n in names])))
+    vocabs = dict(zip(names, plan_vocabularies([tables[n] for n in names], max_categories=max_categories)))
     feats = full_features(tables, nan_as_category, vocabs)
     write_features(feats, path, target="TARGET" if "TARGET" in feats.columns else None)
     return write_manifest(feats, manifest_path, vocabularies=vocabs)
