@@ -130,10 +130,12 @@ class SortedArrays:
     def write(uri: str, bits: int, keys: np.ndarray, counts: list[np.ndarray]) -> list[tuple[int, int, int]]:
         """Store all keys of one or more whole shards; returns (shard, number of
         keys, widths of the counts as hexadecimal digits)."""
+        if not len(keys):
+            return []
         order = np.argsort(keys)
         keys, counts = keys[order], [c[order] for c in counts]
         shards = shard_of(keys, bits)
-        edges = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(keys) else np.empty(0, int)
+        edges = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]])
         out = []
         for a, b in zip(edges, np.r_[edges[1:], len(keys)].astype(int), strict=True):
             widths = [next(w for w in (1, 2, 4, 8) if w == 8 or int(c[a:b].max()) < 1 << (8 * w)) for c in counts]
