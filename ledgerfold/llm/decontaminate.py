@@ -98,10 +98,15 @@ def windows(docs: DataFrame, arrays: SortedArrays, lengths: list[int], k: int, p
     sizes = sorted({min(k, n) for n in lengths})
 
     def of_document(own: np.ndarray, hits: dict[int, np.ndarray], sh: dict[int, np.ndarray]):
+        known = {size: np.concatenate([np.zeros(1, np.int64), np.cumsum(hit)]) for size, hit in hits.items()}
         for length in lengths:
             size = min(k, length)
-            items = sh[size]
-            if not len(items) or not hits[size].any():
+            items, any_ = sh[size], known[size]
+            n = length - size + 1
+            m = min(n, len(items))
+            need = percent * (n + m) / (100 + percent) - 1e-9
+            # shingles of items of any length bound those of this length
+            if not m or any_[-1] < need or (any_[m:] - any_[:-m]).max() < need:
                 continue
             # of the shingles found in any item, those of items of this length
             at = np.flatnonzero(hits[size])
@@ -109,11 +114,8 @@ def windows(docs: DataFrame, arrays: SortedArrays, lengths: list[int], k: int, p
             key = _of_length(items[at], length)
             order = np.argsort(key)
             mask[at[order]] = arrays.find(key[order])[0] >= 0
-            n = length - size + 1
-            m = min(n, len(items))
-            need = percent * (n + m) / (100 + percent)
             total = np.r_[0, np.cumsum(mask)]
-            start = np.flatnonzero(total[m:] - total[:-m] >= need - 1e-9)
+            start = np.flatnonzero(total[m:] - total[:-m] >= need)
             if not len(start):
                 continue
             content = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(items ^ u64(0xC0117E17)), dtype=np.uint64)]
@@ -219,6 +221,9 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any match."""
-    return (docs.withColumn("_uid", F.xxhash64(id_col, text))
-            .join(found.select(F.col("uid").alias("_uid")).distinct(), "_uid", "left_anti").drop("_uid"))
+    """The rows of ``docs`` without any match.  Columns go by their place, so
+    that no name can clash."""
+    names = docs.columns
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    uid = F.xxhash64(f"c{names.index(id_col)}", f"c{names.index(text)}")
+    return own.join(found.select("uid").distinct(), uid == F.col("uid"), "left_anti").toDF(*names)
