@@ -79,6 +79,27 @@ def baseline_metrics(df: DataFrame, strategy: str, label: str = "label",
     return out
 
 
+def baseline_cross_validation(df: DataFrame, fold: str, strategies: Sequence[str], label: str = "label",
+                              seed: int = 42, key: str = "doc_id") -> DataFrame:
+    """Per fold and strategy the metrics of a dummy classifier that knows the
+    other folds' positive rate only: the rates of all folds come from one
+    aggregate (total less the fold's), the rows are scored in one pass."""
+    y = F.col(label)
+    own = df.groupBy(fold).agg(F.count(y).alias("_n"), F.sum(y).alias("_pos"))
+    rest = _with_one_row(own, own.agg(F.sum("_n").alias("_all"), F.sum("_pos").alias("_all_pos")))
+    rate = F.try_divide((F.col("_all_pos") - F.col("_pos")).cast("double"), (F.col("_all") - F.col("_n")).cast("double"))
+    rates = rest.select(F.col(fold).alias("_fold"), rate.alias("_rate"), (2 * (F.col("_all_pos") - F.col("_pos")) > F.col("_all") - F.col("_n")).alias("_most"))
+    scores = {"prior": F.col("_rate"), "most_frequent": F.when(F.col("_most"), F.lit(1.0)).otherwise(F.lit(0.0)),
+              "stratified": F.when(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < F.col("_rate"), F.lit(1.0)).otherwise(F.lit(0.0))}
+    unknown = set(strategies) - set(scores)
+    if unknown:
+        raise ValueError(f"unknown strategies {sorted(unknown)}; expected {sorted(scores)}")
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), scores[s].alias("score")) for s in strategies])).alias("_s")
+    # one row per fold
+    rows = df.join(rates, F.col(fold).eqNullSafe(F.col("_fold"))).select(fold, label, each).select(fold, label, "_s.*")
+    return V.classification_metrics(rows, label, "score", groups=[fold, "strategy"])
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights ``n / (2·n_c)`` and ``scale_pos_weight = neg/pos``."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))

@@ -321,7 +321,7 @@ SELECT g.grid, p.lo + g.grid * p.step AS x,
 FROM g, dv, p GROUP BY g.grid, p.lo, p.step, p.n, p.h""")
 def kde_grid_q(spark, sf):
     e = table(spark, sf, "events").select(cents("value").alias("v"))
-    return P.kde_grid(e, "v", 200)
+    return P.kde_grid(e, "v", 200, method="exact").withColumn("density", F.round("density", 10))
 
 
 @register("key_coverage", """

@@ -27,6 +27,7 @@ def register(key: str, sql: str | None = None):
 def load_all() -> None:
     """Import every binding module so that it registers its keys."""
     from ledgerfold.plans import (  # noqa: F401
+        bind_checked,
         bind_cleaning,
         bind_eval,
         bind_features,

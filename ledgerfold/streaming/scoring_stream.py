@@ -1,12 +1,17 @@
 """Scoring a stream of client requests (the serving path as a stream).
 
-Requests ``(request_id, client_id, ts)`` arrive as files; each is
-de-duplicated by ``request_id`` inside an event-time watermark (state is
-bounded by the watermark), joined to the static scored-client table
-(stream-static left join: unknown clients are reported, not dropped) and
-decided at the production threshold.  Each micro-batch is written to its
-own epoch folder with overwrite, so a retried epoch replaces its output
-instead of duplicating it.
+Requests ``(request_id, client_id, ts)`` arrive as files, are answered once each,
+however late they or their repeats come, and are joined to the static
+scored-client table (stream-static left join: unknown clients are reported, not
+dropped) and decided at the production threshold.
+
+The stream keeps no state.  Decisions are stored by epoch and by a bucket of the
+request id; a micro-batch is compared with the earlier decisions of its ids'
+buckets, which the reader prunes to, so what is remembered is the result itself
+and grows with nothing else.  Each micro-batch is written to its own epoch folder
+with overwrite, so a retried epoch replaces its output instead of duplicating
+it.  ``watermark`` is an alternative where repeats come soon: ids are then kept as
+state until the watermark passes them, and later requests are dropped.
 """
 
 from __future__ import annotations
@@ -38,27 +43,37 @@ def decisions(requests: DataFrame, scored: DataFrame, threshold: float = THRESHO
 def start_scoring_stream(spark: SparkSession, requests_path: str, scored: DataFrame,
                          out_path: str, checkpoint: str, watermark: str | None = None,
                          threshold: float = THRESHOLD, available_now: bool = True,
-                         max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Every request is answered once, however late it comes: its id is kept as
-    state.  ``watermark`` bounds that state where repeats come soon; requests
-    later than it are then dropped."""
+                         max_files_per_trigger: int | None = None, buckets: int = 16) -> StreamingQuery:
+    """Start the stream; ``buckets`` of request ids divide the decisions."""
     reader = spark.readStream.schema(REQUEST_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     req = reader.parquet(requests_path)
     if watermark:
-        dedup = req.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["request_id"])
-    else:
-        dedup = req.dropDuplicates(["request_id"])
-    out = decisions(dedup, scored, threshold)
+        req = req.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["request_id"])
+    out, bucket = out_path.rstrip("/"), F.pmod(F.xxhash64("request_id"), F.lit(buckets)).cast("int")
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/epoch={epoch_id}")
+        fresh = batch.dropDuplicates(["request_id"]).withColumn("bucket", bucket)
+        if epoch_id and not watermark:
+            earlier = answered(batch.sparkSession, out).where(F.col("epoch") < epoch_id)
+            fresh = fresh.join(earlier.select("bucket", "request_id"), ["bucket", "request_id"], "left_anti")
+        result = decisions(fresh, scored, threshold).withColumn("bucket", bucket)
+        result.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/epoch={epoch_id}")
 
-    w = out.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = req.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+DECISION_SCHEMA = ("request_id long, client_id long, probability double, prediction int, threshold double, "
+                   "recommendation string, status string")
+
+
+def answered(spark: SparkSession, out_path: str) -> DataFrame:
+    """All decisions with their epoch and bucket."""
+    return spark.read.schema(f"{DECISION_SCHEMA}, epoch long, bucket int").parquet(out_path)
+
+
 def read_decisions(spark: SparkSession, out_path: str) -> DataFrame:
-    return spark.read.parquet(out_path).drop("epoch")
+    return answered(spark, out_path).drop("epoch", "bucket")

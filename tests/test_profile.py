@@ -60,7 +60,7 @@ def test_histogram_matches_numpy(spark):
 def test_kde_matches_brute_force(spark):
     vals = np.random.default_rng(5).integers(0, 50, 200)
     df = spark.createDataFrame([(int(v),) for v in vals], "x long")
-    k = P.kde_grid(df, "x", 50).toPandas().sort_values("grid")
+    k = P.kde_grid(df, "x", 50, method="exact").toPandas().sort_values("grid")
     h = vals.std(ddof=1) * len(vals) ** -0.2
     grid = np.linspace(vals.min(), vals.max(), 50)
     exp = np.exp(-0.5 * ((grid[:, None] - vals[None, :]) / h) ** 2).sum(1) / (len(vals) * h * math.sqrt(2 * math.pi))
@@ -104,13 +104,15 @@ def test_approx_paths_close_to_exact(spark):
     assert math.isclose(ce[("x", "y")], float(np.corrcoef(x, y)[0, 1]), rel_tol=1e-12)
 
 
-def test_kde_prebin_and_chunked_corr(spark, monkeypatch):
+def test_kde_error_bound_and_wide_corr(spark, monkeypatch):
     from ledgerfold.operators import correlation as C
     vals = np.random.default_rng(4).normal(size=3000)
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    ex = P.kde_grid(df, "x", 50).toPandas().sort_values("grid")["density"].to_numpy()
-    ap = P.kde_grid(df, "x", 50, prebin=4096).toPandas().sort_values("grid")["density"].to_numpy()
-    assert np.allclose(ex, ap, atol=1e-3 * ex.max())
+    ex = P.kde_grid(df, "x", 5000, method="exact").toPandas().sort_values("grid")["density"].to_numpy()
+    h = vals.std(ddof=1) * len(vals) ** -0.2
+    for bins in (16, 64):
+        ap = P.kde_grid(df, "x", 5000, bins_per_bandwidth=bins).toPandas().sort_values("grid")["density"].to_numpy()
+        assert 0 < np.abs(ex - ap).max() <= 1 / (8 * bins ** 2 * h * math.sqrt(2 * math.pi))
     cols = ["a", "b", "c", "d"]
     m = np.random.default_rng(2).integers(0, 100, (200, 4))
     d = spark.createDataFrame([tuple(int(v) for v in r) for r in m], ", ".join(f"{c} long" for c in cols))
