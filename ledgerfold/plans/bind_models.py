@@ -65,12 +65,18 @@ def _train_test(spark, sf):
     return s.where(F.col("split") == "train"), s.where(F.col("split") == "test"), feats
 
 
-RF_PARAMS = {"numTrees": 50, "maxDepth": 5, "minInstancesPerNode": 1,
+# The sizes of the reference's learners.
+RF_PARAMS = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 1,
              "featureSubsetStrategy": "sqrt"}
-GBT_PARAMS = {"maxIter": 30, "maxDepth": 3, "stepSize": 0.1, "subsamplingRate": 0.9}
+GBT_PARAMS = {"maxIter": 100, "maxDepth": 8, "stepSize": 0.1, "subsamplingRate": 0.9}
 LR_PARAMS = {"maxIter": 100, "regParam": 0.01}
 
 
+def _fit_gbt(train, feats):
+    """Boosted trees with balanced class weights."""
+    return TR.fit(TR.with_balanced_weights(train, LABEL), feats, "gbt", LABEL, weight_col="weight", **GBT_PARAMS)
+
+
 @register("rf_scores")
 def rf_scores(spark, sf):
     train, test, feats = _train_test(spark, sf)
@@ -82,7 +88,7 @@ def rf_scores(spark, sf):
 @register("gbt_scores")
 def gbt_scores(spark, sf):
     train, test, feats = _train_test(spark, sf)
-    m = TR.fit(train, feats, "gbt", LABEL, **GBT_PARAMS)
+    m = _fit_gbt(train, feats)
     return TR.score(m, test, [KEY, LABEL])
 
 
@@ -115,7 +121,7 @@ def search_trials(spark, sf):
 
 def _gbt_with_nodes(spark, sf):
     train, test, feats = _train_test(spark, sf)
-    m = TR.fit(train, feats, "gbt", LABEL, **GBT_PARAMS)
+    m = _fit_gbt(train, feats)
     gbt = m.stages[-1]
     path = f"{checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
     nodes = TR.tree_nodes(gbt, spark, path)
@@ -142,7 +148,7 @@ def shap_top_n(spark, sf):
 @register("model_info")
 def model_info(spark, sf):
     train, _, feats = _train_test(spark, sf)
-    m = TR.fit(train, feats, "gbt", LABEL, **GBT_PARAMS)
+    m = _fit_gbt(train, feats)
     from ledgerfold.operators.scoring import THRESHOLD
     from ledgerfold.operators.scoring import model_facts
     return model_facts(spark, m, feats, THRESHOLD)
@@ -153,7 +159,7 @@ def holdout_metrics(spark, sf):
     """Fit on train, choose the cost-optimal threshold on validation, report
     metrics on test at that threshold (and at the production threshold)."""
     s, feats = _splits(spark, sf)
-    m = TR.fit(s.where(F.col("split") == "train"), feats, "gbt", LABEL, **GBT_PARAMS)
+    m = _fit_gbt(s.where(F.col("split") == "train"), feats)
     val = TR.score(m, s.where(F.col("split") == "val"), [KEY, LABEL])
     t = TR.oof_threshold(val, LABEL)
     from ledgerfold.operators.scoring import THRESHOLD
