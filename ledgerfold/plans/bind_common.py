@@ -53,8 +53,10 @@ FROM orders"""
 
 
 def scored_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """labels ⋈ documents with a deterministic score in [0, 1)."""
-    lab = table(spark, sf, "labels")
+    """labels ⋈ documents with a deterministic score in [0, 1).
+
+    Both sides grow together, so none is broadcast through the driver."""
+    lab = table(spark, sf, "labels").hint("merge")
     doc = table(spark, sf, "documents").select("doc_id", "n_chars", "lang")
     return lab.join(doc, "doc_id").select(
         "doc_id", "lang", "n_chars", "quality",

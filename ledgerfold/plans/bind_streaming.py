@@ -29,12 +29,14 @@ def stream_score_requests(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id")
     req = docs.select(F.col("doc_id").alias("request_id"), F.col("doc_id").alias("client_id"),
                       F.timestamp_seconds(F.col("doc_id") + F.lit(1_700_000_000)).alias("ts"))
-    again = req.join(table(spark, sf, "labels").select(F.col("doc_id").alias("request_id")),
+    again = req.join(table(spark, sf, "labels").select(F.col("doc_id").alias("request_id")).hint("merge"),
                      "request_id", "left_semi")
     req.write.mode("overwrite").parquet(f"{base}/requests/part=0")
     again.write.mode("overwrite").parquet(f"{base}/requests/part=1")
-    scored = scored_labels(spark, sf).select(F.col("doc_id").alias("client_id"),
-                                             F.col("score").alias("probability"))
+    # scored once, not by every micro-batch
+    scored_labels(spark, sf).select(F.col("doc_id").alias("client_id"), F.col("score").alias("probability")
+                                    ).write.parquet(f"{base}/scored")
+    scored = spark.read.schema("client_id long, probability double").parquet(f"{base}/scored")
     q = start_scoring_stream(spark, f"{base}/requests", scored, f"{base}/out", f"{base}/ckpt",
                              max_files_per_trigger=1)
     q.awaitTermination()

@@ -26,8 +26,11 @@ REQUEST_SCHEMA = "request_id long, client_id long, ts timestamp"
 
 
 def decisions(requests: DataFrame, scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per request: probability, decision and text, or ``not found``."""
-    s = scored.select(F.col("client_id"), F.col("probability"))
+    """Per request: probability, decision and text, or ``not found``.
+
+    The scored clients grow with the data and every micro-batch joins them, so
+    they are shuffled: a broadcast would bring them to the driver each time."""
+    s = scored.select(F.col("client_id"), F.col("probability")).hint("merge")
     j = requests.join(s, "client_id", "left")
     p = F.col("probability")
     hit = p.isNotNull()
@@ -57,7 +60,7 @@ def start_scoring_stream(spark: SparkSession, requests_path: str, scored: DataFr
         fresh = batch.dropDuplicates(["request_id"]).withColumn("bucket", bucket)
         if epoch_id and not watermark:
             earlier = answered(batch.sparkSession, out).where(F.col("epoch") < epoch_id)
-            fresh = fresh.join(earlier.select("bucket", "request_id"), ["bucket", "request_id"], "left_anti")
+            fresh = fresh.join(earlier.select("bucket", "request_id").hint("merge"), ["bucket", "request_id"], "left_anti")
         result = decisions(fresh, scored, threshold).withColumn("bucket", bucket)
         result.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/epoch={epoch_id}")
 

@@ -3,7 +3,9 @@
 import os
 import tempfile
 
-from ledgerfold.streaming.scoring_stream import read_decisions, start_scoring_stream
+from ledgerfold.plans.bind_common import scored_labels
+from ledgerfold.streaming.scoring_stream import decisions, read_decisions, start_scoring_stream
+from tests.conftest import SF001
 
 
 def test_stream_scoring(spark):
@@ -22,3 +24,11 @@ def test_stream_scoring(spark):
     assert out[1].prediction == 1 and out[1].threshold == 0.475 and out[1].recommendation
     assert out[2].prediction == 0
     assert out[3].status == "not found" and out[3].probability is None
+
+
+def test_no_table_is_broadcast(spark):
+    """Scored clients grow with the data: none of them pass through the driver."""
+    requests = spark.createDataFrame([(1, 10), (2, 11)], "request_id long, client_id long")
+    scored = spark.createDataFrame([(10, 0.9)], "client_id long, probability double")
+    for df in (decisions(requests, scored), scored_labels(spark, SF001)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
