@@ -247,13 +247,89 @@ def tree_shap_batch(tree: Tree, X: np.ndarray, phi: np.ndarray, scale: float) ->
     rec(0, d, z, o, w, 0, np.ones(n), np.ones(n), -1)
 
 
+# -- the same values from tables per leaf ----------------------------------------------
+#
+# A row's share in a leaf depends only on which of the path's features let it
+# pass: d features, 2^d patterns.  The recursion runs over the patterns of all
+# leaves of a tree at once; a row then costs a look-up a leaf and feature, however
+# many rows there are.
+
+TABLE_FEATURES = 10     # features of a path with a table of patterns; deeper trees take the recursion
+BLOCK_ROWS = 1 << 16    # rows explained together
+OUT_ROWS = 10000        # rows whose attributions are handed on together
+
+
+def _leaf_paths(tree: Tree):
+    """(leaf, features in order of first use, their zero fractions) of each leaf."""
+    stack = [(0, [], [])]
+    while stack:
+        j, feats, zero = stack.pop()
+        if tree.left[j] < 0:
+            yield j, feats, zero
+            continue
+        f = int(tree.feature[j])
+        at = feats.index(f) if f in feats else len(feats)
+        own = feats if at < len(feats) else [*feats, f]
+        for child in (tree.left[j], tree.right[j]):
+            z = [*zero, 1.0] if at == len(zero) else list(zero)
+            z[at] *= tree.cover[child] / tree.cover[j]
+            stack.append((int(child), own, z))
+
+
+def leaf_tables(tree: Tree, scale: float) -> dict[int, np.ndarray]:
+    """Per leaf the contribution of each of its path's features (rows) for each
+    pattern of passed features (columns; bit i: the i-th feature lets pass)."""
+    by_depth: dict[int, list[tuple[int, list]]] = {}
+    for leaf, feats, zero in _leaf_paths(tree):
+        by_depth.setdefault(len(feats), []).append((leaf, zero))
+    out = {}
+    for depth, leaves in by_depth.items():
+        codes = np.tile(np.arange(1 << depth), len(leaves))
+        zeros = np.repeat(np.array([z for _, z in leaves]).reshape(len(leaves), depth), 1 << depth, axis=0)
+        n = len(codes)
+        d, z, o, w = np.zeros(depth + 1, np.int64), *(np.zeros((n, depth + 1), order="F") for _ in range(3))
+        _extend_v(d, z, o, w, 0, np.ones(n), np.ones(n), -1)
+        for i in range(depth):
+            _extend_v(d, z, o, w, i + 1, zeros[:, i], (codes >> i & 1).astype(float), i)
+        value = scale * np.repeat(tree.value[[leaf for leaf, _ in leaves]], 1 << depth)
+        parts = np.array([_unwound_sum_v(z, o, w, depth, i) * (o[:, i] - z[:, i]) * value for i in range(1, depth + 1)]).reshape(depth, len(leaves), 1 << depth)
+        for i, (leaf, _) in enumerate(leaves):
+            out[leaf] = parts[:, i]
+    return out
+
+
+def tree_shap_tables(tree: Tree, X: np.ndarray, phi: np.ndarray, scale: float) -> None:
+    """``tree_shap_batch`` by look-up."""
+    tables = leaf_tables(tree, scale)
+
+    def rec(j, feats, code):
+        if tree.left[j] < 0:
+            for f, column in zip(feats, tables[j], strict=True):
+                phi[:, f] += column[code]
+            return
+        f = int(tree.feature[j])
+        goes_left = X[:, f] <= tree.threshold[j]
+        at = feats.index(f) if f in feats else len(feats)
+        own = feats if at < len(feats) else [*feats, f]
+        before = code if at < len(feats) else code | np.int64(1 << at)
+        rec(tree.left[j], own, np.where(goes_left, before, before & ~np.int64(1 << at)))
+        rec(tree.right[j], own, np.where(goes_left, before & ~np.int64(1 << at), before))
+
+    rec(0, [], np.zeros(len(X), np.int64))
+
+
 def explain_rows(ensemble: list[tuple[float, Tree]], X: np.ndarray,
                  vectorised: bool = True) -> tuple[np.ndarray, float]:
     """(phi matrix rows × features, expected value) for a batch."""
-    phi = np.zeros(X.shape)
+    phi = np.zeros(X.shape, order="F")
     if vectorised:
+        X = np.asfortranarray(X)
         for scale, tree in ensemble:
-            tree_shap_batch(tree, X, phi, scale)
+            # patterns must not outnumber rows by far, nor covers be empty
+            if tree.depth <= TABLE_FEATURES and len(X) > tree.depth ** 2 and tree.cover[tree.left < 0].all():
+                tree_shap_tables(tree, X, phi, scale)
+            else:
+                tree_shap_batch(tree, X, phi, scale)
     else:
         for r in range(X.shape[0]):
             for scale, tree in ensemble:
@@ -290,20 +366,29 @@ def shap_long(df: DataFrame, key: str, features_col: str, ensemble: list[tuple[f
     src = df.select(F.col(key).cast("long").alias("key"),
                     vector_to_array(F.col(features_col)).alias("x"))
 
+    def blocks(batches):
+        # a tree's tables are made once a block
+        held, size = [], 0
+        for pdf in batches:
+            held, size = [*held, pdf], size + len(pdf)
+            if size >= BLOCK_ROWS:
+                yield pd.concat(held)
+                held, size = [], 0
+        if size:
+            yield pd.concat(held)
+
     def run(batches):
         ens = _from_plain(bc.value)
-        for pdf in batches:
-            if pdf.empty:
-                continue
+        for pdf in blocks(batches):
             X = np.vstack(pdf["x"].to_numpy())
             phi, base = explain_rows(ens, X)
-            keys = np.repeat(pdf["key"].to_numpy(), X.shape[1])
-            feats = np.tile(np.array(names, dtype=object), X.shape[0])
-            vals = phi.reshape(-1)
-            yield pd.DataFrame({"key": keys, "feature": feats, "value": vals,
-                                "importance": np.abs(vals)})
-            yield pd.DataFrame({"key": pdf["key"].to_numpy(), "feature": "__base__",
-                                "value": base, "importance": 0.0})
+            keys = pdf["key"].to_numpy()
+            for i in range(0, len(keys), OUT_ROWS):
+                own, vals = keys[i:i + OUT_ROWS], phi[i:i + OUT_ROWS].reshape(-1)
+                yield pd.DataFrame({"key": np.repeat(own, X.shape[1]), "feature": np.tile(np.array(names, dtype=object), len(own)),
+                                    "value": vals, "importance": np.abs(vals)})
+                yield pd.DataFrame({"key": own, "feature": "__base__",
+                                    "value": base, "importance": 0.0})
 
     out = src.mapInPandas(run, "key long, feature string, value double, importance double")
     return out.withColumnRenamed("key", key)

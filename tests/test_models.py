@@ -121,3 +121,40 @@ def test_model_facts_invariants(spark, data):
     assert r.model_type == "GBTClassificationModel" and r.n_features == len(feats)
     assert r.optimal_threshold == 0.475 and len(r.feature_names) == min(10, len(feats))
     assert r.model_loaded is True
+
+
+def _random_tree(rng, depth, n_features):
+    """A tree of the given depth whose paths use features again."""
+    left, right, feat, thr, val, cov = ([] for _ in range(6))
+
+    def grow(level, cover):
+        j = len(left)
+        for column, v in ((left, -1), (right, -1), (feat, int(rng.integers(n_features))), (thr, float(rng.normal())), (val, float(rng.normal())), (cov, cover)):
+            column.append(v)
+        if level < depth and cover >= 2:
+            part = int(rng.integers(1, cover))
+            left[j], right[j] = grow(level + 1, part), grow(level + 1, cover - part)
+        return j
+
+    grow(0, 5000)
+    return A.Tree(*[np.array(c) for c in (left, right, feat)], *[np.array(c, float) for c in (thr, val, cov)])
+
+
+def test_shap_recursion_does_not_grow_with_rows(monkeypatch):
+    """The recursion runs over patterns of passed features, not over rows."""
+    rng, plain, seen = np.random.default_rng(5), A._unwound_sum_v, []
+    ens = [(0.3, _random_tree(rng, 6, 5)), (1.7, _random_tree(rng, 3, 9))]
+    X = rng.normal(size=(4000, 9))
+    X[::7, 2] = np.nan
+    slow = np.zeros((60, 9))
+    for scale, tree in ens:
+        for r in range(60):
+            A.tree_shap(tree, X[r], slow[r], scale)
+    monkeypatch.setattr(A, "_unwound_sum_v", lambda z, *more: seen.append(len(z)) or plain(z, *more))
+    rows = []
+    for n in (1000, 4000):
+        seen.clear()
+        phi, _ = A.explain_rows(ens, X[:n])
+        rows.append(sum(seen))
+        assert np.abs(phi[:60] - slow).max() < 1e-12
+    assert rows[0] == rows[1]
