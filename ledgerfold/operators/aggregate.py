@@ -3,7 +3,7 @@
 A spec maps a column to a list of function names (``min max mean sum var
 size nunique count``); output columns are named ``<PREFIX><COL>_<FUNC>``.
 All functions are algebraic except ``nunique`` (Spark expands it to a
-de-duplicating aggregate), so partial aggregation runs map-side before the
+de-duplicating aggregate, here for values beyond small whole numbers only), so partial aggregation runs map-side before the
 shuffle and a hot key costs one partial row per task, not one huge group.
 
 Subsets (e.g. Active/Closed credits) are folded into the *same* group-by
@@ -36,6 +36,18 @@ def _var(x: Column, integral: bool) -> Column:
     return exact_var_samp(x) if integral else F.var_samp(x)
 
 
+def _nunique(x: Column, integral: bool) -> Column:
+    """Distinct values.  A distinct aggregate shuffles the partial results of all
+    functions beside it once per value; whole numbers below 63 are marked in a
+    word of bits instead, so only other values make such rows."""
+    if not integral:
+        return F.count_distinct(x)
+    small = x.between(0, 62)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), x.cast("int"))
+    marked = F.coalesce(F.bit_count(F.bit_or(F.when(small, bit))), F.lit(0)).cast("bigint")
+    return marked + F.count_distinct(F.when(~small, x))
+
+
 def agg_expr(func: str, x: Column, integral: bool,
              cond: Column | None = None, n_rows: Column | None = None,
              xv: Column | None = None) -> Column:
@@ -56,7 +68,7 @@ def agg_expr(func: str, x: Column, integral: bool,
     if func == "var":
         return _var(xv, integral)
     if func == "nunique":
-        return F.count_distinct(xv) if cond is None else F.when(n_rows > 0, F.count_distinct(xv))
+        return _nunique(xv, integral) if cond is None else F.when(n_rows > 0, _nunique(xv, integral))
     if func == "count":
         return F.count(xv) if cond is None else F.when(n_rows > 0, F.count(xv))
     if func == "size":

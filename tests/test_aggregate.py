@@ -45,3 +45,15 @@ def test_subset_null_when_no_row_zero_when_all_null(spark):
     assert out[1].ACTIVE_a_SUM == 10 and out[1].ACTIVE_a_SIZE == 2
     assert out[1].ACTIVE_b_SUM == 7.0
     assert out[4].ACTIVE_a_MEAN == 4.0
+
+
+def test_nunique_of_any_numbers_without_a_row_per_small_one(spark):
+    import re
+    rows = [(k, v) for k, vs in {1: [0, 62, 62, 5], 2: [63, -1, 64, 63, 3], 3: [None], 4: [1 << 62, -(1 << 62), None, 0]}.items() for v in vs]
+    df = spark.createDataFrame(rows, "k int, a long").repartition(3)
+    agg = grouped_agg(df, "k", {"a": ["nunique", "sum"]}, subsets={"POS_": F.col("a") > 0}, subset_spec={"a": ["nunique"]})
+    assert {r.k: (r.a_NUNIQUE, r.POS_a_NUNIQUE) for r in agg.collect()} == {1: (3, 2), 2: (4, 3), 3: (0, None), 4: (3, 1)}
+    assert agg.schema["a_NUNIQUE"].dataType.simpleString() == "bigint"
+    # all partial results would move once per value of a
+    plan = grouped_agg(df, "k", {"a": ["nunique", "sum"]})._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(k#\d+, a#\d+", plan)
