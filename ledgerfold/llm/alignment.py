@@ -241,12 +241,12 @@ def _stored(pairs: DataFrame, uri: str, bits: int) -> SortedArrays:
         if parts:
             t = pa.Table.from_batches(parts)
             for row in SortedArrays.write(uri, bits, t["key"].to_numpy().view(np.uint64), [t["n"].to_numpy()]):
-                yield batch(["shard", "rows", "widths"], [[v] for v in row])
+                yield batch([*SortedArrays.STORED], [[v] for v in row])
 
     # about one shard a partition
     rows = (pairs.where("n > 1").mapInArrow(deal, "shard long, key long, n long").repartition(max(1 << bits, 1), "shard")
-            .mapInArrow(store, "shard long, rows long, widths long").collect())
-    return SortedArrays(uri, bits, {r.shard: (r.rows, r.widths) for r in rows})
+            .mapInArrow(store, ", ".join(f"{c} long" for c in SortedArrays.STORED)).collect())
+    return SortedArrays(uri, bits, {r.shard: tuple(r)[1:] for r in rows})
 
 
 def alignments(docs: DataFrame, path_a: str, path_b: str, keep: list[str], text: str = "text", groups: bool = False) -> DataFrame:

@@ -84,12 +84,12 @@ def _arrays(items: DataFrame, uri: str) -> SortedArrays:
         parts = [b for b in batches if b.num_rows]
         if parts:
             own = pa.Table.from_batches(parts)["key"].to_numpy().view(np.uint64)
-            for shard, n, widths in SortedArrays.write(uri, bits, own, []):
-                yield batch(["shard", "keys", "widths"], [[shard], [n], [widths]])
+            for row in SortedArrays.write(uri, bits, own, []):
+                yield batch([*SortedArrays.STORED], [[v] for v in row])
 
     found = items.select("length", "shingles").mapInArrow(keys, "shard long, key long").distinct()
-    rows = found.repartition(partitions(items.sparkSession), "shard").mapInArrow(store, "shard long, keys long, widths long").collect()
-    return SortedArrays(uri, bits, {r.shard: (r["keys"], r.widths) for r in rows})
+    rows = found.repartition(partitions(items.sparkSession), "shard").mapInArrow(store, ", ".join(f"{c} long" for c in SortedArrays.STORED)).collect()
+    return SortedArrays(uri, bits, {r.shard: tuple(r)[1:] for r in rows})
 
 
 def windows(docs: DataFrame, arrays: SortedArrays, lengths: list[int], k: int, percent: int, text: str) -> DataFrame:

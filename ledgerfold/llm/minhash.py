@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import batch, column, local_file, partitions, put, remove, saved, signed, workspace
+from ledgerfold.llm.common import batch, column, local_file, mapped, partitions, put, remove, saved, signed, workspace
 from ledgerfold.llm.textkernel import mix, shingles, u64, word_slices
 
 BLOCK = 256         # members of a block in step 4
@@ -254,7 +254,7 @@ class SetFiles:
         place = self.place(nodes, self.files)
         for f in np.unique(place).tolist():
             if f not in self._open:
-                n, raw = self.counts[f], np.memmap(local_file(self.uri, f"{f}.sets"), dtype="<u8", mode="r")
+                n, raw = self.counts[f], mapped(local_file(self.uri, f"{f}.sets")).view("<u8")
                 self._open[f] = raw[:n].view("<i8"), np.r_[0, raw[n:2 * n].view("<i8")], raw[2 * n:]
             own, ends, items = self._open[f]
             at = np.flatnonzero(place == f)

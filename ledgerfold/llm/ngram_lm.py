@@ -42,6 +42,7 @@ UNKNOWN = -1
 COUNT_SLICE = 1 << 22     # bytes of text whose n-grams are combined before the shuffle
 SCORE_SLICE = 1 << 21
 ROWS_PER_SHARD = 1 << 18
+SHARDS_PER_TASK = 16
 
 
 def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +109,9 @@ def _discounts(t: list[int]) -> tuple[float, float, float]:
     return tuple(out)
 
 
-def _bits(rows: int) -> int:
-    return max(2, min(20, math.ceil(math.log2(max(rows, 1) / ROWS_PER_SHARD)) if rows > ROWS_PER_SHARD else 2))
+def _bits(rows: int, tasks: int) -> int:
+    """Shards for so many rows; also so many for each task that tasks are even."""
+    return min(20, max(2, math.ceil(math.log2(max(rows, 1) / ROWS_PER_SHARD)) if rows > ROWS_PER_SHARD else 2, (SHARDS_PER_TASK * tasks - 1).bit_length()))
 
 
 def _sharded(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,13 +139,13 @@ def _count_vocabulary(train: DataFrame, text: str, uri: str, bits: int) -> tuple
         n = t["n"].to_numpy()
         stored = SortedArrays.write(uri, bits, t["token"].to_numpy().view(np.uint64), [n])
         total = int(n.sum())
-        for shard, keys, widths in stored:
-            yield batch(["shard", "keys", "widths", "total"], [[shard], [keys], [widths], [total]])
+        for row in stored:
+            yield batch([*SortedArrays.STORED, "total"], [[v] for v in (*row, total)])
             total = 0
 
     counted = _sharded(train.select(text).mapInArrow(count, "shard long, token long, n long"), ["token"])
-    rows = counted.mapInArrow(_store_shards(uri, bits, make), "shard long, keys long, widths long, total long").collect()
-    return SortedArrays(uri, bits, {r.shard: (r["keys"], r.widths) for r in rows}), sum(r.total for r in rows)
+    rows = counted.mapInArrow(_store_shards(uri, bits, make), ", ".join(f"{c} long" for c in (*SortedArrays.STORED, "total"))).collect()
+    return SortedArrays(uri, bits, {r.shard: tuple(r)[1:4] for r in rows}), sum(r.total for r in rows)
 
 
 def _store_level(grams: DataFrame, k: int, uri: str, bits: int) -> tuple[Level, DataFrame | None]:
@@ -165,8 +167,8 @@ def _store_level(grams: DataFrame, k: int, uri: str, bits: int) -> tuple[Level,
         n = t["n"].to_numpy()
         none = np.zeros(1, np.int64)
         stored = SortedArrays.write(f"{uri}/grams", bits, _ngram_key(ids), [n])
-        for shard, keys, widths in stored:
-            yield rows(0, [], none + keys, none + widths, none + shard, none)
+        for shard, file, keys, widths in stored:
+            yield rows(0, [], none + keys, none + widths, none + shard, none + file)
         t4 = [int((n == c).sum()) for c in (1, 2, 3, 4)]
         yield rows(1, [], *[none + c for c in t4])
         one, two, more = [(x).astype(np.int64) for x in (n == 1, n == 2, n > 2)]
@@ -188,7 +190,7 @@ def _store_level(grams: DataFrame, k: int, uri: str, bits: int) -> tuple[Level,
                 f"{uri}/stats")
     t4 = out.where("kind = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n1", "n2", "n3")]).first()
     discounts = _discounts(list(t4))
-    shards = {r["n2"]: (r["n"], r["n1"]) for r in out.where("kind = 0").select("n", "n1", "n2").collect()}
+    shards = {r["n2"]: (r["n3"], r["n"], r["n1"]) for r in out.where("kind = 0").select("n", "n1", "n2", "n3").collect()}
     if k == 1:
         s = out.where("kind = 2").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n1", "n2", "n3")]).first()
         return Level(SortedArrays(f"{uri}/grams", bits, shards), None, discounts, s[0], tuple(s[1:])), None
@@ -208,14 +210,14 @@ def _store_contexts(rows: DataFrame, names: list[str], uri: str, bits: int) -> S
 
     def make(t, uri, bits):
         keys = _ngram_key([np.ascontiguousarray(t[g].to_numpy()) for g in names])
-        for shard, n, widths in SortedArrays.write(uri, bits, keys, [t[v].to_numpy() for v in values]):
-            yield batch(["shard", "keys", "widths"], [[shard], [n], [widths]])
+        for row in SortedArrays.write(uri, bits, keys, [t[v].to_numpy() for v in values]):
+            yield batch([*SortedArrays.STORED], [[v] for v in row])
 
     summed = rows.groupBy(*names).agg(*[F.sum(v).alias(v) for v in values])
     keyed = summed.mapInArrow(key, ", ".join(f"{c} long" for c in ("shard", *names, *values)))
     stored = (keyed.repartition(partitions(rows.sparkSession), "shard")
-              .mapInArrow(_store_shards(uri, bits, make), "shard long, keys long, widths long").collect())
-    return SortedArrays(uri, bits, {r.shard: (r["keys"], r.widths) for r in stored})
+              .mapInArrow(_store_shards(uri, bits, make), ", ".join(f"{c} long" for c in SortedArrays.STORED)).collect())
+    return SortedArrays(uri, bits, {r.shard: tuple(r)[1:] for r in stored})
 
 
 def train(docs: DataFrame, order: int = 2, text: str = "text") -> Model:
@@ -224,9 +226,9 @@ def train(docs: DataFrame, order: int = 2, text: str = "text") -> Model:
         raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
     uri = workspace(spark, "lm")
-    bits = _bits(64 * ROWS_PER_SHARD)
+    bits = _bits(0, partitions(spark))
     vocabulary, total = _count_vocabulary(docs, text, f"{uri}/vocabulary", bits)
-    bits = _bits(total)
+    bits = _bits(total, partitions(spark))
     names = [f"g{i}" for i in range(1, order + 1)]
 
     def count(batches):

@@ -7,7 +7,9 @@ import hashlib
 import math
 import random
 import re
+import resource
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerfold.llm import ann, bpe, chains, chat, decontaminate, minhash, ngram_lm, quality, suffixes, warc
-from ledgerfold.llm.common import id_remainder, workspace
+from ledgerfold.llm.common import SortedArrays, id_remainder, shard_of, workspace
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -131,6 +133,29 @@ def components(rows, k, percent):
     return Counter(out)
 
 
+def test_arrays_of_many_shards_need_few_files(tmp_path):
+    """The shards of a task are one file, and files do not stay open."""
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 40000).astype(np.uint64) << np.uint64(1))
+    times = (keys % np.uint64(1000)).astype(np.int64)
+    shards, layout = shard_of(keys, 11), {}
+    for task in range(400):
+        own = shards % 400 == task
+        layout |= {shard: tuple(row) for shard, *row in SortedArrays.write(str(tmp_path), 11, keys[own][::-1], [times[own][::-1], -(shards[own][::-1] > 5).astype(np.int64) + 1])}
+    assert len(layout) == 2048 and len(list(tmp_path.iterdir())) == 400
+    arrays, absent = SortedArrays(str(tmp_path), 11, layout), np.arange(5, 1 << 62, 1 << 50, dtype=np.uint64)
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (len(list(Path("/proc/self/fd").iterdir())) + 50, hard))
+    try:
+        asked = np.sort(np.concatenate([keys, absent]))
+        position, (found, low) = arrays.find(asked, 2)
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    here = np.isin(asked, keys)
+    assert (position[~here] == -1).all() and sorted(position[here]) == list(range(arrays.size)) and arrays.size == len(keys)
+    assert (found[here] == times).all() and (low[here] == (shards <= 5)).all() and not found[~here].any()
+    assert arrays.find(keys[:0], 1)[0].shape == (0,)
+
+
 @pytest.mark.parametrize("k", [2, 5])
 def test_minhash_components(docs, rows, k):
     assert Counter(map(tuple, minhash.near_duplicates(docs, k=k).collect())) == components(rows, k, 80)
